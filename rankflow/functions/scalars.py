@@ -123,7 +123,7 @@ def per_item_time(
     df: DataFrame, columns: Sequence[str], divisor: str | Column, places: int | None = None
 ) -> DataFrame:
     """Divide each time column by ``divisor``, rounding half-even if asked."""
-    d = as_column(divisor)
+    d = F.nullif(as_column(divisor).cast("double"), F.lit(0.0))
     out = {c: F.col(c) / d for c in columns}
     if places is not None:
         out = {c: F.bround(x, places) for c, x in out.items()}

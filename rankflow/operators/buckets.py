@@ -21,12 +21,12 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from rankflow.functions.scalars import QUANTILES, as_column, quantile_column
-from rankflow.operators.tasks import reduce_tasks
+from rankflow.operators.tasks import merge_states, reduce_tasks
 from rankflow.scratch import join_groups
 
 ALPHA = 0.01
@@ -270,8 +270,8 @@ def udds_collapse(buckets: DataFrame, keys: Sequence[str] = (),
     )
 
 
-class _LocalBuckets:
-    """One task's bucket counts of a group, collapsed to ``max_buckets``."""
+class BucketState:
+    """Bucket counts of a group, collapsed to ``max_buckets`` as it grows."""
 
     def __init__(self, max_buckets: int) -> None:
         self.max_buckets = max_buckets
@@ -281,8 +281,16 @@ class _LocalBuckets:
 
     def add(self, codes: np.ndarray) -> None:
         fresh, counts = np.unique(codes, return_counts=True)
-        self._tally(np.concatenate((self.codes, self._raise(fresh, self.level))),
-                    np.concatenate((self.n, counts)))
+        self._take(self._raise(fresh, self.level), counts)
+
+    def merge(self, other: BucketState) -> None:
+        level = max(self.level, other.level)
+        mine, theirs = level - self.level, level - other.level
+        self.codes, self.level = self._raise(self.codes, mine), level
+        self._take(self._raise(other.codes, theirs), other.n)
+
+    def _take(self, codes: np.ndarray, n: np.ndarray) -> None:
+        self._tally(np.concatenate((self.codes, codes)), np.concatenate((self.n, n)))
         while np.count_nonzero(self.codes) > self.max_buckets:
             self.level += 1
             self._tally(self._raise(self.codes, 1), self.n)
@@ -297,42 +305,53 @@ class _LocalBuckets:
         sgn = np.sign(codes)
         return sgn * (((np.abs(codes) - _SHIFT - 1) >> levels) + 1 + _SHIFT)
 
+    def to_bytes(self) -> bytes:
+        head = np.array([self.max_buckets, self.level, len(self.codes)], dtype="<i8")
+        return head.tobytes() + self.codes.astype("<i8").tobytes() + self.n.astype("<i8").tobytes()
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> BucketState:
+        whole = np.frombuffer(data, dtype="<i8")
+        state = cls(int(whole[0]))
+        state.level, size = int(whole[1]), int(whole[2])
+        state.codes, state.n = whole[3 : 3 + size].copy(), whole[3 + size :].copy()
+        return state
+
+
+def _bucket_rows(states: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Bucket rows of binary states."""
+
+    @F.pandas_udf("array<struct<level:int,sgn:int,idx:bigint,n:bigint>>")
+    def unpack(col: pd.Series) -> pd.Series:
+        out = []
+        for data in col:
+            s = BucketState.from_bytes(data)
+            sgn = np.sign(s.codes)
+            idx = np.where(sgn == 0, 0, np.abs(s.codes) - _SHIFT)
+            out.append([{"level": s.level, "sgn": int(a), "idx": int(b), "n": int(c)}
+                        for a, b, c in zip(sgn, idx, s.n)])
+        return pd.Series(out)
+
+    return states.select(*keys, F.inline(unpack("sketch")))
+
 
 def udds_partials(df: DataFrame, value: str | Column, keys: Sequence[str] = (),
                   alpha: float = ALPHA, collapses: int = COLLAPSES,
                   max_buckets: int = MAX_BUCKETS) -> DataFrame:
-    """Per input task at most ``max_buckets`` rows per group; no shuffle.
+    """Per input task and group one state of at most ``max_buckets`` buckets.
 
     At the starting accuracy almost every distinct value has its own bucket, so
     counting before the shuffle saves little unless the task collapses as well.
     A task sees part of a group and so never collapses further than the group
     ends up, which keeps the result exact.
     """
-    keys = list(keys)
     x = as_column(value).cast("double")
     code = F.when(x == 0, F.lit(0)).otherwise(
         F.signum(x).cast("bigint")
         * (bucket_index(x, uniform_alpha(alpha, collapses)) + F.lit(_SHIFT))
     )
     rows = df.where(_finite(x)).select(*keys, code.cast("bigint").alias("_code"))
-    schema = StructType([
-        *[rows.schema[k] for k in keys],
-        StructField("level", IntegerType()), StructField("sgn", IntegerType()),
-        StructField("idx", LongType()), StructField("n", LongType()),
-    ])
-
-    def emit(states: dict) -> tuple[list[tuple], dict[str, np.ndarray]]:
-        tuples: list[tuple] = []
-        out: dict[str, list] = {"level": [], "sgn": [], "idx": [], "n": []}
-        for key, s in states.items():
-            tuples.extend([key] * len(s.codes))
-            out["level"].append(np.full(len(s.codes), s.level, dtype=np.int32))
-            out["sgn"].append(np.sign(s.codes).astype(np.int32))
-            out["idx"].append(np.where(s.codes == 0, 0, np.abs(s.codes) - _SHIFT))
-            out["n"].append(s.n)
-        return tuples, {name: np.concatenate(parts) for name, parts in out.items()}
-
-    return reduce_tasks(rows, keys, "_code", lambda: _LocalBuckets(max_buckets), emit, schema)
+    return reduce_tasks(rows, keys, "_code", lambda: BucketState(max_buckets))
 
 
 def udds_build(df: DataFrame, value: str | Column, keys: Sequence[str] = (),
@@ -340,7 +359,7 @@ def udds_build(df: DataFrame, value: str | Column, keys: Sequence[str] = (),
                max_buckets: int = MAX_BUCKETS) -> DataFrame:
     """Uniformly collapsed bucket counts; ``level`` is the collapses applied."""
     partials = udds_partials(df, value, keys, alpha, collapses, max_buckets)
-    return udds_merge(partials, keys, max_buckets)
+    return _bucket_rows(merge_states(partials, keys, BucketState.from_bytes), keys)
 
 
 def udds_merge(sketches: DataFrame, keys: Sequence[str] = (),

@@ -69,22 +69,23 @@ def _locate(counts: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
 
 
 def order_statistics(df: DataFrame, value: str | Column, keys: Sequence[str],
-                     ranks: dict[str, Rank]) -> DataFrame:
+                     ranks: dict[str, Rank], weight: str | None = None) -> DataFrame:
     """The values at the given ranks of each group, as one column per rank.
 
     ``ranks`` maps a column name to a function from the group size to a 1-based
-    rank.  The result has ``keys, n`` and those columns.  NULLs are left out and
-    NaN sorts last.
+    rank.  A ``weight`` column says how many rows a row stands for.  The result has
+    ``keys, n`` and the rank columns.  NULLs are left out and NaN sorts last.
     """
     keys = list(keys)
-    base = df.select(*keys, as_column(value).cast("double").alias("_v")).where(
-        F.col("_v").isNotNull()
-    )
+    rows = F.lit(1).cast("bigint") if weight is None else F.col(weight)
+    base = df.select(
+        *keys, as_column(value).cast("double").alias("_v"), rows.alias("_w")
+    ).where(F.col("_v").isNotNull())
 
     # Round 1: blocks, at most 80,000 rows per group whatever its size.
     blocked = base.withColumn("_block", _block(F.col("_v")))
     hist = blocked.groupBy(*keys, "_block").agg(
-        F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
+        F.sum("_w").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
     )
     n = F.sum("_c").over(Window.partitionBy(*keys))
     wanted = F.array(*[
@@ -110,7 +111,7 @@ def order_statistics(df: DataFrame, value: str | Column, keys: Sequence[str],
         join_groups(blocked, hint_broadcast(blocks, small), at)
         .withColumn("_slice", _slice(F.col("_v"), F.col("_lo"), F.col("_hi")))
         .groupBy(*at, "_slice", "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))
+        .agg(F.sum("_w").alias("_c"))
     )
     slices = _locate(values.groupBy(*at, "_slice").agg(F.sum("_c").alias("_c")), at, "_slice")
     found = (
@@ -136,6 +137,22 @@ def exact_quantiles_large(df: DataFrame, value: str | Column, keys: Sequence[str
     return _rounded(wide, keys, ps, places)
 
 
+def value_counts(df: DataFrame, value: str | Column, keys: Sequence[str] = ()) -> DataFrame:
+    """Rows per distinct value: ``keys, value, n`` (one aggregation, also on streams)."""
+    return (
+        df.select(*keys, as_column(value).cast("double").alias("value"))
+        .where(F.col("value").isNotNull()).groupBy(*keys, "value")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
+def count_quantiles(counts: DataFrame, keys: Sequence[str] = (),
+                    ps: Sequence[float] = QUANTILES, places: int | None = 4) -> DataFrame:
+    """Exact quantiles out of ``value_counts`` rows."""
+    ranks = {quantile_column(p): nearest_rank(p) for p in ps}
+    return _rounded(order_statistics(counts, "value", keys, ranks, "n"), keys, ps, places)
+
+
 def exact_quantiles_small(df: DataFrame, value: str | Column, keys: Sequence[str] = (),
                           ps: Sequence[float] = QUANTILES, places: int | None = 4) -> DataFrame:
     """Exact quantiles in one aggregation, for groups known to be small."""

@@ -11,21 +11,18 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
 from rankflow.functions.scalars import QUANTILES, as_column, quantile_column
-from rankflow.operators.tasks import reduce_tasks
+from rankflow.operators.tasks import SHARES, merge_states, reduce_tasks
 
 K = 30
 SECTIONS = 3
-SHARES = 64
-
 
 class ReqState:
     """Compactor levels of one sketch.  Level ``h`` items weigh ``2**h``."""
@@ -145,52 +142,17 @@ class ReqState:
         return out
 
 
-def _state_schema(df: DataFrame, keys: Sequence[str], *extra: StructField) -> StructType:
-    return StructType([df.schema[k] for k in keys] + list(extra)
-                      + [StructField("sketch", BinaryType())])
-
-
 def req_partials(df: DataFrame, value: str | Column, keys: Sequence[str] = (),
                  k: int = K) -> DataFrame:
     """One state per input task and group; no shuffle."""
-    keys = list(keys)
     v = as_column(value).cast("float")
     rows = df.select(*keys, v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-
-    def emit(states: dict) -> tuple[list[tuple], dict[str, list]]:
-        return list(states), {"sketch": [s.to_bytes() for s in states.values()]}
-
-    return reduce_tasks(rows, keys, "_v", lambda: ReqState(k), emit, _state_schema(rows, keys))
-
-
-def _merge_step(states: DataFrame, keys: list[str]) -> DataFrame:
-    schema = _state_schema(states, keys)
-
-    def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, first = None, None
-        for batch in batches:
-            for data in batch["sketch"]:
-                state = ReqState.from_bytes(data)
-                if total is None:
-                    total, first = state, batch[keys].iloc[:1].reset_index(drop=True)
-                else:
-                    total.merge(state)
-        if total is not None:
-            yield first.assign(sketch=[total.to_bytes()])
-
-    if keys:
-        return states.groupBy(*keys).applyInPandas(combine, schema)
-    whole = states.withColumn("_all", F.lit(1))
-    return whole.groupBy("_all").applyInPandas(combine, schema)
+    return reduce_tasks(rows, keys, "_v", lambda: ReqState(k))
 
 
 def req_merge(sketches: DataFrame, keys: Sequence[str] = (), shares: int = SHARES) -> DataFrame:
-    """Merge sketches that agree on ``keys``, by share first."""
-    keys = list(keys)
-    shared = sketches.select(
-        *keys, F.pmod(F.xxhash64("sketch"), F.lit(shares)).cast("int").alias("_share"), "sketch"
-    )
-    return _merge_step(_merge_step(shared, [*keys, "_share"]).drop("_share"), keys)
+    """Merge sketches that agree on ``keys``."""
+    return merge_states(sketches, keys, ReqState.from_bytes, shares)
 
 
 def req_build(df: DataFrame, value: str | Column, keys: Sequence[str] = (), k: int = K,

@@ -11,14 +11,19 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import StructType
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 #: Rows a task gathers before it updates its states.
 BUFFER_ROWS = 1 << 18
 #: States a task holds before it hands them on.
 MAX_STATES = 20_000
+#: A group's task states are first merged in this many shares.
+SHARES = 64
 
 
 def split_groups(table: pa.Table, keys: Sequence[str], value: str) -> Iterator[tuple]:
@@ -40,27 +45,24 @@ def split_groups(table: pa.Table, keys: Sequence[str], value: str) -> Iterator[t
         yield tuple(table.column(k)[row].as_py() for k in keys), part
 
 
-def reduce_tasks(rows: DataFrame, keys: Sequence[str], value: str, new: Callable[[], object],
-                 emit: Callable[[dict], tuple[list[tuple], dict[str, list]]],
-                 schema: StructType) -> DataFrame:
-    """Feed each group's values to a state and emit the states of the task.
+def reduce_tasks(rows: DataFrame, keys: Sequence[str], value: str,
+                 new: Callable[[], object]) -> DataFrame:
+    """Feed each group's values to a state: ``keys, sketch BINARY`` per task.
 
-    ``new()`` makes a state with an ``add(array)`` method; ``emit(states)`` turns
-    ``{key: state}`` into key tuples and the remaining output columns.
+    ``new()`` makes a state with ``add(array)`` and ``to_bytes()``.  No shuffle.
     """
     keys = list(keys)
-    from pyspark.sql.pandas.types import to_arrow_schema
-
+    schema = StructType([rows.schema[k] for k in keys] + [StructField("sketch", BinaryType())])
     out_schema = to_arrow_schema(schema)
 
     def batch_of(states: dict) -> pa.RecordBatch:
-        tuples, columns = emit(states)
-        arrays = []
-        for i, k in enumerate(keys):
-            arrays.append(pa.array([t[i] for t in tuples], type=out_schema.field(k).type))
-        for name in out_schema.names[len(keys):]:
-            arrays.append(pa.array(columns[name], type=out_schema.field(name).type))
-        return pa.RecordBatch.from_arrays(arrays, schema=out_schema)
+        arrays = [
+            pa.array([key[i] for key in states], type=out_schema.field(k).type)
+            for i, k in enumerate(keys)
+        ]
+        blobs = pa.array([s.to_bytes() for s in states.values()],
+                         type=out_schema.field("sketch").type)
+        return pa.RecordBatch.from_arrays([*arrays, blobs], schema=out_schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         states: dict = {}
@@ -88,3 +90,39 @@ def reduce_tasks(rows: DataFrame, keys: Sequence[str], value: str, new: Callable
             yield batch_of(states)
 
     return rows.mapInArrow(run, schema)
+
+
+def merge_states(states: DataFrame, keys: Sequence[str],
+                 load: Callable[[bytes], object], shares: int = SHARES) -> DataFrame:
+    """One state per group out of many, by share of the states first.
+
+    Both steps stream over the states of a group, so neither holds more than two
+    of them, and a hot group's states are merged by up to ``shares`` tasks.
+    """
+    keys = list(keys)
+    share = F.pmod(F.xxhash64("sketch"), F.lit(shares)).cast("int")
+    parts = states.select(*keys, share.alias("_share"), "sketch")
+    return _merge(_merge(parts, [*keys, "_share"], load).drop("_share"), keys, load)
+
+
+def _merge(states: DataFrame, keys: list[str], load: Callable[[bytes], object]) -> DataFrame:
+    schema = StructType([states.schema[k] for k in keys]
+                        + [StructField("sketch", BinaryType())])
+
+    def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, first, alone = None, None, None
+        for batch in batches:
+            for data in batch["sketch"]:
+                if first is None:
+                    first, alone = batch[keys].iloc[:1].reset_index(drop=True), data
+                    continue
+                if total is None:
+                    total = load(alone)
+                total.merge(load(data))
+        if first is not None:
+            yield first.assign(sketch=[alone if total is None else total.to_bytes()])
+
+    if keys:
+        return states.groupBy(*keys).applyInPandas(combine, schema)
+    whole = states.withColumn("_all", F.lit(1))
+    return whole.groupBy("_all").applyInPandas(combine, schema)
