@@ -138,17 +138,31 @@ ALPHA_UNIFORM = (f"round(tanh({math.atanh(uniform_alpha())!r}::DOUBLE * pow(2.0,
                  " AS alpha")
 
 
-def sql_dds(src: str, value: str, keys: str, ps=QUANTILES) -> str:
-    return sql_walk(sql_buckets(src, value, keys), keys, REP, ps=ps)
+def sql_dds(src: str, value: str, keys: str, ps=QUANTILES, places: int = 4) -> str:
+    return sql_walk(sql_buckets(src, value, keys), keys, REP, "", ps, places)
 
 
-def sql_ddsc(src: str, value: str, keys: str, max_buckets: int = 1024, ps=QUANTILES) -> str:
-    return sql_walk(sql_fold(sql_buckets(src, value, keys), keys, max_buckets), keys, REP, ps=ps)
+def sql_ddsc(src: str, value: str, keys: str, max_buckets: int = 1024, ps=QUANTILES,
+             places: int = 4) -> str:
+    folded = sql_fold(sql_buckets(src, value, keys), keys, max_buckets)
+    return sql_walk(folded, keys, REP, "", ps, places)
 
 
-def sql_udds(src: str, value: str, keys: str, ps=QUANTILES) -> str:
+def sql_udds(src: str, value: str, keys: str, ps=QUANTILES, places: int = 4) -> str:
     extra = f", max(level) AS level, {ALPHA_UNIFORM}"
-    return sql_walk(sql_uniform(src, value, keys), keys, REP_UNIFORM, extra, ps)
+    return sql_walk(sql_uniform(src, value, keys), keys, REP_UNIFORM, extra, ps, places)
+
+
+def sql_half_up(expr: str, places: int) -> str:
+    """Half-up rounding of the decimal text of a double."""
+    return f"round(({expr})::VARCHAR::DECIMAL(38, 18), {places})::DOUBLE"
+
+
+def sql_bucket_rows(src: str, value: str, keys: str) -> dict[str, str]:
+    """The sketch rows of each bucket method at its published parameters."""
+    plain = sql_buckets(src, value, keys)
+    return {"dds": plain, "ddsc": sql_fold(plain, keys, 1024),
+            "udds": sql_uniform(src, value, keys)}
 
 
 def sql_within(src: str, keys: str, ps=QUANTILES) -> str:
@@ -165,7 +179,7 @@ def sql_hash(id_expr: str, salt: str = "") -> str:
 
 
 def sql_window(ts: str = "ts", seconds: int = DAY) -> str:
-    return f"floor(epoch_ms({ts}) / {seconds * 1000}.0)::BIGINT"
+    return f"floor((epoch_us({ts}) // 1000) / {seconds * 1000}.0)::BIGINT"
 
 
 EVENT_WINDOWS = f"SELECT *, {sql_window()} AS window_id FROM events"

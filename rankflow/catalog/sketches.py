@@ -228,24 +228,25 @@ def _checked(name, tab, value, keys, bound, merge_key=None, dtype="double", log=
     return fn, sql_within(f"SELECT * FROM {tab}", ", ".join(keys))
 
 
-def within_two_percent(p):
-    return 0.02
+def moments_bound(p, n):
+    """Two percent, and the sampling noise a smooth density does not follow."""
+    return F.lit(0.02) + F.lit(0.5) / F.sqrt(n)
 
 
-def kll_bound(p):
-    return 2 * kll.kll_rank_error()
+def kll_bound(p, n):
+    return F.lit(2 * kll.kll_rank_error())
 
 
-def req_bound(p):
-    return 4 * req.req_rse(req.K, p)
+def req_bound(p, n):
+    return F.lit(4 * req.req_rse(req.K, p))
 
 
 add("moments_quantiles", *_checked("moments", "events", "value", ["event_type"],
-                                   within_two_percent))
+                                   moments_bound))
 add("moments_quantiles_orders", *_checked("moments", "orders", "o_totalprice", PRIORITY,
-                                          within_two_percent))
+                                          moments_bound))
 add("moments_quantiles_signed", *_checked("moments", "customer", "c_acctbal",
-                                          ["c_mktsegment"], within_two_percent))
+                                          ["c_mktsegment"], moments_bound))
 
 # --- KLL ------------------------------------------------------------------------------------
 

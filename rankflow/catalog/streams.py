@@ -1 +1,153 @@
-"""Placeholder."""
+"""The window query of every data set and method, on tables and on streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from rankflow.catalog.base import (
+    DAY,
+    EVENT_WINDOWS,
+    WEEK,
+    add,
+    events,
+    rounded,
+    sql_dds,
+    sql_ddsc,
+    sql_exact,
+    sql_hash,
+    sql_udds,
+    sql_window,
+    sql_within,
+    table,
+)
+from rankflow.catalog.sketches import kll_bound, moments_bound, req_bound
+from rankflow.catalog.synthetic import HIGH, LOW
+from rankflow.functions import uniform
+from rankflow.functions.scalars import window_id
+from rankflow.plans.evaluate import rank_check
+from rankflow.plans.methods import SKETCHES
+from rankflow.plans.windows import dataset_window_quantiles
+from rankflow.scratch import new_path
+from rankflow.sources import events as ev
+from rankflow.sources import schemas
+from rankflow.streaming import windows as streaming
+
+BOUNDS = {"moments": moments_bound, "kll": kll_bound, "req": req_bound}
+FLOATS = ("kll", "req")
+QUARTER = 91 * DAY
+
+
+def _taxi(spark, sf):
+    o = table(spark, sf, "orders")
+    return o.select(F.col("o_totalprice").alias("total_amount"),
+                    F.col("o_orderdate").cast("timestamp").alias("ts"))
+
+
+def _power(spark, sf):
+    return events(spark, sf).select(F.col("value").alias("Global_active_power"), "ts")
+
+
+def _pareto(spark, sf):
+    drawn = F.round(uniform.gen_pareto("event_id"), 4)
+    return events(spark, sf).select(drawn.alias("pareto_value"), "ts")
+
+
+def _uniform(spark, sf):
+    drawn = F.round(uniform.gen_uniform_drifting("event_id"), 4)
+    return events(spark, sf).select(drawn.alias("uniform_value"), "ts")
+
+
+def _sql_events(value: str) -> str:
+    return f"SELECT {value} AS value, {sql_window('ts', WEEK)} AS window_id FROM events"
+
+
+_EVENT_ID_LOW = LOW.replace("o_orderkey", "event_id")
+_EVENT_ID_HIGH = HIGH.replace("o_orderkey", "event_id")
+
+#: Data set -> (rows with its value field and ts, window seconds, the same in SQL).
+DATASETS = {
+    "taxi": (_taxi, QUARTER, f"SELECT o_totalprice AS value, "
+                             f"{sql_window('o_orderdate', QUARTER)} AS window_id FROM orders"),
+    "power": (_power, WEEK, _sql_events("value")),
+    "pareto": (_pareto, WEEK,
+               _sql_events(f"round(1.0 / (1.0 - {sql_hash('event_id')}), 4)")),
+    "uniform": (_uniform, WEEK, _sql_events(
+        f"round({_EVENT_ID_LOW} + ({_EVENT_ID_HIGH} - {_EVENT_ID_LOW})"
+        f" * {sql_hash('event_id')}, 4)")),
+}
+
+SQL = {"dds": sql_dds, "ddsc": sql_ddsc, "udds": sql_udds}
+
+
+def _tidy(wide):
+    wide = rounded(wide)
+    return wide.withColumn("alpha", F.round("alpha", 9)) if "alpha" in wide.columns else wide
+
+
+def _window_query(dataset, name):
+    rows, seconds, src = DATASETS[dataset]
+    if name in SQL:
+        def fn(spark, sf):
+            return _tidy(dataset_window_quantiles(rows(spark, sf), dataset, name, seconds))
+
+        return fn, SQL[name](src, "value", "window_id")
+
+    def fn(spark, sf):
+        df = rows(spark, sf)
+        wide = dataset_window_quantiles(df, dataset, name, seconds)
+        dtype = "float" if name in FLOATS else "double"
+        return rank_check(df.withColumn("window_id", window_id("ts", seconds)),
+                          schemas.VALUE_FIELDS[dataset], wide, ["window_id"], BOUNDS[name],
+                          dtype=dtype)
+
+    return fn, sql_within(src, "window_id")
+
+
+for _dataset in DATASETS:
+    for _name in SKETCHES:
+        add(f"window_{_dataset}_{_name}", *_window_query(_dataset, _name))
+
+
+# --- streams -----------------------------------------------------------------------------
+#
+# The events table is written out as JSON lines and read back as a stream of daily
+# windows.  The last window stays open, as no later event moves the watermark past it.
+
+CLOSED = f"""
+SELECT * FROM ({EVENT_WINDOWS})
+WHERE window_id < (SELECT max(window_id) FROM ({EVENT_WINDOWS}))"""
+
+
+def _run_stream(spark, sf, name):
+    source, out, checkpoint = (new_path(spark, f"stream-{part}") for part in
+                               ("in", "out", "checkpoint"))
+    texts = ev.to_json_events(
+        events(spark, sf).withColumn("uniform_value", F.col("value")), ["uniform_value"], "ms"
+    )
+    ev.write_json_events(texts, source)
+    running = streaming.stream_query(spark, "uniform", name, source, out, checkpoint, DAY,
+                                     trigger={"availableNow": True})
+    running.awaitTermination()
+    return streaming.read_results(spark, out)
+
+
+def _stream_query(name):
+    if name in BOUNDS:
+        def fn(spark, sf):
+            wide = _run_stream(spark, sf, name)
+            df = events(spark, sf).withColumn("window_id", window_id("ts", DAY))
+            dtype = "float" if name in FLOATS else "double"
+            return rank_check(df, "value", wide, ["window_id"], BOUNDS[name], dtype=dtype)
+
+        return fn, sql_within(CLOSED, "window_id")
+
+    def fn(spark, sf):
+        return _tidy(_run_stream(spark, sf, name))
+
+    sql = {**SQL, "exact": sql_exact}[name]
+    return fn, sql(CLOSED, "value", "window_id")
+
+
+for _name in (*SKETCHES, "exact"):
+    add(f"stream_{_name}", *_stream_query(_name))
+
