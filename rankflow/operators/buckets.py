@@ -64,7 +64,11 @@ def bucket_value(alpha: float, idx: Column, level: Column | None = None) -> Colu
 
 
 def _finite(x: Column) -> Column:
-    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))
+    """Neither NULL, NaN (which sorts above infinity) nor infinite.
+
+    Filters evaluate their input once per mention, so ``x`` is mentioned once.
+    """
+    return F.abs(x) < F.lit(float("inf"))
 
 
 def _counts(df: DataFrame, value: str | Column, keys: Sequence[str], alpha: float) -> DataFrame:

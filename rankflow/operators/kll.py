@@ -46,7 +46,7 @@ def kll_build(df: DataFrame, value: str | Column, keys: Sequence[str] = (), k: i
 
 def _rows(df: DataFrame, value: str | Column, keys: Sequence[str]) -> DataFrame:
     v = as_column(value).cast("float")
-    return df.select(*keys, v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    return df.select(*keys, v.alias("_v")).where(F.col("_v") <= F.lit(float("inf")))
 
 
 def kll_merge(sketches: DataFrame, keys: Sequence[str] = (), k: int = K) -> DataFrame:

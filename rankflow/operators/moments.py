@@ -38,12 +38,11 @@ def moments_build(df: DataFrame, value: str | Column, keys: Sequence[str] = (),
     """Power sums per group.  With ``log`` only values above zero are defined;
     others are left out, as are NULL, NaN and infinite values."""
     x = as_column(value).cast("double")
-    keep = x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))
     if log:
-        keep = keep & (x > 0)
-        x = log_transform(x)
+        x = log_transform(x)  # NULL at and below zero
     z = arcsinh_compress(x) if compress else x
-    rows = df.where(keep).select(*keys, z.alias("_z"))
+    # NaN sorts above infinity, so one comparison drops all that is unusable.
+    rows = df.where(F.abs(x) < F.lit(float("inf"))).select(*keys, z.alias("_z"))
     sums, power = [], F.col("_z")
     for name in power_columns(k):
         sums.append(F.sum(power).alias(name))

@@ -146,7 +146,7 @@ def req_partials(df: DataFrame, value: str | Column, keys: Sequence[str] = (),
                  k: int = K) -> DataFrame:
     """One state per input task and group; no shuffle."""
     v = as_column(value).cast("float")
-    rows = df.select(*keys, v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    rows = df.select(*keys, v.alias("_v")).where(F.col("_v") <= F.lit(float("inf")))
     return reduce_tasks(rows, keys, "_v", lambda: ReqState(k))
 
 
