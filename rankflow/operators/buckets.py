@@ -18,12 +18,14 @@ a group have a fixed bound too.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from rankflow.functions.scalars import QUANTILES, as_column, quantile_column
 from rankflow.operators.tasks import merge_states, reduce_tasks
@@ -324,19 +326,33 @@ class BucketState:
 
 def _bucket_rows(states: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Bucket rows of binary states."""
-
-    @F.pandas_udf("array<struct<level:int,sgn:int,idx:bigint,n:bigint>>")
-    def unpack(col: pd.Series) -> pd.Series:
-        out = []
-        for data in col:
-            s = BucketState.from_bytes(data)
-            sgn = np.sign(s.codes)
-            idx = np.where(sgn == 0, 0, np.abs(s.codes) - _SHIFT)
-            out.append([{"level": s.level, "sgn": int(a), "idx": int(b), "n": int(c)}
-                        for a, b, c in zip(sgn, idx, s.n)])
-        return pd.Series(out)
-
-    return states.select(*keys, F.inline(unpack("sketch")))
+    schema = StructType([
+        *[states.schema[k] for k in keys],
+        StructField("level", IntegerType()), StructField("sgn", IntegerType()),
+        StructField("idx", LongType()), StructField("n", LongType()),
+    ])
+    out_schema = to_arrow_schema(schema)
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [BucketState.from_bytes(b.as_py()) for b in batch.column("sketch")]
+            sizes = [len(s.codes) for s in held]
+            if not sum(sizes):
+                continue
+            rows = np.repeat(np.arange(len(held)), sizes)
+            codes = np.concatenate([s.codes for s in held])
+            level = np.repeat(np.array([s.level for s in held], dtype=np.int32), sizes)
+            sgn = np.sign(codes)
+            columns = [
+                *[batch.column(k).take(pa.array(rows)) for k in keys],
+                pa.array(level), pa.array(sgn.astype(np.int32)),
+                pa.array(np.where(sgn == 0, 0, np.abs(codes) - _SHIFT)),
+                pa.array(np.concatenate([s.n for s in held])),
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [c.cast(f.type) for c, f in zip(columns, out_schema)], schema=out_schema)
+
+    return states.mapInArrow(unpack, schema)
 
 
 def udds_partials(df: DataFrame, value: str | Column, keys: Sequence[str] = (),

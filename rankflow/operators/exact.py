@@ -120,10 +120,10 @@ def order_statistics(df: DataFrame, value: str | Column, keys: Sequence[str],
         .select(*at, "_slice", "_n", "_name", (F.col("_rank") - F.col("_before")).alias("_rank"))
     )
 
-    # Round 3: walk the distinct values of the wanted slices.
+    # Round 3: walk the distinct values of the wanted slices, once per rank.
     at = [*at, "_slice"]
-    walked = _locate(values, at, "_v")
-    picked = join_groups(walked, hint_broadcast(found, small), at).where(
+    near = join_groups(values, hint_broadcast(found, small), at)
+    picked = _locate(near, [*at, "_name"], "_v").where(
         (F.col("_rank") > F.col("_before")) & (F.col("_rank") <= F.col("_upto"))
     )
     cols = [F.max(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in ranks]

@@ -11,17 +11,20 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-#: Rows a task gathers before it updates its states.
+#: Rows a task gathers before it updates its states; more with many states, so
+#: that each update brings its state several rows, up to the second number.
 BUFFER_ROWS = 1 << 18
+MAX_BUFFER_ROWS = 1 << 21
 #: States a task holds before it hands them on.
 MAX_STATES = 20_000
+#: Merged states a task gathers for one output batch.
+OUT_ROWS = 4096
 #: A group's task states are first merged in this many shares.
 SHARES = 64
 
@@ -78,7 +81,7 @@ def reduce_tasks(rows: DataFrame, keys: Sequence[str], value: str,
         for batch in batches:
             waiting.append(batch)
             held += batch.num_rows
-            if held >= BUFFER_ROWS:
+            if held >= min(MAX_BUFFER_ROWS, max(BUFFER_ROWS, 64 * len(states))):
                 absorb()
                 waiting, held = [], 0
                 if len(states) >= MAX_STATES:
@@ -96,8 +99,9 @@ def merge_states(states: DataFrame, keys: Sequence[str],
                  load: Callable[[bytes], object], shares: int = SHARES) -> DataFrame:
     """One state per group out of many, by share of the states first.
 
-    Both steps stream over the states of a group, so neither holds more than two
-    of them, and a hot group's states are merged by up to ``shares`` tasks.
+    A hot group's states are merged by up to ``shares`` tasks.  Each task reads its
+    states sorted by group and holds only the current one, whatever the number of
+    groups or of states.
     """
     keys = list(keys)
     share = F.pmod(F.xxhash64("sketch"), F.lit(shares)).cast("int")
@@ -105,24 +109,45 @@ def merge_states(states: DataFrame, keys: Sequence[str],
     return _merge(_merge(parts, [*keys, "_share"], load).drop("_share"), keys, load)
 
 
+def _same(a: tuple, b: tuple) -> bool:
+    return all(x == y or (x != x and y != y) for x, y in zip(a, b))
+
+
 def _merge(states: DataFrame, keys: list[str], load: Callable[[bytes], object]) -> DataFrame:
-    schema = StructType([states.schema[k] for k in keys]
-                        + [StructField("sketch", BinaryType())])
+    columns = [*keys, "sketch"]
+    schema = StructType([states.schema[c] for c in columns])
+    out_schema = to_arrow_schema(schema)
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: list[tuple] = []
+        current, alone, total = None, None, None
+
+        def close() -> None:
+            if current is not None:
+                done.append((*current, alone if total is None else total.to_bytes()))
+
+        def flush() -> pa.RecordBatch:
+            arrays = [pa.array([row[i] for row in done], type=f.type)
+                      for i, f in enumerate(out_schema)]
+            return pa.RecordBatch.from_arrays(arrays, schema=out_schema)
 
-    def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, first, alone = None, None, None
         for batch in batches:
-            for data in batch["sketch"]:
-                if first is None:
-                    first, alone = batch[keys].iloc[:1].reset_index(drop=True), data
-                    continue
-                if total is None:
-                    total = load(alone)
-                total.merge(load(data))
-        if first is not None:
-            yield first.assign(sketch=[alone if total is None else total.to_bytes()])
-
-    if keys:
-        return states.groupBy(*keys).applyInPandas(combine, schema)
-    whole = states.withColumn("_all", F.lit(1))
-    return whole.groupBy("_all").applyInPandas(combine, schema)
+            for *key, data in zip(*[batch.column(c).to_pylist() for c in columns]):
+                if current is not None and _same(key, current):
+                    if total is None:
+                        total = load(alone)
+                    total.merge(load(data))
+                else:
+                    close()
+                    current, alone, total = key, data, None
+            if len(done) >= OUT_ROWS:
+                yield flush()
+                done = []
+        close()
+        if done:
+            yield flush()
+
+    spread = states.select(*columns)
+    spread = spread.repartition(*keys).sortWithinPartitions(*keys) if keys else (
+        spread.repartition(1))
+    return spread.mapInArrow(combine, schema)
