@@ -11,6 +11,7 @@ one row per group, runs in Python.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -67,10 +68,11 @@ def moments_quantiles(sketch: DataFrame, keys: Sequence[str] = (),
 
     @F.pandas_udf("array<double>")
     def fit(n: pd.Series, lo: pd.Series, hi: pd.Series, sums: pd.Series) -> pd.Series:
-        out = []
-        for count, a, b, s in zip(n, lo, hi, sums):
-            out.append(solve(count, a, b, np.asarray(s, dtype=float), ranks))
-        return pd.Series(out)
+        if n.empty:
+            return pd.Series([], dtype=object)
+        found = solve(n.to_numpy(float), lo.to_numpy(float), hi.to_numpy(float),
+                      np.stack(sums.to_list()).astype(float), ranks)
+        return pd.Series(list(found))
 
     solved = sketch.where("n > 0").withColumn(
         "_q", fit("n", "zmin", "zmax", F.array(*power_columns(k)))
@@ -83,87 +85,132 @@ def moments_quantiles(sketch: DataFrame, keys: Sequence[str] = (),
     return solved.select(*keys, "n", *picks)
 
 
-# --- the fit, on one sketch row ------------------------------------------------
+# --- the fit, on a batch of sketch rows ------------------------------------------
+#
+# Arrays have one row per group; all groups of a batch take their Newton steps
+# together.
 
 _NODES, _WEIGHTS = np.polynomial.legendre.leggauss(256)
 
-
 #: Rounding error of a power sum, relative to its size, and the error a moment
 #: may have before it is left out of the fit.
 _SUM_ERROR = 1e-14
 _MOMENT_ERROR = 1e-3
 
+_ROWS = 1024  # groups solved together
+_STEPS = 100
+_DONE, _GOOD_ENOUGH = 1e-9, 1e-5
+
 
-def _scaled_moments(n: float, lo: float, hi: float, sums: np.ndarray) -> np.ndarray:
-    """Means of the Chebyshev polynomials of ``z`` scaled to [-1, 1].
+def _scaled_moments(n: np.ndarray, lo: np.ndarray, hi: np.ndarray,
+                    sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Means of the Chebyshev polynomials of ``z`` scaled to [-1, 1], and how many
+    of them are usable.
 
     Scaling is linear in the power means, so the same pass with absolute values
     bounds how far rounding in the sums is blown up.  Moments past the first
-    uncertain one are cut off.
+    uncertain one are not used.
     """
-    raw = np.concatenate(([1.0], sums / n))
+    raw = np.column_stack((np.ones(len(n)), sums / n[:, None]))
     mid, half = (lo + hi) / 2, (hi - lo) / 2
-    degree = len(raw)
-    scale = np.zeros((degree, degree))
-    row = np.array([1.0])  # coefficients of ((z - mid) / half)**i in z
+    degree = raw.shape[1]
+    shifted, spread = np.zeros_like(raw), np.zeros_like(raw)
     for i in range(degree):
-        scale[i, : i + 1] = row
-        row = np.convolve(row, [-mid / half, 1 / half])
+        for j in range(i + 1):
+            term = math.comb(i, j) * half**-i * (-mid) ** (i - j) * raw[:, j]
+            shifted[:, i] += term
+            spread[:, i] += np.abs(term)
     to_cheb = np.zeros((degree, degree))
     for i in range(degree):
         to_cheb[i, : i + 1] = np.polynomial.chebyshev.cheb2poly(np.eye(degree)[i])[: i + 1]
-    means = to_cheb @ (scale @ raw)
-    error = _SUM_ERROR * (np.abs(to_cheb) @ (np.abs(scale) @ np.abs(raw)))
-    sound = (error <= _MOMENT_ERROR) & (np.abs(means) <= 1 + 1e-9)
-    return means[: degree if sound.all() else max(1, int(np.argmin(sound)))]
-
-
-def _max_entropy(target: np.ndarray) -> np.ndarray | None:
-    """Density on the quadrature nodes whose Chebyshev means are ``target``."""
-    basis = np.polynomial.chebyshev.chebvander(_NODES, len(target) - 1)
-    theta = np.zeros(len(target))
-    theta[0] = -np.log(2.0)
-
-    def potential(t: np.ndarray) -> float:
-        with np.errstate(over="ignore"):
-            return float(_WEIGHTS @ np.exp(basis @ t) - t @ target)
-
-    current = potential(theta)
-    for _ in range(200):
-        density = np.exp(basis @ theta)
-        weighted = basis * (_WEIGHTS * density)[:, None]
-        grad = weighted.sum(axis=0) - target
-        if np.abs(grad).max() < 1e-9:
-            return density
-        hess = basis.T @ weighted
-        try:
-            step = np.linalg.solve(hess + 1e-14 * np.eye(len(target)), grad)
-        except np.linalg.LinAlgError:
-            return None
-        scale, slope = 1.0, grad @ step
-        while scale > 1e-10:
-            trial = theta - scale * step
-            value = potential(trial)
-            if np.isfinite(value) and value <= current - 1e-4 * scale * slope:
+    means = shifted @ to_cheb.T
+    sound = (_SUM_ERROR * (spread @ np.abs(to_cheb).T) <= _MOMENT_ERROR) & (
+        np.abs(means) <= 1 + 1e-9)
+    usable = np.where(sound.all(axis=1), degree, np.argmin(sound, axis=1))
+    return means, np.maximum(usable, 1)
+
+
+def _max_entropy(target: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Densities on the nodes whose first ``size`` Chebyshev means are ``target``.
+
+    Newton's method with backtracking on the convex potential.  Returns the
+    densities and which of the groups converged.
+    """
+    groups, degree = target.shape
+    basis = np.polynomial.chebyshev.chebvander(_NODES, degree - 1)
+    products = (basis[:, :, None] * basis[:, None, :]).reshape(len(_NODES), -1)
+    used = np.arange(degree)[None, :] < size[:, None]
+    target = np.where(used, target, 0.0)
+    theta = np.zeros((groups, degree))
+    theta[:, 0] = -np.log(2.0)
+
+    def potential(t: np.ndarray, goal: np.ndarray) -> np.ndarray:
+        return np.exp(t @ basis.T) @ _WEIGHTS - np.einsum("gi,gi->g", t, goal)
+
+    error = np.full(groups, np.inf)
+    active = np.arange(groups)
+    with np.errstate(over="ignore", invalid="ignore"):
+        current = potential(theta, target)
+        for _ in range(_STEPS):
+            t, goal, mask = theta[active], target[active], used[active]
+            weighted = np.exp(t @ basis.T) * _WEIGHTS
+            grad = np.where(mask, weighted @ basis - goal, 0.0)
+            error[active] = np.abs(grad).max(axis=1)
+            go = error[active] >= _DONE
+            if not go.any():
+                break
+            active, t, goal, mask, grad = active[go], t[go], goal[go], mask[go], grad[go]
+            hess = (weighted[go] @ products).reshape(-1, degree, degree)
+            both = mask[:, :, None] & mask[:, None, :]
+            hess = np.where(both, hess, 0.0) + np.eye(degree) * np.where(mask, 1e-13, 1.0)[:, None, :]
+            try:
+                step = np.linalg.solve(hess, grad[:, :, None])[:, :, 0]
+            except np.linalg.LinAlgError:  # one flat group; damp the step for all
+                step = np.linalg.solve(hess + 1e-6 * np.eye(degree), grad[:, :, None])[:, :, 0]
+            slope = np.einsum("gi,gi->g", grad, step)
+            scale, pending = np.ones(len(active)), np.arange(len(active))
+            best, value = t.copy(), current[active].copy()
+            for _ in range(34):
+                trial = t[pending] - scale[pending, None] * step[pending]
+                got = potential(trial, goal[pending])
+                ok = got <= current[active][pending] - 1e-4 * scale[pending] * slope[pending]
+                best[pending[ok]], value[pending[ok]] = trial[ok], got[ok]
+                pending = pending[~ok]
+                if not len(pending):
+                    break
+                scale[pending] /= 2
+            theta[active], current[active] = best, value
+            active = np.delete(active, pending)  # no step helps any more
+            if not len(active):
                 break
-            scale /= 2
-        else:
-            return density if np.abs(grad).max() < 1e-5 else None
-        theta, current = trial, value
-    return density if np.abs(grad).max() < 1e-5 else None
-
-
-def solve(n: float, lo: float, hi: float, sums: np.ndarray, ranks: np.ndarray) -> list[float]:
-    """Quantiles of ``z``; uses as many moments as the fit converges with."""
-    if not hi > lo:
-        return [float(lo)] * len(ranks)
-    moments = _scaled_moments(float(n), float(lo), float(hi), sums)
-    for size in range(len(moments), 0, -1):
-        density = _max_entropy(moments[:size])
-        if density is not None:
-            break
-    mass = np.concatenate(([0.0], np.cumsum(_WEIGHTS * density)))
-    mass /= mass[-1]
+        return np.exp(theta @ basis.T), error <= _GOOD_ENOUGH
+
+
+def solve(n: np.ndarray, lo: np.ndarray, hi: np.ndarray, sums: np.ndarray,
+          ranks: np.ndarray) -> np.ndarray:
+    """Quantiles of ``z``, one row per group; a group uses as many of its moments
+    as its fit converges with."""
+    out = np.empty((len(n), len(ranks)))
+    for start in range(0, len(n), _ROWS):
+        part = slice(start, start + _ROWS)
+        out[part] = _solve(n[part], lo[part], hi[part], sums[part], ranks)
+    return out
+
+
+def _solve(n, lo, hi, sums, ranks) -> np.ndarray:
+    out = np.repeat(lo[:, None], len(ranks), axis=1)
+    open_rows = np.flatnonzero(hi > lo)
+    if not len(open_rows):
+        return out
+    target, size = _scaled_moments(n[open_rows], lo[open_rows], hi[open_rows], sums[open_rows])
     edges = np.concatenate(([-1.0], -1.0 + np.cumsum(_WEIGHTS)))
-    at = np.interp(ranks, mass, edges)
-    return list((lo + hi) / 2 + at * (hi - lo) / 2)
+    while len(open_rows):
+        density, converged = _max_entropy(target, size)
+        for i in np.flatnonzero(converged | (size == 1)):
+            row = open_rows[i]
+            mass = np.concatenate(([0.0], np.cumsum(_WEIGHTS * density[i])))
+            at = np.interp(ranks, mass / mass[-1], edges)
+            out[row] = (lo[row] + hi[row]) / 2 + at * (hi[row] - lo[row]) / 2
+        again = ~converged & (size > 1)
+        open_rows, target, size = open_rows[again], target[again], size[again] - 1
+    return out

@@ -163,8 +163,27 @@ def test_moments_solver_converges_on_smooth_data():
     x = np.random.default_rng(2).normal(10, 2, 200_000)
     z = np.arcsinh(x)
     sums = np.array([np.sum(z**i) for i in range(1, 12)])
-    got = moments.solve(len(z), z.min(), z.max(), sums, np.array(QUANTILES))
+    one = [np.array([x], dtype=float) for x in (len(z), z.min(), z.max())]
+    got = moments.solve(*one, sums[None, :], np.array(QUANTILES))[0]
     ordered = np.sort(z)
     for p, q in zip(QUANTILES, got):
         assert abs(np.searchsorted(ordered, q) / len(z) - p) < 0.005
     assert all(math.isfinite(v) for v in got)
+
+
+def test_moments_batch_equals_single_groups():
+    rng = np.random.default_rng(8)
+    n, lo, hi, sums = [], [], [], []
+    for g in range(40):
+        z = np.arcsinh(rng.lognormal(g / 9, 0.2 + g / 40, 20 + 30 * g))
+        n.append(len(z))
+        lo.append(z.min())
+        hi.append(z.max())
+        sums.append([np.sum(z**i) for i in range(1, 12)])
+    args = [np.array(a, dtype=float) for a in (n, lo, hi, sums)]
+    whole = moments.solve(*args, np.array(QUANTILES))
+    for g in range(40):
+        alone = moments.solve(*[a[g : g + 1] for a in args], np.array(QUANTILES))
+        assert np.allclose(whole[g], alone[0], atol=1e-6)
+    assert (np.diff(whole, axis=1) >= 0).all()
+    assert (whole >= args[1][:, None]).all() and (whole <= args[2][:, None]).all()
