@@ -324,8 +324,8 @@ class BucketState:
         return state
 
 
-def _bucket_rows(states: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Bucket rows of binary states."""
+def bucket_rows(states: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """UDDSketch rows out of binary states."""
     schema = StructType([
         *[states.schema[k] for k in keys],
         StructField("level", IntegerType()), StructField("sgn", IntegerType()),
@@ -379,7 +379,7 @@ def udds_build(df: DataFrame, value: str | Column, keys: Sequence[str] = (),
                max_buckets: int = MAX_BUCKETS) -> DataFrame:
     """Uniformly collapsed bucket counts; ``level`` is the collapses applied."""
     partials = udds_partials(df, value, keys, alpha, collapses, max_buckets)
-    return _bucket_rows(merge_states(partials, keys, BucketState.from_bytes), keys)
+    return bucket_rows(merge_states(partials, keys, BucketState.from_bytes), keys)
 
 
 def udds_merge(sketches: DataFrame, keys: Sequence[str] = (),

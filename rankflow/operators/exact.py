@@ -4,7 +4,7 @@ Two plans give the same rows:
 
 * groups known to be small use ``percentile_disc``, which holds a value-to-count
   map per group;
-* any other input is narrowed down in rounds.  A first scan counts values in
+* any other group is narrowed down in rounds.  A first scan counts values in
   coarse blocks, which tells the block of every wanted rank; a second scan keeps
   only those blocks and counts values in 2**20 equal slices of each; the last
   step walks the distinct values of the wanted slices.  No task ever holds the
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankflow.functions.scalars import QUANTILES, as_column, quantile_column
-from rankflow.scratch import hint_broadcast, is_small, join_groups, stage
+from rankflow.scratch import BROADCAST_ROWS, hint_broadcast, is_small, join_groups, stage
 
 #: Most rows of a group for which one aggregation buffer may hold its values.
 SMALL_GROUP = 1_000_000
@@ -166,18 +166,32 @@ def exact_quantiles_small(df: DataFrame, value: str | Column, keys: Sequence[str
     return _rounded(wide.select(*keys, "n", *picks), keys, ps, places)
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the largest group (reads the key columns only)."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"))
-    return counts.agg(F.max("_c")).first()[0] or 0
+def hot_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The groups past ``SMALL_GROUP`` rows, as a stage table (reads keys only)."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+    return stage(sizes.where(F.col("_size") > SMALL_GROUP), "hot")
 
 
 def exact_quantiles(df: DataFrame, value: str | Column, keys: Sequence[str] = (),
                     ps: Sequence[float] = QUANTILES, places: int | None = 4) -> DataFrame:
-    """Exact quantiles, by the plan the measured size of the groups calls for."""
-    small = largest_group(df, keys) <= SMALL_GROUP
-    plan = exact_quantiles_small if small else exact_quantiles_large
-    return plan(df, value, keys, ps, places)
+    """Exact quantiles, each group by the plan its measured size calls for.
+
+    Small groups take one aggregation however many there are; only the rows of
+    the hot groups, at most one group per ``SMALL_GROUP`` rows, are narrowed down.
+    """
+    keys = list(keys)
+    hot = hot_groups(df, keys)
+    found = hot.count()
+    if not found:
+        return exact_quantiles_small(df, value, keys, ps, places)
+    if not keys:
+        return exact_quantiles_large(df, value, keys, ps, places)
+    listed = hint_broadcast(hot.drop("_size"), found <= BROADCAST_ROWS)
+    rows = df.select(*keys, as_column(value).cast("double").alias("_value"))
+    cold = join_groups(rows, listed, keys, "left_anti")
+    return exact_quantiles_small(cold, "_value", keys, ps, places).unionByName(
+        exact_quantiles_large(join_groups(rows, listed, keys, "left_semi"), "_value", keys, ps,
+                              places))
 
 
 def _rounded(wide: DataFrame, keys: Sequence[str], ps: Sequence[float],

@@ -1,7 +1,7 @@
 """The quantile methods behind one interface: build, merge, query.
 
-``partials`` is the part that is a single aggregation and so also runs on a
-stream; ``finish`` turns partial rows into sketches on a batch.
+``partials`` is the part that also runs on a stream, which then keeps one partial
+result per window; ``finish`` turns those into sketches on a batch.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ class Method:
     build: Callable[..., DataFrame]  # (df, value, keys) -> sketch rows
     merge: Callable[..., DataFrame]  # (sketch rows, keys) -> sketch rows
     quantiles: Callable[..., DataFrame]  # (sketch rows, keys, ps) -> wide rows
-    partials: Callable[..., DataFrame] | None = None  # (df, value, keys), stream-safe
-    finish: Callable[..., DataFrame] | None = None  # (partial rows, keys)
+    partials: Callable[..., DataFrame]  # (df, value, keys) -> partial rows
+    finish: Callable[..., DataFrame]  # (one partial result per group, keys) -> sketch rows
 
     def run(self, df: DataFrame, value, keys: Sequence[str] = (),
             ps: Sequence[float] = QUANTILES) -> DataFrame:
@@ -62,7 +62,7 @@ def method(name: str, log: bool = False, **params) -> Method:
         return Method(
             name, partial(buckets.udds_build, **params), partial(buckets.udds_merge, **store),
             partial(buckets.udds_quantiles, **accuracy),
-            partial(buckets.udds_counts, **accuracy), partial(buckets.udds_collapse, **store),
+            partial(buckets.udds_partials, **params), buckets.bucket_rows,
         )
     if name == "moments":
         size = {k: v for k, v in params.items() if k == "k"}
@@ -80,6 +80,7 @@ def method(name: str, log: bool = False, **params) -> Method:
     if name == "req":
         return Method(
             name, partial(req.req_build, **params), req.req_merge, req.req_quantiles,
+            partial(req.req_partials, **params), _as_is,
         )
     if name == "exact":
         return Method(

@@ -1,7 +1,7 @@
 """Tumbling event-time windows on streams, one query for every method.
 
-The stream keeps per window only what a single aggregation can hold: bucket
-counts, power sums, KLL sketches, value counts or REQ states.  When the watermark
+The stream keeps per window only a small aggregate: bucket counts, power sums, a
+sketch, or (for exact quantiles) value counts.  When the watermark
 passes a window, its rows come out together in one micro-batch, and the rest of
 the work (folding, collapsing, the quantiles) is the batch operator on them.
 """
@@ -18,7 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from rankflow.functions.scalars import QUANTILES, as_column, epoch_ms
-from rankflow.operators.req import ReqState, req_partials
+from rankflow.operators import buckets, req
 from rankflow.plans.methods import method
 from rankflow.plans.windows import uses_log
 from rankflow.sources import events, schemas
@@ -26,6 +26,13 @@ from rankflow.sources import events, schemas
 #: Default window length in seconds.
 WINDOW_SECONDS = 3
 
+#: Methods whose state no built-in aggregate can hold: how tasks reduce their rows,
+#: and how a state is read back.
+TASK_STATES = {
+    "req": (req.req_partials, req.ReqState.from_bytes),
+    "udds": (buckets.udds_partials, buckets.BucketState.from_bytes),
+}
+
 
 def _with_window_id(rows: DataFrame, keys: Sequence[str], seconds: int) -> DataFrame:
     number = F.floor(epoch_ms("window.start") / F.lit(seconds * 1000)).cast("bigint")
@@ -39,8 +46,8 @@ def window_partials(stream: DataFrame, value: str | Column, name: str,
                     **params) -> DataFrame:
     """Partial sketch rows of each closed window (append mode)."""
     keys = list(keys)
-    if name == "req":
-        return _req_partials(stream, value, window_seconds, ts, keys, delay, **params)
+    if name in TASK_STATES:
+        return _task_states(stream, value, name, window_seconds, ts, keys, delay, **params)
     marked = events.watermark(stream, ts, delay).withColumn(
         "window", F.window(ts, f"{window_seconds} seconds")
     )
@@ -48,8 +55,8 @@ def window_partials(stream: DataFrame, value: str | Column, name: str,
     return _with_window_id(rows, keys, window_seconds)
 
 
-def _req_partials(stream: DataFrame, value: str | Column, seconds: int, ts: str,
-                  keys: list[str], delay: str, **params) -> DataFrame:
+def _task_states(stream: DataFrame, value: str | Column, name: str, seconds: int, ts: str,
+                 keys: list[str], delay: str, **params) -> DataFrame:
     """Tasks reduce their rows to states; the state store merges them per window.
 
     The states carry the window start as event time.  With a tumbling window and
@@ -61,7 +68,8 @@ def _req_partials(stream: DataFrame, value: str | Column, seconds: int, ts: str,
         F.window(ts, width).getField("start").alias("_start"), *keys,
         as_column(value).alias("_value"),
     )
-    states = req_partials(rows, "_value", ["_start", *keys], **params)
+    reduce_rows, load = TASK_STATES[name]
+    states = reduce_rows(rows, "_value", ["_start", *keys], **params)
     marked = events.watermark(states, "_start", delay).select(
         F.window("_start", width).alias("window"), *keys, "sketch"
     ).withColumn("_closes", epoch_ms("window.end"))
@@ -82,10 +90,10 @@ def _req_partials(stream: DataFrame, value: str | Column, seconds: int, ts: str,
             out.update({k: [v] for k, v in zip(keys, key[2:])})
             yield pd.DataFrame({**out, "sketch": [data]})
             return
-        total = ReqState.from_bytes(state.get[0]) if state.exists else None
+        total = load(state.get[0]) if state.exists else None
         for batch in batches:
             for data in batch["sketch"]:
-                part = ReqState.from_bytes(data)
+                part = load(data)
                 if total is None:
                     total = part
                 else:
@@ -104,7 +112,7 @@ def window_quantiles(partials: DataFrame, name: str, keys: Sequence[str] = (),
     """Quantiles of closed windows out of a batch of partial rows."""
     m = method(name, log, **params)
     groups = ["window_id", *keys]
-    return m.quantiles(m.finish(partials, groups) if m.finish else partials, groups, ps)
+    return m.quantiles(m.finish(partials, groups), groups, ps)
 
 
 def start_window_query(stream: DataFrame, value: str | Column, name: str, path: str,

@@ -83,14 +83,27 @@ def test_empty_input(spark):
     assert exact.exact_quantiles_large(df, "v", ["g"]).count() == 0
 
 
-def test_large_groups_take_the_large_plan(spark, monkeypatch):
-    monkeypatch.setattr(exact, "SMALL_GROUP", 3)
-    called = []
+@pytest.mark.parametrize("broadcast_rows", [0, 100])
+def test_only_hot_groups_are_narrowed_down(spark, monkeypatch, broadcast_rows):
+    monkeypatch.setattr(exact, "SMALL_GROUP", 20)
+    monkeypatch.setattr(exact, "BROADCAST_ROWS", broadcast_rows)
+    seen = []
     large = exact.exact_quantiles_large
-    monkeypatch.setattr(exact, "exact_quantiles_large",
-                        lambda *a: called.append(1) or large(*a))
-    exact.exact_quantiles(frame(spark, {"a": [1.0, 2, 3, 4]}), "v", ["g"])
-    assert called
+    monkeypatch.setattr(exact, "exact_quantiles_large", lambda df, *a: seen.append(
+        {r.g for r in df.select("g").distinct().collect()}) or large(df, *a))
+    groups = {"cold": [5.0, 1.0, 3.0], "hot": [float(i * i % 97) for i in range(60)],
+              None: [float(i) for i in range(30)], "cool": [2.0] * 20}
+    got = {r.g: r for r in exact.exact_quantiles(frame(spark, groups), "v", ["g"]).collect()}
+    assert seen == [{"hot", None}] and set(got) == set(groups)
+    for g, values in groups.items():
+        for p in QUANTILES:
+            assert got[g][quantile_column(p)] == expected(values, p)
+
+
+def test_one_hot_group_without_keys(spark, monkeypatch):
+    monkeypatch.setattr(exact, "SMALL_GROUP", 3)
+    row = exact.exact_quantiles(frame(spark, {"a": [1.0, 2, 3, 4]}), "v").first()
+    assert (row.n, row.pct_50, row.pct_75) == (4, 2.0, 3.0)
 
 
 @settings(max_examples=8, deadline=None,

@@ -46,10 +46,13 @@ def test_stream_equals_table(spark, rides, tmp_path, dataset, name):
     whole = dataset_window_quantiles(rides, dataset, name, SECONDS)
     last = whole.agg(F.max("window_id")).first()[0]
     columns = ["window_id", "n", *quantile_columns()]
-    rounded = [F.round(c, 6).alias(c) if c.startswith("pct") else F.col(c) for c in columns]
-    expect = whole.where(F.col("window_id") < last).select(*rounded)
-    assert sorted(got.select(*rounded).collect()) == sorted(expect.collect())
-    assert expect.count() >= 9
+    expect = sorted(whole.where(F.col("window_id") < last).select(*columns).collect())
+    rows = sorted(got.select(*columns).collect())
+    assert len(rows) == len(expect) >= 9
+    # Power sums are added in another order; everything else is the same to the bit.
+    near = 1e-5 if name == "moments" else 0
+    for a, b in zip(rows, expect):
+        assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], rel=near, abs=0)
 
 
 @pytest.mark.parametrize("name", METHODS)
