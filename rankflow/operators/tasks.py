@@ -72,9 +72,12 @@ def reduce_tasks(rows: DataFrame, keys: Sequence[str], value: str,
         waiting: list[pa.RecordBatch] = []
         held = 0
 
-        def absorb() -> None:
+        def absorb() -> Iterator[pa.RecordBatch]:
             for key, values in split_groups(pa.Table.from_batches(waiting), keys, value):
                 if key not in states:
+                    if len(states) >= MAX_STATES:
+                        yield batch_of(states)
+                        states.clear()
                     states[key] = new()
                 states[key].add(values)
 
@@ -82,13 +85,10 @@ def reduce_tasks(rows: DataFrame, keys: Sequence[str], value: str,
             waiting.append(batch)
             held += batch.num_rows
             if held >= min(MAX_BUFFER_ROWS, max(BUFFER_ROWS, 64 * len(states))):
-                absorb()
+                yield from absorb()
                 waiting, held = [], 0
-                if len(states) >= MAX_STATES:
-                    yield batch_of(states)
-                    states = {}
         if held:
-            absorb()
+            yield from absorb()
         if states:
             yield batch_of(states)
 

@@ -124,10 +124,12 @@ def collapse_cost(dds: DataFrame, ddsc: DataFrame) -> DataFrame:
 
 def prepare_results(results: DataFrame, window: str = "window_id",
                     num_windows: int = 10) -> DataFrame:
-    """Add the run id and drop each run's last, partial window."""
-    return drop_last_partial_window(
-        results.withColumn("run_id", scalars.run_id(window)), window, "run_id", num_windows
-    ).drop("run_id")
+    """Drop each run's last, partial window.
+
+    The results are staged, one row per window, as the trimming reads them twice.
+    """
+    staged = stage(results, "results").withColumn("run_id", scalars.run_id(window))
+    return drop_last_partial_window(staged, window, "run_id", num_windows).drop("run_id")
 
 
 def evaluate_methods(df: DataFrame, value: str | Column, names: Sequence[str] = SKETCHES,
@@ -139,9 +141,7 @@ def evaluate_methods(df: DataFrame, value: str | Column, names: Sequence[str] =
     real = stage(exact_quantiles(df, value, [window]), "exact")
     parts = []
     for name in names:
-        # Staged: trimming the runs reads the results twice.
-        approx = stage(method(name, log and name == "moments").run(df, value, [window]), name)
-        approx = prepare_results(approx)
+        approx = prepare_results(method(name, log and name == "moments").run(df, value, [window]))
         bands = accuracy_bands(accuracy_by_run(accuracy_by_window(approx, real, window)))
         parts.append(bands.select(F.lit(name).alias("algo"), "*"))
     return reduce(DataFrame.unionByName, parts)

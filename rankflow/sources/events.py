@@ -91,6 +91,11 @@ def to_json_events(df: DataFrame, columns: Sequence[str], event_ms: str | Column
     return df.select(event.alias("key")).select("key", F.col("key").alias("value"))
 
 
-def write_json_events(events: DataFrame, path: str) -> None:
-    """Append events to a folder, one per line."""
-    events.select("value").write.mode("append").text(path)
+def write_json_events(events: DataFrame, target: str, fmt: str = "text",
+                      **options: str) -> None:
+    """Append events to a folder, one per line, or (``kafka``) to a topic."""
+    if fmt == "kafka":
+        writer = events.select("key", "value").write.format("kafka").options(**options)
+        writer.option("topic", target).save()
+    else:
+        events.select("value").write.mode("append").text(target)
