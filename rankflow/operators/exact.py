@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from rankflow.functions.scalars import QUANTILES, as_column, quantile_column
 from rankflow.scratch import BROADCAST_ROWS, hint_broadcast, is_small, join_groups, stage
 
-#: Most rows of a group for which one aggregation buffer may hold its values.
-SMALL_GROUP = 1_000_000
+#: Most rows of a group for which one aggregation buffer may hold its values.  A
+#: task can hold some hundred such buffers at about 60 bytes per value.
+SMALL_GROUP = 100_000
 
 #: Slices a block is cut into in the second round.
 SLICES = 1 << 20
