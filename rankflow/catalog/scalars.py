@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rankflow.catalog.base import DAY, add, events, query, sql_half_up, sql_window, table
 from rankflow.functions import scalars as sc
+from rankflow.operators.exact import exact_quantiles
 from rankflow.operators.late import drop_last_partial_window
 from rankflow.scratch import new_path
 from rankflow.sources import events as ev
@@ -255,3 +256,17 @@ def _(spark, sf):
     path = new_path(spark, "times-csv")
     files.write_result_table(rows, path, header=True)
     return files.scan_op_times(spark, path, "insert")
+
+
+@query("scan_results", """
+SELECT floor((epoch_us(ts) // 1000) / 86400000.0)::BIGINT AS window_id, """ + ", ".join(
+    f"round(quantile_disc(value, {p!r}), 4) AS {sc.quantile_column(p)}" for p in sc.QUANTILES
+) + """, count(*) AS win_size, 0::BIGINT AS slack_events FROM events GROUP BY 1""")
+def _(spark, sf):
+    df = events(spark, sf).withColumn("window_id", sc.window_id("ts", DAY))
+    wide = exact_quantiles(df, "value", ["window_id"])
+    path = new_path(spark, files.result_name("power", "exact"))
+    files.write_window_results(wide.select(
+        "window_id", *sc.quantile_columns(), F.col("n").alias("win_size"),
+        F.lit(0).alias("slack_events")), path)
+    return files.scan_results(spark, path, "exact")

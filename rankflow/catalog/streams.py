@@ -20,10 +20,11 @@ from rankflow.catalog.base import (
     sql_within,
     table,
 )
+from rankflow.catalog.scalars import taxi_rides
 from rankflow.catalog.sketches import kll_bound, moments_bound, req_bound
 from rankflow.catalog.synthetic import HIGH, LOW
 from rankflow.functions import uniform
-from rankflow.functions.scalars import window_id
+from rankflow.functions.scalars import epoch_ms, window_id
 from rankflow.plans.evaluate import rank_check
 from rankflow.plans.methods import SKETCHES
 from rankflow.plans.windows import dataset_window_quantiles
@@ -110,44 +111,59 @@ for _dataset in DATASETS:
 
 # --- streams -----------------------------------------------------------------------------
 #
-# The events table is written out as JSON lines and read back as a stream of daily
-# windows.  The last window stays open, as no later event moves the watermark past it.
+# The rows are written out as JSON lines and read back as a stream.  The last window
+# stays open, as no later event moves the watermark past it.
 
-CLOSED = f"""
-SELECT * FROM ({EVENT_WINDOWS})
-WHERE window_id < (SELECT max(window_id) FROM ({EVENT_WINDOWS}))"""
 
+def _closed(src: str) -> str:
+    return f"SELECT * FROM ({src}) WHERE window_id < (SELECT max(window_id) FROM ({src}))"
 
-def _run_stream(spark, sf, name):
+
+def _run_stream(spark, dataset, name, rows, seconds):
+    """Feed rows with a value field and ``ts`` to the stream query of a data set."""
     source, out, checkpoint = (new_path(spark, f"stream-{part}") for part in
                                ("in", "out", "checkpoint"))
-    texts = ev.to_json_events(
-        events(spark, sf).withColumn("uniform_value", F.col("value")), ["uniform_value"], "ms"
-    )
-    ev.write_json_events(texts, source)
-    running = streaming.stream_query(spark, "uniform", name, source, out, checkpoint, DAY,
+    fields = schemas.TAXI_FIELDS if dataset == "taxi" else [schemas.VALUE_FIELDS[dataset]]
+    timed = rows.withColumn("ms", epoch_ms("ts"))
+    ev.write_json_events(ev.to_json_events(timed, fields, "ms"), source)
+    running = streaming.stream_query(spark, dataset, name, source, out, checkpoint, seconds,
                                      trigger={"availableNow": True})
     running.awaitTermination()
     return streaming.read_results(spark, out)
 
 
-def _stream_query(name):
+def _stream_query(dataset, name, rows, seconds, src):
     if name in BOUNDS:
         def fn(spark, sf):
-            wide = _run_stream(spark, sf, name)
-            df = events(spark, sf).withColumn("window_id", window_id("ts", DAY))
+            df = rows(spark, sf)
+            wide = _run_stream(spark, dataset, name, df, seconds)
             dtype = "float" if name in FLOATS else "double"
-            return rank_check(df, "value", wide, ["window_id"], BOUNDS[name], dtype=dtype)
+            return rank_check(df.withColumn("window_id", window_id("ts", seconds)),
+                              schemas.VALUE_FIELDS[dataset], wide, ["window_id"], BOUNDS[name],
+                              dtype=dtype)
 
-        return fn, sql_within(CLOSED, "window_id")
+        return fn, sql_within(_closed(src), "window_id")
 
     def fn(spark, sf):
-        return _tidy(_run_stream(spark, sf, name))
+        return _tidy(_run_stream(spark, dataset, name, rows(spark, sf), seconds))
 
     sql = {**SQL, "exact": sql_exact}[name]
-    return fn, sql(CLOSED, "value", "window_id")
+    return fn, sql(_closed(src), "value", "window_id")
+
+
+def _daily(spark, sf):
+    return events(spark, sf).select(F.col("value").alias("uniform_value"), "ts")
 
 
 for _name in (*SKETCHES, "exact"):
-    add(f"stream_{_name}", *_stream_query(_name))
+    add(f"stream_{_name}", *_stream_query("uniform", _name, _daily, DAY, EVENT_WINDOWS))
+
 
+def _rides(spark, sf):
+    return taxi_rides(spark, sf).withColumn("ts", F.col("o_orderdate").cast("timestamp"))
+
+
+for _dataset, (_rows, _seconds, _src) in DATASETS.items():
+    for _name in SKETCHES:
+        add(f"stream_{_dataset}_{_name}", *_stream_query(
+            _dataset, _name, _rides if _dataset == "taxi" else _rows, _seconds, _src))

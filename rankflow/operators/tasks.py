@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import BinaryType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StructField, StructType
 
 #: Rows a task gathers before it updates its states; more with many states, so
 #: that each update brings its state several rows, up to the second number.
@@ -55,6 +55,9 @@ def reduce_tasks(rows: DataFrame, keys: Sequence[str], value: str,
     ``new()`` makes a state with ``add(array)`` and ``to_bytes()``.  No shuffle.
     """
     keys = list(keys)
+    nested = [k for k in keys if isinstance(rows.schema[k].dataType, (StructType, ArrayType, MapType))]
+    if nested:
+        raise ValueError(f"group by plain columns (such as window.start), not by {nested}")
     schema = StructType([rows.schema[k] for k in keys] + [StructField("sketch", BinaryType())])
     out_schema = to_arrow_schema(schema)
 

@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session(4, "rankflow-tests", **{"spark.sql.shuffle.partitions": "4"})
+    return local_session(4, "rankflow-tests", **{"spark.sql.shuffle.partitions": "2"})
 
 
 @pytest.fixture()
