@@ -302,9 +302,10 @@ class BucketState:
             self._tally(self._raise(self.codes, 1), self.n)
 
     def _tally(self, codes: np.ndarray, n: np.ndarray) -> None:
-        self.codes, where = np.unique(codes, return_inverse=True)
-        self.n = np.zeros(len(self.codes), dtype=np.int64)
-        np.add.at(self.n, where, n)
+        order = np.argsort(codes, kind="stable")
+        codes, n = codes[order], n[order]
+        first = np.flatnonzero(np.diff(codes, prepend=codes[:1] - 1))
+        self.codes, self.n = codes[first], np.add.reduceat(n, first)
 
     @staticmethod
     def _raise(codes: np.ndarray, levels: int) -> np.ndarray:
