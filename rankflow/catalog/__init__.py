@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rankflow.catalog import base, pipelines, scalars, sketches, streams, synthetic  # noqa: F401
+from rankflow.catalog import base, reports, scalars, sketches, streams, synthetic  # noqa: F401
 
 QUERIES = base.QUERIES
 ORACLES = base.ORACLES
