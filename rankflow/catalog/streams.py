@@ -126,8 +126,11 @@ def _run_stream(spark, dataset, name, rows, seconds):
     fields = schemas.TAXI_FIELDS if dataset == "taxi" else [schemas.VALUE_FIELDS[dataset]]
     timed = rows.withColumn("ms", epoch_ms("ts"))
     ev.write_json_events(ev.to_json_events(timed, fields, "ms"), source)
+    # One state store per input file, within the session's own number.
+    files = len(spark.read.text(source).inputFiles())
+    stores = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(8, files))
     running = streaming.stream_query(spark, dataset, name, source, out, checkpoint, seconds,
-                                     trigger={"availableNow": True})
+                                     trigger={"availableNow": True}, state_partitions=stores)
     running.awaitTermination()
     return streaming.read_results(spark, out)
 

@@ -119,11 +119,14 @@ def start_window_query(stream: DataFrame, value: str | Column, name: str, path:
                        checkpoint: str, window_seconds: int = WINDOW_SECONDS, ts: str = "ts",
                        keys: Sequence[str] = (), ps: Sequence[float] = QUANTILES,
                        log: bool = False, delay: str = "0 seconds", fmt: str = "parquet",
-                       trigger: dict | None = None, **params) -> StreamingQuery:
+                       trigger: dict | None = None, state_partitions: int | None = None,
+                       **params) -> StreamingQuery:
     """Write the quantiles of each closed window under ``path``.
 
     Each micro-batch overwrites its own folder, so a batch that is run again
-    after a failure leaves the same result.
+    after a failure leaves the same result.  ``state_partitions`` is the number of
+    state stores (default: the session's shuffle partitions); it is fixed for the
+    life of the checkpoint.
     """
     partials = window_partials(stream, value, name, window_seconds, ts, keys, log, delay,
                                **params)
@@ -137,16 +140,25 @@ def start_window_query(stream: DataFrame, value: str | Column, name: str, path:
         finally:
             batch.unpersist()
 
-    return (
+    writer = (
         partials.writeStream.outputMode("append").foreachBatch(write)
         .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"processingTime": "0 seconds"})).start()
+        .trigger(**(trigger or {"processingTime": "0 seconds"}))
     )
+    # A query takes its settings over from the session when it starts.
+    conf, setting = stream.sparkSession.conf, "spark.sql.shuffle.partitions"
+    before = conf.get(setting)
+    conf.set(setting, str(state_partitions or before))
+    try:
+        return writer.start()
+    finally:
+        conf.set(setting, before)
 
 
 def stream_query(spark: SparkSession, dataset: str, name: str, source: str, path: str,
                  checkpoint: str, window_seconds: int = WINDOW_SECONDS, fmt: str = "text",
-                 trigger: dict | None = None, **options: str) -> StreamingQuery:
+                 trigger: dict | None = None, state_partitions: int | None = None,
+                 **options: str) -> StreamingQuery:
     """The stream query of one dataset (taxi, power, pareto, uniform) and method.
 
     JSON events -> parse -> event time -> watermark -> window sketch -> quantiles.
@@ -159,7 +171,7 @@ def stream_query(spark: SparkSession, dataset: str, name: str, source: str, path
         parsed = events.parse_value_event(raw, field)
     return start_window_query(
         events.assign_event_time(parsed), field, name, path, checkpoint, window_seconds,
-        log=uses_log(dataset, name), trigger=trigger,
+        log=uses_log(dataset, name), trigger=trigger, state_partitions=state_partitions,
     )
 
 
