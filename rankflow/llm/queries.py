@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankflow.llm import licenses, pii, url_filter
+from rankflow.llm import embeddings, licenses, pii, simhash, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -106,3 +106,13 @@ FROM parts LEFT JOIN met USING (page_id, url, fetched)"""
 def url_decisions(spark, sf_dir):
     return url_filter.filter_urls(page_captures(spark, sf_dir), derived_entries(spark, sf_dir),
                                   "page_id", "url", "fetched")
+
+
+@query("op6_simhash")
+def simhash_groups(spark, sf_dir):
+    return simhash.simhash_digest(table(spark, sf_dir, "documents"))
+
+
+@query("op10_embedding_copies")
+def embedding_copies(spark, sf_dir):
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
