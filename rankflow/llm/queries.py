@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankflow.llm import embeddings, licenses, pii, simhash, url_filter
+from rankflow.llm import (
+    decontaminate,
+    embeddings,
+    licenses,
+    packing,
+    pii,
+    simhash,
+    tokens,
+    url_filter,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -116,3 +126,21 @@ def simhash_groups(spark, sf_dir):
 @query("op10_embedding_copies")
 def embedding_copies(spark, sf_dir):
     return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op2_decontamination")
+def contaminated_documents(spark, sf_dir):
+    return decontaminate.mark_contaminated(table(spark, sf_dir, "documents"),
+                                           table(spark, sf_dir, "benchmark"))
+
+
+@query("op8_packing")
+def packed_documents(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"),
+                                  public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op9_token_counts")
+def token_counts(spark, sf_dir):
+    return tokens.count_tokens(table(spark, sf_dir, "documents"),
+                               public_tokenizers.path("piece_bpe_32k.model"))
