@@ -15,7 +15,10 @@ under two words match nothing.  Repeated rows give repeated results.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MIN_DICE = 0.8
@@ -116,29 +119,43 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "short", "Licensed under CC BY-NC 4.0."),
 )
 
-COPYRIGHT_LINE = r"(?im)^[ \t]*(?:copyright|\(c\)).*$"
+COPYRIGHT_LINE = r"^[ \t]*(?:copyright|\(c\))"
+_WORD = "[a-z0-9]+"
 
 
-def normalised_words(text: Column) -> Column:
-    plain = F.regexp_replace(F.lower(F.regexp_replace(text, COPYRIGHT_LINE, " ")), "[^a-z0-9]+", " ")
-    return F.filter(F.split(plain, " "), lambda w: w != "")
+def line_words(line: Column) -> Column:
+    """The words of one line in lower case; a copyright line has none."""
+    return F.when(line.rlike(COPYRIGHT_LINE), F.array().cast("array<string>")).otherwise(
+        F.regexp_extract_all(line, F.lit(_WORD), F.lit(0)))
 
 
 def bigram_set(words: Column) -> Column:
-    """The distinct neighbouring pairs of an array of words."""
-    heads = F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0)))
-    tails = F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0)))
-    return F.array_distinct(F.zip_with(heads, tails, lambda a, b: F.concat_ws(" ", a, b)))
+    """The distinct neighbouring pairs of an array of words, as 64-bit hashes."""
+    pairs = F.greatest(F.size(words) - 1, F.lit(0))
+    heads, tails = F.slice(words, F.lit(1), pairs), F.slice(words, F.lit(2), pairs)
+    return F.array_distinct(F.zip_with(heads, tails, lambda a, b: F.xxhash64(a, b)))
+
+
+def _admissible(size: int, min_dice: float) -> tuple[int, int]:
+    """Sizes that a set must have to match one of ``size``."""
+    low, high = size * min_dice / (2 - min_dice), size * (2 - min_dice) / min_dice
+    return max(1, math.ceil(low - 1e-9)), math.floor(high + 1e-9)
+
+
+def template_sizes() -> list[int]:
+    """The number of distinct bigrams of each template."""
+    found = [re.findall(_WORD, body.lower()) for _, _, body in TEMPLATES]
+    return [len(set(zip(words, words[1:]))) for words in found]
 
 
-def template_table(spark, min_dice: float) -> DataFrame:
-    """``license, template, bigrams, size`` and one row per admissible size of a unit."""
-    raw = spark.createDataFrame(list(TEMPLATES), "license string, template string, body string")
-    sets = raw.select("license", "template", bigram_set(normalised_words(F.col("body"))).alias("grams"))
-    size = F.size("grams")
-    low = F.ceil(size * F.lit(min_dice / (2 - min_dice)) - F.lit(1e-9)).cast("int")
-    high = F.floor(size * F.lit((2 - min_dice) / min_dice) + F.lit(1e-9)).cast("int")
-    return sets.select("*", F.explode(F.sequence(F.greatest(low, F.lit(1)), high)).alias("size"))
+def template_table(spark: SparkSession, min_dice: float) -> DataFrame:
+    """``license, template, grams, own_size`` and a row for each admissible ``size``."""
+    rows = [(*t, *_admissible(n, min_dice)) for t, n in zip(TEMPLATES, template_sizes())]
+    raw = spark.createDataFrame(
+        rows, "license string, template string, body string, low int, high int")
+    sets = raw.withColumn("grams", bigram_set(line_words(F.lower("body"))))
+    return sets.select("license", "template", "grams", F.size("grams").alias("own_size"),
+                       F.explode(F.sequence("low", "high")).alias("size"))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
@@ -147,31 +164,46 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     ``unit`` is text, block or line; ``position`` counts blocks and lines from 0.
     """
-    lines, blocks = F.split(text, "\n"), F.split(text, r"\n[ \t]*\n")
-
-    def units(kind: str, parts: Column, when: Column) -> Column:
-        made = F.transform(parts, lambda p, i: F.struct(
-            F.lit(kind).alias("unit"), i.cast("bigint").alias("position"), p.alias("body")))
-        none = F.array().cast("array<struct<unit:string,position:bigint,body:string>>")
-        return F.when(when, made).otherwise(none)
-
-    several = F.filter(blocks, lambda b: b.contains("\n"))
-    all_units = F.concat(
-        units("line", lines, F.lit(True)),
-        F.filter(units("block", blocks, (F.size(blocks) > 1) & (F.size(several) > 0)),
-                 lambda u: u["body"].contains("\n")),
-        units("text", F.array(F.col(text)), F.size(lines) > 1))
-    cut = docs.where(F.col(text).isNotNull()).select(
-        F.col(id_col).alias("_id"), F.explode(all_units).alias("_u")).select("_id", "_u.*")
-    # Bigrams are built once per unit, before the size of their set is asked for.
-    grams = cut.select("_id", "unit", "position", F.explode(F.array(
-        bigram_set(normalised_words(F.col("body"))))).alias("_grams"))
-    sized = grams.withColumn("size", F.size("_grams"))
+    bounds = [_admissible(n, min_dice) for n in template_sizes()]
+    least, most = min(a for a, _ in bounds), max(b for _, b in bounds)
+    no_units = F.array().cast("array<struct<unit:string,position:bigint,words:array<string>>>")
+
+    def words_of(part: Column) -> Column:
+        return F.transform(F.split(part, "\n"), line_words)
+
+    def unit(kind: str, position: Column, words: Column) -> Column:
+        return F.struct(F.lit(kind).alias("unit"), position.cast("bigint").alias("position"),
+                        words.alias("words"))
+
+    # A one-element explode keeps the words of a text from being made once per use.
+    body = F.lower(F.col(text))
+    blocks = F.when(body.rlike(r"\n[ \t]*\n"), F.transform(
+        F.split(body, r"\n[ \t]*\n"), lambda b, i: F.when(
+            b.contains("\n"), unit("block", i, F.flatten(words_of(b))))))
+    held = docs.where(F.col(text).isNotNull()).select(
+        F.col(id_col).alias("_id"),
+        F.explode(F.array(F.struct(words_of(body).alias("lines"), blocks.alias("blocks"))))
+        .alias("_t")).select("_id", "_t.*")
+    units = F.concat(
+        F.transform("lines", lambda w, i: unit("line", i, w)),
+        F.coalesce(F.filter("blocks", lambda u: u.isNotNull()), no_units),
+        F.when(F.size("lines") > 1, F.array(unit("text", F.lit(0), F.flatten("lines"))))
+        .otherwise(no_units))
+
+    # No set is larger than its words allow, nor smaller than that of its opening words.
+    def may_match(u: Column) -> Column:
+        n = F.size(u["words"])
+        opening = F.size(bigram_set(F.slice(u["words"], 1, most + 2)))
+        return F.when(n <= least, False).when(n <= most + 1, True).otherwise(opening <= most)
+
+    cut = held.select("_id", F.explode(F.filter(units, may_match)).alias("_u")).select("_id", "_u.*")
+    grams = cut.select("_id", "unit", "position",
+                       F.explode(F.array(bigram_set(F.col("words")))).alias("_grams"))
     table = template_table(docs.sparkSession, min_dice)
     both = F.size(F.array_intersect("_grams", "grams"))
-    dice = F.round(2.0 * both / (F.col("size") + F.size("grams")), 6)
-    return sized.join(F.broadcast(table), "size").withColumn("dice", dice).where(
-        F.col("dice") >= min_dice).select(
+    dice = F.round(2.0 * both / (F.col("size") + F.col("own_size")), 6)
+    return grams.withColumn("size", F.size("_grams")).join(F.broadcast(table), "size").withColumn(
+        "dice", dice).where(F.col("dice") >= min_dice).select(
         F.col("_id").alias(id_col), "unit", "position", "license", "template", "dice")
 
 
