@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from rankflow.llm import (
     decontaminate,
     embeddings,
+    language_model,
     licenses,
     packing,
     pii,
+    quality,
     simhash,
     tokens,
     url_filter,
@@ -144,3 +146,13 @@ def packed_documents(spark, sf_dir):
 def token_counts(spark, sf_dir):
     return tokens.count_tokens(table(spark, sf_dir, "documents"),
                                public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op4_quality")
+def quality_scores(spark, sf_dir):
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op7_language_model")
+def language_model_scores(spark, sf_dir):
+    return language_model.score_documents(table(spark, sf_dir, "documents"))
