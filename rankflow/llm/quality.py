@@ -93,7 +93,8 @@ def _describe(text: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray
         n, KINDS) / size[:, None]
     if not len(begins):
         return x, cuts
-    total = np.maximum(1, np.bincount(part, minlength=n))
+    held = np.bincount(part, minlength=n)
+    total = np.maximum(1, held)
 
     def share(flag: np.ndarray) -> np.ndarray:
         return np.bincount(part, weights=flag, minlength=n) / total
@@ -113,7 +114,7 @@ def _describe(text: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray
     fresh = pairs[np.r_[True, pairs[1:] != pairs[:-1]]]
     distinct = np.bincount((fresh >> np.uint64(32)).astype(np.int64), minlength=n)
     k = KINDS
-    for value in (total / WORDS, share(length) / 10, share(length <= 2), share(length >= 12),
+    for value in (held / WORDS, share(length) / 10, share(length <= 2), share(length >= 12),
                   share(head == UPPER), share((ups == letters) & (letters >= 2)),
                   share((tail == SIGN) | (tail == FRAME) | (tail == CALL)),
                   share(digit[ends] > digit[begins]), share(letters == 0), share(again),
