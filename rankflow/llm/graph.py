@@ -47,7 +47,7 @@ def components(links: DataFrame) -> DataFrame:
         return live.select(F.col("u").alias("node"), F.col("v").alias("root"))
     found = rounds[-1]
     for joined in reversed(rounds[:-1]):
-        later = found.withColumnsRenamed({"node": "root", "root": "last"})
+        later = found.select(F.col("node").alias("root"), F.col("root").alias("last"))
         found = stage(joined.join(later, "root", "left").select(
             "node", F.coalesce("last", "root").alias("root")), "found")
     return found
