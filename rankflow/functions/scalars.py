@@ -42,10 +42,6 @@ def window_id(ts: str | Column, window_seconds: float) -> Column:
     return F.floor(epoch_ms(ts) / F.lit(width)).cast("bigint")
 
 
-def window_id_of_ms(ms: str | Column, window_ms: int) -> Column:
-    return F.floor(as_column(ms).cast("bigint") / F.lit(window_ms)).cast("bigint")
-
-
 def ingestion_time() -> Column:
     """Wall clock in milliseconds; one value per batch."""
     return F.unix_millis(F.current_timestamp())
@@ -130,11 +126,6 @@ def per_item_time(
     return df.withColumns(out)
 
 
-def row_cap(df: DataFrame, n: int) -> DataFrame:
-    """At most ``n`` rows, for the sources that are read up to a row count."""
-    return df.limit(n)
-
-
 def melt_quantiles(df: DataFrame, keys: Sequence[str], ps: Sequence[float] = QUANTILES,
                    value: str = "value") -> DataFrame:
     """One row per quantile from a wide result: keys, ``quantile``, value."""

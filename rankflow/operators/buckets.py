@@ -42,6 +42,13 @@ _NEVER = 99
 _SHIFT = 1 << 40
 
 
+def checked_bound(max_buckets: int) -> int:
+    """A store with both signs, and values on both sides of 1, never has fewer than 4."""
+    if max_buckets < 4:
+        raise ValueError(f"max_buckets must be at least 4, not {max_buckets}")
+    return max_buckets
+
+
 def gamma(alpha: float) -> float:
     return (1 + alpha) / (1 - alpha)
 
@@ -258,6 +265,7 @@ def udds_collapse(buckets: DataFrame, keys: Sequence[str] = (),
                   max_buckets: int = MAX_BUCKETS) -> DataFrame:
     """Collapse groups (all rows of a group at one level) to ``max_buckets``."""
     keys = list(keys)
+    checked_bound(max_buckets)
     # The filter keeps the counts in both uses of the table, so that both are
     # served by one aggregation of the input.
     buckets = buckets.where(F.col("n") > 0)
@@ -280,7 +288,7 @@ class BucketState:
     """Bucket counts of a group, collapsed to ``max_buckets`` as it grows."""
 
     def __init__(self, max_buckets: int) -> None:
-        self.max_buckets = max_buckets
+        self.max_buckets = checked_bound(max_buckets)
         self.level = 0
         self.codes = np.empty(0, dtype=np.int64)  # sgn * (idx + _SHIFT)
         self.n = np.empty(0, dtype=np.int64)
@@ -366,6 +374,7 @@ def udds_partials(df: DataFrame, value: str | Column, keys: Sequence[str] = (),
     A task sees part of a group and so never collapses further than the group
     ends up, which keeps the result exact.
     """
+    checked_bound(max_buckets)
     x = as_column(value).cast("double")
     code = F.when(x == 0, F.lit(0)).otherwise(
         F.signum(x).cast("bigint")

@@ -4,11 +4,11 @@ Two plans give the same rows:
 
 * groups known to be small use ``percentile_disc``, which holds a value-to-count
   map per group;
-* any other group is narrowed down in rounds.  A first scan counts values in
-  coarse blocks, which tells the block of every wanted rank; a second scan keeps
-  only those blocks and counts values in 2**20 equal slices of each; the last
-  step walks the distinct values of the wanted slices.  No task ever holds the
-  values of a whole group, and the bulk of the rows is never shuffled.
+* any other group is narrowed down in three rounds.  The first counts rows in ranges
+  of the logarithm, the second counts rows in 2**20 equal parts of what a range with
+  a wanted rank spans, and the third counts the values of the parts that hold one.
+  A task sends counts per range or part, and values only of parts that hold a rank.
+  It is one lazy plan that reads the input once per round.
 """
 
 from __future__ import annotations
@@ -19,13 +19,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankflow.functions.scalars import QUANTILES, as_column, quantile_column
-from rankflow.scratch import BROADCAST_ROWS, hint_broadcast, is_small, join_groups, stage
+from rankflow.scratch import join_groups
 
-#: Most rows of a group for which one aggregation buffer may hold its values.  A
-#: task can hold some hundred such buffers at about 60 bytes per value.
-SMALL_GROUP = 100_000
+#: Most values of a group for which one aggregation buffer may hold them all.  A task
+#: can hold some hundred such buffers at about 60 bytes per value.
+SMALL_GROUP = 10_000
 
-#: Slices a block is cut into in the second round.
+#: Parts a block is cut into in the second round.
 SLICES = 1 << 20
 
 Rank = Callable[[Column], Column]
@@ -69,66 +69,57 @@ def _locate(counts: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     )
 
 
+def _hits(counts: DataFrame, ranks: Column) -> DataFrame:
+    """Blocks (rows with ``_before`` and ``_upto``) that hold one of ``ranks``, which are
+    counted from the block's first row on."""
+    inside = F.filter(
+        ranks, lambda r: (r["rank"] > F.col("_before")) & (r["rank"] <= F.col("_upto")))
+    moved = F.transform(inside, lambda r: F.struct(
+        r["name"].alias("name"), (r["rank"] - F.col("_before")).alias("rank")))
+    return counts.withColumn("_ranks", moved).where(F.size("_ranks") > 0)
+
+
 def order_statistics(df: DataFrame, value: str | Column, keys: Sequence[str],
                      ranks: dict[str, Rank], weight: str | None = None) -> DataFrame:
     """The values at the given ranks of each group, as one column per rank.
 
     ``ranks`` maps a column name to a function from the group size to a 1-based
     rank.  A ``weight`` column says how many rows a row stands for.  The result has
-    ``keys, n`` and the rank columns.  NULLs are left out and NaN sorts last.
+    ``keys, n`` and the rank columns; without keys it is one row, also over nothing.
+    NULLs are left out and NaN sorts last.
     """
     keys = list(keys)
     rows = F.lit(1).cast("bigint") if weight is None else F.col(weight)
     base = df.select(
         *keys, as_column(value).cast("double").alias("_v"), rows.alias("_w")
-    ).where(F.col("_v").isNotNull())
+    ).where(F.col("_v").isNotNull()).withColumn("_block", _block(F.col("_v")))
+    count = (F.sum("_w").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
 
     # Round 1: blocks, at most 80,000 rows per group whatever its size.
-    blocked = base.withColumn("_block", _block(F.col("_v")))
-    hist = blocked.groupBy(*keys, "_block").agg(
-        F.sum("_w").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
-    )
-    n = F.sum("_c").over(Window.partitionBy(*keys))
     wanted = F.array(*[
-        F.struct(F.lit(name).alias("name"), rank(F.col("_n")).alias("rank"))
+        F.struct(F.lit(name).alias("name"), rank(F.col("_n")).cast("bigint").alias("rank"))
         for name, rank in ranks.items()
     ])
-    hits = F.filter(
-        wanted, lambda r: (r["rank"] > F.col("_before")) & (r["rank"] <= F.col("_upto"))
-    )
-    targets = stage(
-        _locate(hist, keys, "_block").withColumn("_n", n)
-        .select(*keys, "_n", "_block", "_lo", "_hi", "_before", F.explode(hits).alias("_r"))
-        .select(*keys, "_n", "_block", "_lo", "_hi", F.col("_r.name").alias("_name"),
-                (F.col("_r.rank") - F.col("_before")).alias("_rank")),
-        "ranks",
-    )
-    small = is_small(targets)
+    sized = _locate(base.groupBy(*keys, "_block").agg(*count), keys, "_block").withColumn(
+        "_n", F.sum("_c").over(Window.partitionBy(*keys)))
+    found = _hits(sized, wanted).select(*keys, "_block", "_n", "_lo", "_hi", "_ranks")
 
-    # Round 2: only rows in a wanted block, counted per distinct value.
+    # Round 2: equal parts of the blocks that hold a rank.
     at = [*keys, "_block"]
-    blocks = targets.select(*at, "_lo", "_hi").distinct()
-    values = (
-        join_groups(blocked, hint_broadcast(blocks, small), at)
-        .withColumn("_slice", _slice(F.col("_v"), F.col("_lo"), F.col("_hi")))
-        .groupBy(*at, "_slice", "_v")
-        .agg(F.sum("_w").alias("_c"))
-    )
-    slices = _locate(values.groupBy(*at, "_slice").agg(F.sum("_c").alias("_c")), at, "_slice")
-    found = (
-        join_groups(slices, hint_broadcast(targets.drop("_lo", "_hi"), small), at)
-        .where((F.col("_rank") > F.col("_before")) & (F.col("_rank") <= F.col("_upto")))
-        .select(*at, "_slice", "_n", "_name", (F.col("_rank") - F.col("_before")).alias("_rank"))
-    )
-
-    # Round 3: walk the distinct values of the wanted slices, once per rank.
+    inside = join_groups(base, found.select(*at, "_lo", "_hi"), at).select(
+        *at, _slice(F.col("_v"), F.col("_lo"), F.col("_hi")).alias("_slice"), "_v", "_w")
+    parts = _locate(inside.groupBy(*at, "_slice").agg(F.sum("_w").alias("_c")), at, "_slice")
+    held = join_groups(parts, found.select(*at, "_n", "_ranks"), at)
     at = [*at, "_slice"]
-    near = join_groups(values, hint_broadcast(found, small), at)
-    picked = _locate(near, [*at, "_name"], "_v").where(
-        (F.col("_rank") > F.col("_before")) & (F.col("_rank") <= F.col("_upto"))
-    )
-    cols = [F.max(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in ranks]
-    return picked.groupBy(*keys).agg(F.max("_n").alias("n"), *cols)
+    found = _hits(held, F.col("_ranks")).select(*at, "_n", "_ranks")
+
+    # Round 3: the distinct values of the parts that hold a rank.
+    values = _locate(join_groups(inside, found.select(*at), at).groupBy(*at, "_v").agg(
+        F.sum("_w").alias("_c")), at, "_v")
+    picked = _hits(join_groups(values, found, at), F.col("_ranks"))
+    names = F.col("_ranks.name")
+    cols = [F.max(F.when(F.array_contains(names, name), F.col("_v"))).alias(name) for name in ranks]
+    return picked.groupBy(*keys).agg(F.coalesce(F.max("_n"), F.lit(0)).alias("n"), *cols)
 
 
 def exact_quantiles_large(df: DataFrame, value: str | Column, keys: Sequence[str] = (),
@@ -167,31 +158,29 @@ def exact_quantiles_small(df: DataFrame, value: str | Column, keys: Sequence[str
     return _rounded(wide.select(*keys, "n", *picks), keys, ps, places)
 
 
-def hot_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The groups past ``SMALL_GROUP`` rows, as a stage table (reads keys only)."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-    return stage(sizes.where(F.col("_size") > SMALL_GROUP), "hot")
+def hot_groups(df: DataFrame, value: str | Column, keys: Sequence[str]) -> DataFrame:
+    """The groups of more than ``SMALL_GROUP`` values."""
+    sizes = df.groupBy(*keys).agg(F.count(as_column(value)).alias("_size"))
+    return sizes.where(F.col("_size") > SMALL_GROUP).drop("_size")
 
 
 def exact_quantiles(df: DataFrame, value: str | Column, keys: Sequence[str] = (),
                     ps: Sequence[float] = QUANTILES, places: int | None = 4) -> DataFrame:
-    """Exact quantiles, each group by the plan its measured size calls for.
+    """Exact quantiles, each group by the plan its number of values calls for.
 
     Small groups take one aggregation however many there are; only the rows of
-    the hot groups, at most one group per ``SMALL_GROUP`` rows, are narrowed down.
+    the hot groups, at most one group per ``SMALL_GROUP`` values, are narrowed down.
+    Without keys there is one group of unknown size, which is always narrowed down.
+    The plan does not run anything before it is asked for rows.
     """
     keys = list(keys)
-    hot = hot_groups(df, keys)
-    found = hot.count()
-    if not found:
-        return exact_quantiles_small(df, value, keys, ps, places)
     if not keys:
         return exact_quantiles_large(df, value, keys, ps, places)
-    listed = hint_broadcast(hot.drop("_size"), found <= BROADCAST_ROWS)
     rows = df.select(*keys, as_column(value).cast("double").alias("_value"))
-    cold = join_groups(rows, listed, keys, "left_anti")
+    hot = hot_groups(rows, "_value", keys)
+    cold = join_groups(rows, hot, keys, "left_anti")
     return exact_quantiles_small(cold, "_value", keys, ps, places).unionByName(
-        exact_quantiles_large(join_groups(rows, listed, keys, "left_semi"), "_value", keys, ps,
+        exact_quantiles_large(join_groups(rows, hot, keys, "left_semi"), "_value", keys, ps,
                               places))
 
 

@@ -23,9 +23,7 @@ SHARES = 64
 def kll_counts(df: DataFrame, value: str | Column, keys: Sequence[str] = (),
                k: int = K) -> DataFrame:
     """One sketch per group in a single aggregation (also on streams)."""
-    return _rows(df, value, keys).groupBy(*keys).agg(
-        F.kll_sketch_agg_float("_v", F.lit(k)).alias("sketch")
-    )
+    return _rows(df, value, keys).groupBy(*keys).agg(sketch_of("_v", k))
 
 
 def kll_build(df: DataFrame, value: str | Column, keys: Sequence[str] = (), k: int = K,
@@ -38,21 +36,32 @@ def kll_build(df: DataFrame, value: str | Column, keys: Sequence[str] = (), k: i
     shared = _rows(df, value, keys).withColumn(
         "_share", F.pmod(F.spark_partition_id(), F.lit(shares))
     )
-    parts = shared.groupBy(*keys, "_share").agg(
-        F.kll_sketch_agg_float("_v", F.lit(k)).alias("sketch")
-    )
+    parts = shared.groupBy(*keys, "_share").agg(sketch_of("_v", k))
     return kll_merge(parts, keys, k)
 
 
-def _rows(df: DataFrame, value: str | Column, keys: Sequence[str]) -> DataFrame:
+def usable(value: str | Column) -> Column:
+    """The 32-bit value that a sketch takes; NULL if it is NULL or NaN."""
     v = as_column(value).cast("float")
-    return df.select(*keys, v.alias("_v")).where(F.col("_v") <= F.lit(float("inf")))
+    return F.when(v <= F.lit(float("inf")), v)
+
+
+def _rows(df: DataFrame, value: str | Column, keys: Sequence[str]) -> DataFrame:
+    return df.select(*keys, usable(value).alias("_v")).where(F.col("_v").isNotNull())
+
+
+def sketch_of(v: str, k: int = K) -> Column:
+    """The aggregate of a sketch over a column of usable values."""
+    return F.kll_sketch_agg_float(v, F.lit(k)).alias("sketch")
+
+
+def merged_sketch(k: int = K) -> Column:
+    """The aggregate that merges sketches."""
+    return F.kll_merge_agg_float("sketch", F.lit(k)).alias("sketch")
 
 
 def kll_merge(sketches: DataFrame, keys: Sequence[str] = (), k: int = K) -> DataFrame:
-    return sketches.groupBy(*keys).agg(
-        F.kll_merge_agg_float("sketch", F.lit(k)).alias("sketch")
-    )
+    return sketches.groupBy(*keys).agg(merged_sketch(k))
 
 
 def kll_n(sketch: str | Column = "sketch") -> Column:

@@ -2,9 +2,9 @@
 
 A sketch table has one row per group::
 
-    keys..., n, zmin, zmax, s01 ... s11
+    keys..., n, skipped, zmin, zmax, s01 ... s11
 
-with ``s_k`` the sum of ``z**k`` and ``z = asinh(x)``, or ``asinh(ln x)`` when the
+with ``n`` the values that went in, ``skipped`` those that could not, ``s_k`` the sum of ``z**k`` and ``z = asinh(x)``, or ``asinh(ln x)`` when the
 log transform is on.  Build and merge are plain sums; only the fit, which sees
 one row per group, runs in Python.
 """
@@ -34,55 +34,81 @@ def power_columns(k: int = K) -> list[str]:
     return [f"s{i:02d}" for i in range(1, k)]
 
 
-def moments_build(df: DataFrame, value: str | Column, keys: Sequence[str] = (), k: int = K,
-                  log: bool = False, compress: bool = True) -> DataFrame:
-    """Power sums per group.  With ``log`` only values above zero are defined;
-    others are left out, as are NULL, NaN and infinite values."""
+def usable(value: str | Column, log: bool = False, compress: bool = True) -> Column:
+    """The number whose powers are summed; NULL if there is none."""
     x = as_column(value).cast("double")
     if log:
         x = log_transform(x)  # NULL at and below zero
     z = arcsinh_compress(x) if compress else x
-    # NaN sorts above infinity, so one comparison drops all that is unusable.
-    rows = df.where(F.abs(x) < F.lit(float("inf"))).select(*keys, z.alias("_z"))
-    sums, power = [], F.col("_z")
+    # NaN sorts above infinity, so one comparison finds all that is unusable.
+    return F.when(F.abs(x) < F.lit(float("inf")), z)
+
+
+def power_sums(z: str = "_z", k: int = K) -> list[Column]:
+    """The aggregates of a sketch over rows whose value is not NULL."""
+    sums, power = [], F.col(z)
     for name in power_columns(k):
         sums.append(F.sum(power).alias(name))
-        power = power * F.col("_z")
-    return rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.min("_z").alias("zmin"), F.max("_z").alias("zmax"), *sums
-    )
+        power = power * F.col(z)
+    n = F.count(z)
+    return [n.alias("n"), (F.count(F.lit(1)) - n).alias("skipped"), F.min(z).alias("zmin"),
+            F.max(z).alias("zmax"), *sums]
+
+
+def moments_build(df: DataFrame, value: str | Column, keys: Sequence[str] = (), k: int = K,
+                  log: bool = False, compress: bool = True) -> DataFrame:
+    """Power sums per group.  NULLs are left out.  NaN and infinite values, and with
+    ``log`` those not above zero, have no place either; ``skipped`` counts them."""
+    rows = df.where(as_column(value).isNotNull()).select(
+        *keys, usable(value, log, compress).alias("_z"))
+    return rows.groupBy(*keys).agg(*power_sums("_z", k))
 
 
 def moments_merge(sketches: DataFrame, keys: Sequence[str] = (), k: int = K) -> DataFrame:
-    return sketches.groupBy(*keys).agg(
-        F.sum("n").alias("n"), F.min("zmin").alias("zmin"), F.max("zmax").alias("zmax"),
-        *[F.sum(c).alias(c) for c in power_columns(k)],
-    )
+    return sketches.groupBy(*keys).agg(*merged_sums(k))
+
+
+def merged_sums(k: int = K) -> list[Column]:
+    """The aggregates that merge sketches."""
+    sums = [F.sum(c).alias(c) for c in ("n", "skipped", *power_columns(k))]
+    return [*sums, F.min("zmin").alias("zmin"), F.max("zmax").alias("zmax")]
 
 
 def moments_quantiles(sketch: DataFrame, keys: Sequence[str] = (),
                       ps: Sequence[float] = QUANTILES, k: int = K, log: bool = False,
                       compress: bool = True) -> DataFrame:
-    """``keys, n, pct_..`` from the density that fits the moments."""
-    ranks = np.array([float(p) for p in ps])
+    """``keys, n, skipped, moments_used, converged, pct_..`` from the density that fits.
 
-    @F.pandas_udf("array<double>")
-    def fit(n: pd.Series, lo: pd.Series, hi: pd.Series, sums: pd.Series) -> pd.Series:
-        if n.empty:
-            return pd.Series([], dtype=object)
-        found = solve(n.to_numpy(float), lo.to_numpy(float), hi.to_numpy(float),
-                      np.stack(sums.to_list()).astype(float), ranks)
-        return pd.Series(list(found))
+    A fit that does not converge is tried with fewer moments; ``moments_used`` tells how
+    many it has, counting the total, and ``converged`` is false if none were left but
+    that, which is a uniform density.  A group of skipped values alone has NULL
+    quantiles.
+    """
+    ranks = np.array([float(p) for p in ps])
 
-    solved = sketch.where("n > 0").withColumn(
-        "_q", fit("n", "zmin", "zmax", F.array(*power_columns(k)))
+    @F.pandas_udf("q array<double>, used int, converged boolean")
+    def fit(n: pd.Series, lo: pd.Series, hi: pd.Series, sums: pd.Series) -> pd.DataFrame:
+        q, used, converged = ([None] * len(n) for _ in range(3))
+        some = np.flatnonzero(n.to_numpy() > 0)
+        if len(some):
+            found = solve_with_fit(
+                n.to_numpy(float)[some], lo.to_numpy(float)[some], hi.to_numpy(float)[some],
+                np.stack([sums.iloc[i] for i in some]).astype(float), ranks)
+            for i, quantiles, size, fitted in zip(some, *found):
+                q[i], used[i], converged[i] = quantiles.tolist(), int(size), bool(fitted)
+        return pd.DataFrame({"q": pd.Series(q, dtype=object), "used": pd.array(used, dtype="Int32"),
+                             "converged": pd.array(converged, dtype="boolean")})
+
+    solved = sketch.where("n + skipped > 0").withColumn(
+        "_f", fit("n", "zmin", "zmax", F.array(*power_columns(k)))
     )
     picks = []
     for i, p in enumerate(ps):
-        z = F.col("_q")[i]
+        z = F.col("_f.q")[i]
         x = F.sinh(z) if compress else z
         picks.append((F.exp(x) if log else x).alias(quantile_column(p)))
-    return solved.select(*keys, "n", *picks)
+    return solved.select(*keys, "n", "skipped", F.col("_f.used").alias("moments_used"),
+                         F.col("_f.converged").alias("converged"), *picks)
 
 
 # --- the fit, on a batch of sketch rows ------------------------------------------
@@ -190,18 +216,28 @@ def solve(n: np.ndarray, lo: np.ndarray, hi: np.ndarray, sums: np.ndarray,
           ranks: np.ndarray) -> np.ndarray:
     """Quantiles of ``z``, one row per group; a group uses as many of its moments
     as its fit converges with."""
+    return solve_with_fit(n, lo, hi, sums, ranks)[0]
+
+
+def solve_with_fit(n: np.ndarray, lo: np.ndarray, hi: np.ndarray, sums: np.ndarray,
+                   ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Quantiles, the number of moments used and whether the fit converged, per group."""
     out = np.empty((len(n), len(ranks)))
+    used, converged = np.empty(len(n), dtype=np.int64), np.empty(len(n), dtype=bool)
     for start in range(0, len(n), _ROWS):
         part = slice(start, start + _ROWS)
-        out[part] = _solve(n[part], lo[part], hi[part], sums[part], ranks)
-    return out
+        out[part], used[part], converged[part] = _solve(n[part], lo[part], hi[part], sums[part],
+                                                        ranks)
+    return out, used, converged
 
 
-def _solve(n, lo, hi, sums, ranks) -> np.ndarray:
+def _solve(n, lo, hi, sums, ranks) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     out = np.repeat(lo[:, None], len(ranks), axis=1)
+    # A group of one value is exact with all its moments.
+    used, fitted = np.full(len(n), sums.shape[1] + 1), np.ones(len(n), dtype=bool)
     open_rows = np.flatnonzero(hi > lo)
     if not len(open_rows):
-        return out
+        return out, used, fitted
     target, size = _scaled_moments(n[open_rows], lo[open_rows], hi[open_rows], sums[open_rows])
     edges = np.concatenate(([-1.0], -1.0 + np.cumsum(_WEIGHTS)))
     while len(open_rows):
@@ -211,6 +247,7 @@ def _solve(n, lo, hi, sums, ranks) -> np.ndarray:
             mass = np.concatenate(([0.0], np.cumsum(_WEIGHTS * density[i])))
             at = np.interp(ranks, mass / mass[-1], edges)
             out[row] = (lo[row] + hi[row]) / 2 + at * (hi[row] - lo[row]) / 2
+            used[row], fitted[row] = size[i], converged[i] and size[i] > 1
         again = ~converged & (size > 1)
         open_rows, target, size = open_rows[again], target[again], size[again] - 1
-    return out
+    return out, used, fitted

@@ -12,10 +12,18 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import ArrayType, BinaryType, MapType, StructField, StructType
+from pyspark.sql.types import (
+    ArrayType,
+    BinaryType,
+    IntegerType,
+    MapType,
+    StructField,
+    StructType,
+)
 
 #: Rows a task gathers before it updates its states; more with many states, so
 #: that each update brings its state several rows, up to the second number.
@@ -50,7 +58,10 @@ def split_groups(table: pa.Table, keys: Sequence[str], value: str) -> Iterator[t
 
 def reduce_tasks(rows: DataFrame, keys: Sequence[str], value: str,
                  new: Callable[[], object]) -> DataFrame:
-    """Feed each group's values to a state: ``keys, sketch BINARY`` per task.
+    """Feed each group's values to a state: ``keys, sketch BINARY, task, seq`` per task.
+
+    ``task`` is the number of the input partition and ``seq`` counts its hand-overs; a
+    task that runs again has the same ones, whatever order its rows come in.
 
     ``new()`` makes a state with ``add(array)`` and ``to_bytes()``.  No shuffle.
     """
@@ -58,28 +69,34 @@ def reduce_tasks(rows: DataFrame, keys: Sequence[str], value: str,
     nested = [k for k in keys if isinstance(rows.schema[k].dataType, (StructType, ArrayType, MapType))]
     if nested:
         raise ValueError(f"group by plain columns (such as window.start), not by {nested}")
-    schema = StructType([rows.schema[k] for k in keys] + [StructField("sketch", BinaryType())])
+    schema = StructType([*[rows.schema[k] for k in keys], StructField("sketch", BinaryType()),
+                         StructField("task", IntegerType()), StructField("seq", IntegerType())])
     out_schema = to_arrow_schema(schema)
 
-    def batch_of(states: dict) -> pa.RecordBatch:
+    def batch_of(states: dict, seq: int) -> pa.RecordBatch:
         arrays = [
             pa.array([key[i] for key in states], type=out_schema.field(k).type)
             for i, k in enumerate(keys)
         ]
         blobs = pa.array([s.to_bytes() for s in states.values()],
                          type=out_schema.field("sketch").type)
-        return pa.RecordBatch.from_arrays([*arrays, blobs], schema=out_schema)
+        context = TaskContext.get()
+        task = context.partitionId() if context else 0
+        marks = [pa.array([n] * len(states), pa.int32()) for n in (task, seq)]
+        return pa.RecordBatch.from_arrays([*arrays, blobs, *marks], schema=out_schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         states: dict = {}
         waiting: list[pa.RecordBatch] = []
-        held = 0
+        held = seq = 0
 
         def absorb() -> Iterator[pa.RecordBatch]:
+            nonlocal seq
             for key, values in split_groups(pa.Table.from_batches(waiting), keys, value):
                 if key not in states:
                     if len(states) >= MAX_STATES:
-                        yield batch_of(states)
+                        yield batch_of(states, seq)
+                        seq += 1
                         states.clear()
                     states[key] = new()
                 states[key].add(values)
@@ -93,7 +110,7 @@ def reduce_tasks(rows: DataFrame, keys: Sequence[str], value: str,
         if held:
             yield from absorb()
         if states:
-            yield batch_of(states)
+            yield batch_of(states, seq)
 
     return rows.mapInArrow(run, schema)
 
@@ -105,18 +122,24 @@ def merge_states(states: DataFrame, keys: Sequence[str],
     A hot group's states are merged by up to ``shares`` tasks.  Each task reads its
     states sorted by group and holds only the current one, whatever the number of
     groups or of states.
+
+    States of ``reduce_tasks`` are dealt and ordered by task, so a task that runs again
+    sends its states where the first run did.  Stored sketches have no task; they are
+    dealt and ordered by their bytes, which do not change.
     """
     keys = list(keys)
-    share = F.pmod(F.xxhash64("sketch"), F.lit(shares)).cast("int")
-    parts = states.select(*keys, share.alias("_share"), "sketch")
-    return _merge(_merge(parts, [*keys, "_share"], load).drop("_share"), keys, load)
+    order = ["task", "seq"] if "task" in states.columns else ["sketch"]
+    by = F.col("task") if "task" in states.columns else F.xxhash64("sketch")
+    parts = states.withColumn("_share", F.pmod(by, F.lit(shares)).cast("int"))
+    return _merge(_merge(parts, [*keys, "_share"], load, order), keys, load, ["_share"])
 
 
 def _same(a: tuple, b: tuple) -> bool:
     return all(x == y or (x != x and y != y) for x, y in zip(a, b))
 
 
-def _merge(states: DataFrame, keys: list[str], load: Callable[[bytes], object]) -> DataFrame:
+def _merge(states: DataFrame, keys: list[str], load: Callable[[bytes], object],
+           order: list[str]) -> DataFrame:
     columns = [*keys, "sketch"]
     schema = StructType([states.schema[c] for c in columns])
     out_schema = to_arrow_schema(schema)
@@ -150,7 +173,5 @@ def _merge(states: DataFrame, keys: list[str], load: Callable[[bytes], object])
         if done:
             yield flush()
 
-    spread = states.select(*columns)
-    spread = spread.repartition(*keys).sortWithinPartitions(*keys) if keys else (
-        spread.repartition(1))
-    return spread.mapInArrow(combine, schema)
+    spread = states.repartition(*keys) if keys else states.repartition(1)
+    return spread.sortWithinPartitions(*keys, *order).select(*columns).mapInArrow(combine, schema)

@@ -13,7 +13,7 @@ from rankflow.functions.scalars import QUANTILES, quantile_column, quantile_colu
 from rankflow.operators import kll, moments, req, stats
 from rankflow.operators.exact import exact_quantiles
 from rankflow.operators.late import drop_last_partial_window
-from rankflow.plans.methods import SKETCHES, method
+from rankflow.plans.methods import SKETCHES, method, run_methods, shared_sketches
 from rankflow.scratch import hint_broadcast, is_small, join_groups, stage
 
 # Which quantiles each accuracy band averages.  0.01 is in none.
@@ -28,29 +28,33 @@ def acc_column(p: float) -> str:
 
 
 def accuracy_by_window(approx: DataFrame, real: DataFrame, window: str = "window_id",
-                       ps: Sequence[float] = QUANTILES) -> DataFrame:
-    """Join sketch and exact rows on the window and add the relative errors.
+                       ps: Sequence[float] = QUANTILES, keys: Sequence[str] = (),
+                       run: Column | None = None) -> DataFrame:
+    """Join sketch and exact rows on the window (and ``keys``) and add the relative errors.
 
-    Result: ``run_id, window_id, pct_.._acc, win_size`` (``query_time`` too where
-    the sketch rows carry it).
+    Result: ``run_id, window_id, keys, pct_.._acc, win_size`` (``query_time`` and
+    ``num_retained`` too where the sketch rows carry them).  ``run`` says which run a
+    window belongs to, such as ``run_id(window)``; by default all are one run, 0.
     """
     size = "win_size" if "win_size" in real.columns else "n"
-    r = real.select(F.col(window).alias("_w"), F.col(size).cast("bigint").alias("win_size"),
+    groups = [window, *keys]
+    r = real.select(*groups, F.col(size).cast("bigint").alias("win_size"),
                     *[F.col(c).alias(f"{c}_real") for c in quantile_columns(ps)])
-    joined = approx.join(r, F.col(window) == F.col("_w"))
-    kept = [c for c in ("query_time",) if c in approx.columns]
+    kept = [c for c in ("query_time", "num_retained") if c in approx.columns]
+    joined = join_groups(approx.select(*groups, *quantile_columns(ps), *kept), r, groups)
     errors = [
         scalars.relative_error(quantile_column(p), f"{quantile_column(p)}_real")
         .alias(acc_column(p))
         for p in ps
     ]
-    return joined.select(scalars.run_id(window).alias("run_id"), window, *errors, *kept, "win_size")
+    number = F.lit("0") if run is None else run
+    return joined.select(number.alias("run_id"), *groups, *errors, *kept, "win_size")
 
 
 def accuracy_by_run(by_window: DataFrame, ps: Sequence[float] = QUANTILES) -> DataFrame:
     """Mean errors (and sizes, times) per run."""
     columns = [acc_column(p) for p in ps]
-    columns += [c for c in ("query_time", "win_size") if c in by_window.columns]
+    columns += [c for c in ("query_time", "num_retained", "win_size") if c in by_window.columns]
     return stats.group_mean(by_window, ["run_id"], columns)
 
 
@@ -122,28 +126,35 @@ def collapse_cost(dds: DataFrame, ddsc: DataFrame) -> DataFrame:
     )
 
 
-def prepare_results(results: DataFrame, window: str = "window_id",
-                    num_windows: int = 10) -> DataFrame:
-    """Drop each run's last, partial window.
+def prepare_results(results: DataFrame, run: Column, window: str = "window_id",
+                    num_windows: int | None = None) -> DataFrame:
+    """Drop the last, partial window of each run of more than ``num_windows``, if asked.
 
-    The results are staged, one row per window, as the trimming reads them twice.
+    Nothing is dropped unless ``num_windows`` is given.
     """
-    staged = stage(results, "results").withColumn("run_id", scalars.run_id(window))
-    return drop_last_partial_window(staged, window, "run_id", num_windows).drop("run_id")
+    if num_windows is None:
+        return results
+    marked = results.withColumn("_run", run)
+    return drop_last_partial_window(marked, window, "_run", num_windows).drop("_run")
 
 
 def evaluate_methods(df: DataFrame, value: str | Column, names: Sequence[str] = SKETCHES,
-                     window: str = "window_id", log: bool = False) -> DataFrame:
+                     window: str = "window_id", log: bool = False, run: Column | None = None,
+                     num_windows: int | None = None) -> DataFrame:
     """Accuracy bands of several methods: ``algo, run_id, mid, upper, p99``.
 
-    ``df`` carries the window id.  The exact side is computed once.
+    ``df`` carries the window id, ``run`` and ``num_windows`` are those of
+    ``accuracy_by_window`` and ``prepare_results``.  The exact side is computed once.
     """
     real = stage(exact_quantiles(df, value, [window]), "exact")
+    wide = run_methods(df, value, names, [window], log=log)
+    approx = stage(wide, "results")
     parts = []
     for name in names:
-        approx = prepare_results(method(name, log and name == "moments").run(df, value, [window]))
-        bands = accuracy_bands(accuracy_by_run(accuracy_by_window(approx, real, window)))
-        parts.append(bands.select(F.lit(name).alias("algo"), "*"))
+        own = approx.where(F.col("algo") == name).drop("algo")
+        kept = prepare_results(own, F.lit("0") if run is None else run, window, num_windows)
+        errors = accuracy_by_window(kept, real, window, run=run)
+        parts.append(accuracy_bands(accuracy_by_run(errors)).select(F.lit(name).alias("algo"), "*"))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -181,40 +192,35 @@ def adaptability_report(table: DataFrame, columns: Sequence[str]) -> DataFrame:
 def adaptability_table(df: DataFrame, value: str | Column, names: Sequence[str],
                        run: str = "run_id", ps: Sequence[float] = QUANTILES) -> DataFrame:
     """Exact and sketch values at every quantile of each run, one row each."""
-    real = scalars.melt_quantiles(exact_quantiles(df, value, [run], ps), [run], ps, "actual")
-    out = real
-    for name in names:
-        wide = method(name).run(df, value, [run], ps)
-        long = scalars.melt_quantiles(wide, [run], ps, name).withColumnsRenamed(
-            {run: "_r", "quantile": "_q"}
-        )
-        out = out.join(long, (F.col(run) == F.col("_r")) & (F.col("quantile") == F.col("_q")))
-        out = out.drop("_r", "_q")
-    return out
+    actual = scalars.melt_quantiles(exact_quantiles(df, value, [run], ps), [run], ps, "actual")
+    wide = run_methods(df, value, names, [run], ps)
+    each = scalars.melt_quantiles(wide, ["algo", run], ps, "value")
+    columns = each.groupBy(run, "quantile").agg(
+        *[F.max(F.when(F.col("algo") == name, F.col("value"))).alias(name) for name in names])
+    return join_groups(actual, columns, [run, "quantile"])
 
 
 def kurtosis_table(df: DataFrame, dataset: str, value: str, names: Sequence[str],
-                   p: float = 0.98) -> DataFrame:
-    """Per data set: kurtosis, the exact quantile and each sketch's."""
-    q = quantile_column(p)
-    out = df.groupBy(dataset).agg(F.round(stats.kurtosis(value), 4).alias("kurtosis"))
-    sides = {"actual": exact_quantiles(df, value, [dataset], [p])}
-    for name in names:
-        sides[name] = method(name).run(df, value, [dataset], [p])
-    for name, wide in sides.items():
-        one = wide.select(F.col(dataset).alias("_d"), F.col(q).alias(name))
-        out = out.join(one, F.col(dataset) == F.col("_d")).drop("_d")
-    return out
+                   p: float = 0.98, runs: Sequence[str] = ()) -> DataFrame:
+    """Per data set and run: kurtosis, the exact quantile and each sketch's."""
+    q, keys = quantile_column(p), [dataset, *runs]
+    shape = df.groupBy(*keys).agg(F.round(stats.kurtosis(value), 4).alias("kurtosis"))
+    actual = exact_quantiles(df, value, keys, [p]).select(*keys, F.col(q).alias("actual"))
+    columns = run_methods(df, value, names, keys, [p]).groupBy(*keys).agg(
+        *[F.max(F.when(F.col("algo") == name, F.col(q))).alias(name) for name in names])
+    return join_groups(join_groups(shape, actual, keys), columns, keys)
 
 
 def kurtosis_report(table: DataFrame, dataset: str, columns: Sequence[str]) -> DataFrame:
-    """Mean error and guarded interval per data set, by rising kurtosis."""
-    keys = [dataset, "kurtosis", "actual"]
-    errors = long_errors(table, keys, "actual", columns)
-    aggs = []
+    """Mean error and guarded interval per data set over its runs, by rising kurtosis.
+
+    Kurtosis and the exact value are the means over the runs as well.
+    """
+    errors = long_errors(table, [dataset, "kurtosis", "actual"], "actual", columns)
+    aggs = [F.avg("kurtosis").alias("kurtosis"), F.avg("actual").alias("actual")]
     for c in columns:
         aggs += [F.bround(F.avg(c), 6).alias(c), stats.ci95_guarded(c).alias(f"{c}_ci")]
-    ordered = errors.groupBy(*keys).agg(*aggs).orderBy("kurtosis")
+    ordered = errors.groupBy(dataset).agg(*aggs).orderBy("kurtosis")
     shown = ordered.withColumn("kurtosis", F.bround("kurtosis", 2))
     return shown.withColumn("label", scalars.tick_label("kurtosis", dataset))
 
@@ -223,8 +229,7 @@ def sketch_sizes(df: DataFrame, value: str, keys: Sequence[str],
                  names: Sequence[str] = SKETCHES) -> DataFrame:
     """Bytes of each method's sketch per group: ``keys, algo, bytes``."""
     parts = []
-    for name in names:
-        sketch = method(name).build(df, value, keys)
+    for name, sketch in shared_sketches(df, value, names, keys).items():
         sized = sketch_size_bytes(sketch, name, keys)
         parts.append(sized.select(*keys, F.lit(name).alias("algo"), "bytes"))
     return reduce(DataFrame.unionByName, parts)
@@ -247,9 +252,8 @@ def merge_report(df: DataFrame, value: str, sketch_id: str, names: Sequence[str]
     """Sketches built per ``sketch_id``, merged, and queried: one row per method
     and group with the number of sketches that went in."""
     parts = []
-    for name in names:
+    for name, built in shared_sketches(df, value, names, [*keys, sketch_id]).items():
         m = method(name)
-        built = m.build(df, value, [*keys, sketch_id])
         merged = m.quantiles(m.merge(built.drop(sketch_id), keys), keys, ps)
         parts.append(merged.select(F.lit(name).alias("algo"), *keys, "n", *quantile_columns(ps)))
     return reduce(DataFrame.unionByName, parts)

@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from rankflow.functions.scalars import QUANTILES
+from rankflow.functions.scalars import QUANTILES, as_column, quantile_columns
 from rankflow.operators import buckets, exact, kll, moments, req
+from rankflow.scratch import stage
 
 
 @dataclass(frozen=True)
@@ -92,6 +94,40 @@ def method(name: str, log: bool = False, **params) -> Method:
     raise ValueError(f"unknown method {name!r}")
 
 
+def shared_sketches(df: DataFrame, value, names: Sequence[str], keys: Sequence[str] = (),
+                    log: bool = False) -> dict[str, DataFrame]:
+    """Sketch rows of several methods with their published parameters.
+
+    The two DDSketches share one count of buckets, and moments and KLL one aggregation,
+    so six methods read the input four times.
+    """
+    keys, made = list(keys), {}
+    if "dds" in names or "ddsc" in names:
+        counts = buckets.dds_build(df, value, keys)
+        made["dds"], made["ddsc"] = counts, buckets.ddsc_fold(counts, keys)
+    if "moments" in names and "kll" in names:
+        rows = df.where(as_column(value).isNotNull()).select(
+            *keys, moments.usable(value, log).alias("_z"), kll.usable(value).alias("_v"),
+            F.pmod(F.spark_partition_id(), F.lit(kll.SHARES)).alias("_share"))
+        parts = rows.groupBy(*keys, "_share").agg(*moments.power_sums("_z"), kll.sketch_of("_v"))
+        both = stage(parts.groupBy(*keys).agg(*moments.merged_sums(), kll.merged_sketch()), "sketches")
+        made["moments"], made["kll"] = both.drop("sketch"), both.select(*keys, "sketch")
+    for name in names:
+        if name not in made:
+            made[name] = method(name, log and name == "moments").build(df, value, keys)
+    return {name: made[name] for name in names}
+
+
+def run_methods(df: DataFrame, value, names: Sequence[str], keys: Sequence[str] = (),
+                ps: Sequence[float] = QUANTILES, log: bool = False) -> DataFrame:
+    """``algo, keys, n, pct_..`` of several methods."""
+    parts = []
+    for name, sketch in shared_sketches(df, value, names, keys, log).items():
+        wide = method(name, log and name == "moments").quantiles(sketch, keys, ps)
+        parts.append(wide.select(F.lit(name).alias("algo"), *keys, "n", *quantile_columns(ps)))
+    return reduce(DataFrame.unionByName, parts)
+
+
 #: The six sketches, in the order of the reports.
 SKETCHES = ("moments", "dds", "ddsc", "kll", "req", "udds")
 METHODS = (*SKETCHES, "exact")

@@ -58,9 +58,24 @@ def hint_broadcast(df: DataFrame, small: bool) -> DataFrame:
 
 def join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str],
                 how: str = "inner") -> DataFrame:
-    """Attach per-group columns to rows; NULL keys match, as in GROUP BY."""
+    """Attach per-group columns to rows; NULL keys match, as in GROUP BY.
+
+    Without keys ``groups`` has one row (or none), which is read as a scalar subquery.
+    """
+    if not keys:
+        return _attach_row(rows, groups, how)
     renamed = groups.withColumnsRenamed({k: f"_g_{k}" for k in keys})
     cond = F.lit(True)
     for k in keys:
         cond = cond & F.col(k).eqNullSafe(F.col(f"_g_{k}"))
     return rows.join(renamed, cond, how).drop(*[f"_g_{k}" for k in keys])
+
+
+def _attach_row(rows: DataFrame, one: DataFrame, how: str) -> DataFrame:
+    if how not in ("inner", "left"):
+        raise ValueError(f"a {how} join needs keys")
+    row = one.select(F.struct(*one.columns).alias("_row")).scalar()
+    joined = rows.withColumn("_row", row)
+    if how == "inner":
+        joined = joined.where(F.col("_row").isNotNull())
+    return joined.select(*rows.columns, *[F.col(f"_row.{c}").alias(c) for c in one.columns])

@@ -35,13 +35,19 @@ def json_has_key(text: str | Column, key: str) -> Column:
 
 
 def _require(parsed: str, fields: Sequence[str]) -> dict[str, Column]:
-    """Parsed fields that raise when the event lacks them."""
-    out = {}
-    for f in fields:
-        c = F.col(f"{parsed}.`{f}`")
-        missing = F.raise_error(F.lit(f"event without field {f}")).cast("string")
-        out[f] = F.when(c.isNotNull(), c).otherwise(missing)
-    return out
+    """Parsed fields that raise when the event lacks them.
+
+    Spark drops columns that a query does not use, and their checks with them, so the
+    event time, which every query uses, checks all fields.
+    """
+    columns = {f: F.col(f"{parsed}.`{f}`") for f in fields}
+
+    def checked(value: Column, names: Sequence[str]) -> Column:
+        lacking = F.coalesce(*[F.when(columns[f].isNull(), F.lit(f)) for f in names])
+        error = F.raise_error(F.concat(F.lit("event without field "), lacking)).cast("string")
+        return F.when(lacking.isNotNull(), error).otherwise(value)
+
+    return {f: checked(c, fields if f == "event_time" else [f]) for f, c in columns.items()}
 
 
 def parse_taxi_event(df: DataFrame, text: str = "value", strict: bool = True) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankflow.functions.scalars import row_cap
 from rankflow.sources import schemas
 
 
@@ -28,11 +27,9 @@ def scan_power_csv(spark: SparkSession, path: str, strict: bool = True) -> DataF
     return _csv(spark, path, schemas.POWER, sep=";", strict=strict)
 
 
-def scan_sample_csv(spark: SparkSession, path: str, column: str = "sampled_val",
-                    rows: int | None = None) -> DataFrame:
-    """``index,value`` with one header line; ``rows`` caps the rows read."""
-    df = _csv(spark, path, schemas.sample(column), header=True)
-    return df if rows is None else row_cap(df, rows)
+def scan_sample_csv(spark: SparkSession, path: str, column: str = "sampled_val") -> DataFrame:
+    """``index,value`` with one header line."""
+    return _csv(spark, path, schemas.sample(column), header=True)
 
 
 def scan_results(spark: SparkSession, path: str, method: str) -> DataFrame:

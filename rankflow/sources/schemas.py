@@ -31,14 +31,6 @@ VALUE_FIELDS = {
     "uniform": "uniform_value",
 }
 
-#: Stream name -> topic its events are read from.
-TOPICS = {
-    "taxi": "nyt-events",
-    "power": "power-events",
-    "pareto": "synp-events",
-    "uniform": "synu-events",
-}
-
 #: Stream name -> short form used in result names.
 SHORT_NAMES = {"taxi": "nyt", "power": "power", "pareto": "synp", "uniform": "synu"}
 

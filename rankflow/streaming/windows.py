@@ -8,21 +8,26 @@ the work (folding, collapsing, the quantiles) is the batch operator on them.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, DoubleType, LongType, StructField, StructType
 
-from rankflow.functions.scalars import QUANTILES, as_column, epoch_ms
+from rankflow.functions.scalars import QUANTILES, as_column, epoch_ms, quantile_column
 from rankflow.operators import buckets, req
 from rankflow.plans.methods import method
 from rankflow.plans.windows import uses_log
 from rankflow.sources import events, schemas
 
+#: Held while a query starts with a setting of its own.
+_starting = threading.Lock()
+
 #: Default window length in seconds.
 WINDOW_SECONDS = 3
 
@@ -70,7 +75,7 @@ def _task_states(stream: DataFrame, value: str | Column, name: str, seconds: int
     )
     reduce_rows, load = TASK_STATES[name]
     states = reduce_rows(rows, "_value", ["_start", *keys], **params)
-    marked = events.watermark(states, "_start", delay).select(
+    marked = events.watermark(states.drop("task", "seq"), "_start", delay).select(
         F.window("_start", width).alias("window"), *keys, "sketch"
     ).withColumn("_closes", epoch_ms("window.end"))
     number = LongType()
@@ -145,14 +150,17 @@ def start_window_query(stream: DataFrame, value: str | Column, name: str, path:
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"processingTime": "0 seconds"}))
     )
+    if state_partitions is None:
+        return writer.start()
     # A query takes its settings over from the session when it starts.
     conf, setting = stream.sparkSession.conf, "spark.sql.shuffle.partitions"
-    before = conf.get(setting)
-    conf.set(setting, str(state_partitions or before))
-    try:
-        return writer.start()
-    finally:
-        conf.set(setting, before)
+    with _starting:
+        before = conf.get(setting)
+        conf.set(setting, str(state_partitions))
+        try:
+            return writer.start()
+        finally:
+            conf.set(setting, before)
 
 
 def stream_query(spark: SparkSession, dataset: str, name: str, source: str, path: str,
@@ -175,6 +183,14 @@ def stream_query(spark: SparkSession, dataset: str, name: str, source: str, path
     )
 
 
-def read_results(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """All window results written so far."""
-    return spark.read.format(fmt).load(path).drop("batch")
+def read_results(spark: SparkSession, path: str, fmt: str = "parquet",
+                 ps: Sequence[float] = QUANTILES) -> DataFrame:
+    """All window results written so far; none is an empty table."""
+    try:
+        return spark.read.format(fmt).load(path).drop("batch")
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+    columns = [StructField(quantile_column(p), DoubleType()) for p in ps]
+    return spark.createDataFrame([], StructType([
+        StructField("window_id", LongType()), StructField("n", LongType()), *columns]))

@@ -93,8 +93,8 @@ def test_udds_level_across_blocks(spark):
     base = b.gamma(b.uniform_alpha())
     values = [base ** (k * 70_000 + 0.5) for k in range(-9, 10)]
     df = spark.createDataFrame([(v,) for v in values], "v double")
-    native = b.udds_collapse(b.udds_counts(df, "v"), [], max_buckets=3)
-    level, counts = brute.collapse(brute.buckets(values, b.uniform_alpha()), 3)
+    native = b.udds_collapse(b.udds_counts(df, "v"), [], max_buckets=4)
+    level, counts = brute.collapse(brute.buckets(values, b.uniform_alpha()), 4)
     assert {(r.level, r.sgn, r.idx, r.n) for r in native.collect()} == {
         (level, s, i, n) for (s, i), n in counts.items()}
 
@@ -128,3 +128,14 @@ def test_bucket_state_bytes():
     t = b.BucketState.from_bytes(s.to_bytes())
     assert (t.level, list(t.codes), list(t.n)) == (s.level, list(s.codes), list(s.n))
     assert t.n.sum() == 41
+
+
+def test_a_bound_that_no_store_can_meet(spark):
+    df = spark.createDataFrame([(-2.0,), (-0.5,), (0.5,), (2.0,)], "v double")
+    for call in (lambda: b.udds_build(df, "v", max_buckets=3),
+                 lambda: b.udds_collapse(b.udds_counts(df, "v"), max_buckets=3),
+                 lambda: b.udds_merge(b.udds_build(df, "v"), max_buckets=3),
+                 lambda: b.BucketState(1)):
+        with pytest.raises(ValueError):
+            call()
+    assert b.udds_build(df, "v", max_buckets=4).count() == 4

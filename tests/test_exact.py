@@ -62,13 +62,30 @@ def test_values_inside_one_slice(spark):
         assert row[quantile_column(p)] == expected(values, p)
 
 
-def test_join_path_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(exact, "is_small", lambda df: False)
-    groups = {g: [float(i * (ord(g) - 90)) for i in range(50)] for g in "abc"}
-    got = exact.exact_quantiles_large(frame(spark, groups), "v", ["g"], places=None).collect()
-    for r in got:
-        for p in QUANTILES:
-            assert r[quantile_column(p)] == expected(groups[r.g], p)
+@pytest.mark.parametrize("size", [19, 20, 21, 200])
+def test_rows_do_not_depend_on_the_plan(spark, monkeypatch, size):
+    monkeypatch.setattr(exact, "SMALL_GROUP", 20)
+    nulls = spark.createDataFrame([("n", None)] * size, "g string, v double")
+    row = exact.exact_quantiles(nulls, "v").first()
+    assert row.n == 0 and row.pct_50 is None
+    assert exact.exact_quantiles(nulls, "v", ["g"]).count() == 0
+    both = nulls.unionByName(frame(spark, {"n": [float(i) for i in range(size)]}))
+    for keys in ([], ["g"]):
+        row = exact.exact_quantiles(both, "v", keys).first()
+        assert (row.n, row.pct_50) == (size, expected([float(i) for i in range(size)], 0.5))
+
+
+@pytest.mark.parametrize("values", [
+    [1.7e9 + i for i in range(400)], [1e6] + [1.0001e6 + i * 1e-7 for i in range(300)],
+    [5.0] * 500 + [5.0000001, 4.9], [float("nan")] * 3 + [float("inf"), float("-inf"), 0.0, -1.0]])
+def test_values_within_one_block(spark, monkeypatch, values):
+    monkeypatch.setattr(exact, "SLICES", 8)
+    row = exact.exact_quantiles_large(frame(spark, {"a": values}), "v", ["g"], places=None).first()
+    ordered = sorted(values, key=lambda v: (v != v, v))
+    for p in QUANTILES:
+        want = ordered[max(1, math.ceil(p * len(ordered))) - 1]
+        got = row[quantile_column(p)]
+        assert got == want or (got != got and want != want)
 
 
 def test_weighted_counts(spark):
@@ -83,10 +100,8 @@ def test_empty_input(spark):
     assert exact.exact_quantiles_large(df, "v", ["g"]).count() == 0
 
 
-@pytest.mark.parametrize("broadcast_rows", [0, 100])
-def test_only_hot_groups_are_narrowed_down(spark, monkeypatch, broadcast_rows):
+def test_only_hot_groups_are_narrowed_down(spark, monkeypatch):
     monkeypatch.setattr(exact, "SMALL_GROUP", 20)
-    monkeypatch.setattr(exact, "BROADCAST_ROWS", broadcast_rows)
     seen = []
     large = exact.exact_quantiles_large
     monkeypatch.setattr(exact, "exact_quantiles_large", lambda df, *a: seen.append(

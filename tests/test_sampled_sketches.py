@@ -187,3 +187,32 @@ def test_moments_batch_equals_single_groups():
         assert np.allclose(whole[g], alone[0], atol=1e-6)
     assert (np.diff(whole, axis=1) >= 0).all()
     assert (whole >= args[1][:, None]).all() and (whole <= args[2][:, None]).all()
+
+
+@pytest.mark.parametrize("name", ["req", "udds"])
+def test_merging_does_not_depend_on_the_order_of_task_states(spark, name):
+    from rankflow.operators import buckets
+    from rankflow.operators.tasks import merge_states
+
+    df = spark.range(0, 40_000, 1, 16).selectExpr("id % 3 AS g", "pow(id % 997, 1.5D) AS v")
+    partials, load = {
+        "req": (req.req_partials, req.ReqState.from_bytes),
+        "udds": (buckets.udds_partials, buckets.BucketState.from_bytes)}[name]
+    states = spark.createDataFrame(partials(df, "v", ["g"]).collect())
+    merged = [
+        {r.g: bytes(r.sketch) for r in merge_states(s, ["g"], load).collect()}
+        for s in (states, states.orderBy("sketch"), states.repartition(5).orderBy(F.desc("task")))]
+    assert len(merged[0]) == 3 and merged[0] == merged[1] == merged[2]
+
+
+def test_moments_tell_what_they_left_out(spark):
+    rows = [("a", 1.0), ("a", -1.0), ("a", 0.0), ("a", None), ("b", -3.0), ("c", 2.0), ("c", 5.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    sketch = moments.moments_build(df, "v", ["g"], log=True)
+    got = {r.g: r for r in moments.moments_quantiles(
+        moments.moments_merge(sketch, ["g"]), ["g"], [0.5], log=True).collect()}
+    assert {g: (r.n, r.skipped) for g, r in got.items()} == {"a": (1, 2), "b": (0, 1), "c": (2, 0)}
+    assert got["b"].pct_50 is None and got["a"].pct_50 == pytest.approx(1.0)
+    smooth = spark.range(20_000).selectExpr("sqrt(id + 1) AS v")
+    row = moments.moments_quantiles(moments.moments_build(smooth, "v")).first()
+    assert row.moments_used == 12 and row.converged
