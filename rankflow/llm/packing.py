@@ -33,8 +33,9 @@ END_ID = 0
 GROUP = 4_000
 LACKS = 8
 SAVES = 200
-#: Chunks whose ids a task keeps; the store starts anew beyond.  Texts taken together.
-KEPT = 250_000
+#: Chunks whose ids a task keeps (some 150 MB); the store starts anew beyond.  Texts
+#: taken together.
+KEPT = 700_000
 TOGETHER = 500
 
 # White space as the tokenizer's pattern knows it.
@@ -42,8 +43,8 @@ WHITE = "\t-\r \x85\xa0  -     　"
 #: A text falls into words with the white space before them.  The tokenizer never
 #: joins a word with the white space after it, so their ids add up.
 CHUNK = f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+"
-#: Chunks that can be encoded together: one sign of white space and a word.
-SINGLE = f"[{WHITE}][^{WHITE}]+"
+#: Chunks that can be encoded together: one sign of ASCII white space and a word.
+SINGLE = f"[\t-\r ][^{WHITE}]+"
 
 
 class ChunkEncoder:
@@ -56,11 +57,11 @@ class ChunkEncoder:
         self.split = re.compile(CHUNK).findall
         self.single = re.compile(SINGLE).fullmatch
         self.known: dict[str, bytes] = {}
-        # Whether the text of an id begins with white space.
-        white = re.compile(f"[{WHITE}]").match
-        size = self.tokenizer.get_vocab_size()
-        self.opens = np.array([bool(white(self.tokenizer.decode([i], skip_special_tokens=False)))
-                               for i in range(size)])
+        # Whether an id begins with ASCII white space; pieces write those bytes 256 up.
+        vocabulary = self.tokenizer.get_vocab()
+        white = {chr(256 + b) for b in b"\t\n\v\f\r "}
+        self.opens = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.opens[[i for piece, i in vocabulary.items() if piece[0] in white]] = True
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -70,8 +71,9 @@ class ChunkEncoder:
         """Add new chunks.  Those of one white sign and a word are encoded in one text
 
         and told apart by the ids that begin with white space."""
-        easy = [c for c in chunks if self.single(c)]
-        rest = [c for c in chunks if not self.single(c)]
+        easy, rest = [], []
+        for c in chunks:
+            (easy if self.single(c) else rest).append(c)
         for start in range(0, len(easy), 1000):
             part = easy[start:start + 1000]
             ids = self._ids(["".join(part)])[0]
