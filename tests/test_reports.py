@@ -272,8 +272,10 @@ def test_accuracy_chain(spark):
     real["win_size"], real["slack_events"] = 50, 1
     approx = real[["window_id", *cols]].copy()
     approx[cols] *= rng.uniform(0.97, 1.03, (16, 9))
-    kept = evaluate.prepare_results(spark.createDataFrame(approx))
-    by_window = evaluate.accuracy_by_window(kept, spark.createDataFrame(real))
+    run = sc.run_id("window_id")
+    assert evaluate.prepare_results(spark.createDataFrame(approx), run).count() == 16
+    kept = evaluate.prepare_results(spark.createDataFrame(approx), run, num_windows=10)
+    by_window = evaluate.accuracy_by_window(kept, spark.createDataFrame(real), run=run)
     by_run = evaluate.accuracy_by_run(by_window)
     got = {r.run_id: r for r in by_run.collect()}
 

@@ -103,3 +103,21 @@ def test_missing_field_raises_unless_lenient(spark):
         ev.parse_value_event(texts, "pareto_value").collect()
     row = ev.parse_value_event(texts, "pareto_value", strict=False).first()
     assert row.pareto_value is None and row.event_time == "1000"
+
+
+def test_a_ride_without_a_field_the_query_does_not_use(spark, fresh_dir):
+    import json
+
+    from rankflow.sources import events, schemas
+
+    ride = {f: "1" for f in schemas.TAXI_FIELDS} | {"event_time": "1000"}
+    del ride["medallion"]
+    df = spark.createDataFrame([(json.dumps(ride),)], "value string")
+    parsed = events.project_taxi(events.parse_taxi_event(df))
+    with pytest.raises(Exception, match="event without field medallion"):
+        events.assign_event_time(parsed).select("total_amount", "ts").collect()
+
+
+def test_results_of_a_query_that_has_closed_no_window(spark, fresh_dir):
+    empty = streaming.read_results(spark, fresh_dir)
+    assert empty.count() == 0 and empty.columns[:2] == ["window_id", "n"]
