@@ -103,6 +103,13 @@ def _(spark, sf):
     return rounded(hist, 8, "share")
 
 
+@query("value_histogram_all", """
+SELECT round_even(value, 0)::DOUBLE AS value, round(count(*) / sum(count(*)) OVER (), 8) AS share
+FROM events GROUP BY round_even(value, 0)""")
+def _(spark, sf):
+    return rounded(stats.value_histogram(table(spark, sf, "events"), "value"), 8, "share")
+
+
 def sql_hist(bins: str, src: str, value: str) -> str:
     return f"""
 SELECT bin, round(lo + bin * (hi - lo) / bins, 6) AS bin_start,

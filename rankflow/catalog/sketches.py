@@ -21,7 +21,7 @@ from rankflow.catalog.base import (
     sql_within,
     table,
 )
-from rankflow.functions.scalars import window_id
+from rankflow.functions.scalars import quantile_columns, window_id
 from rankflow.operators import buckets, exact, kll, moments, req
 from rankflow.plans.evaluate import rank_check
 from rankflow.plans.methods import method
@@ -331,3 +331,30 @@ def _(spark, sf):
                  F.round(F.lit(req.req_upper_rank(req.K, p)), 8).alias("upper_rank"))
         for p in QUANTILES
     ])))
+
+
+# --- NULLs, and no keys ---------------------------------------------------------------------
+
+# Groups on both sides of the size from which a group is narrowed down, with NULLs in all.
+GAPS = ("SELECT l_linenumber, l_extendedprice AS v FROM lineitem WHERE l_partkey % 5 <> 0")
+
+
+@query("exact_quantiles_nulls", sql_exact(GAPS, "v", "l_linenumber"))
+def _(spark, sf):
+    v = F.when(F.col("l_partkey") % 5 != 0, F.col("l_extendedprice")).alias("v")
+    df = table(spark, sf, "lineitem").select("l_linenumber", v)
+    return exact.exact_quantiles(df, "v", ["l_linenumber"])
+
+
+@query("exact_quantiles_no_values",
+       f"SELECT 0::BIGINT AS n, {', '.join(f'NULL::DOUBLE AS {c}' for c in quantile_columns())}")
+def _(spark, sf):
+    v = F.when(F.col("l_quantity") < 0, F.col("l_extendedprice")).alias("v")
+    return exact.exact_quantiles(table(spark, sf, "lineitem").select(v), "v")
+
+
+@query("udds_merge_all", sql_udds(LINE, "l_extendedprice", ""))
+def _(spark, sf):
+    fine = buckets.udds_build(table(spark, sf, "lineitem"), "l_extendedprice", ["l_linenumber"])
+    wide = buckets.udds_quantiles(buckets.udds_merge(fine.drop("l_linenumber")))
+    return rounded(wide.withColumn("alpha", F.round("alpha", 9)))

@@ -388,8 +388,12 @@ def udds_build(df: DataFrame, value: str | Column, keys: Sequence[str] = (),
                alpha: float = ALPHA, collapses: int = COLLAPSES,
                max_buckets: int = MAX_BUCKETS) -> DataFrame:
     """Uniformly collapsed bucket counts; ``level`` is the collapses applied."""
-    partials = udds_partials(df, value, keys, alpha, collapses, max_buckets)
-    return bucket_rows(merge_states(partials, keys, BucketState.from_bytes), keys)
+    return finish_states(udds_partials(df, value, keys, alpha, collapses, max_buckets), keys)
+
+
+def finish_states(states: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Merge binary states and spread them out to bucket rows."""
+    return bucket_rows(merge_states(states, keys, BucketState.from_bytes), keys)
 
 
 def udds_merge(sketches: DataFrame, keys: Sequence[str] = (),

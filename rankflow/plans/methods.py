@@ -1,7 +1,7 @@
 """The quantile methods behind one interface: build, merge, query.
 
-``partials`` is the part that also runs on a stream, which then keeps one partial
-result per window; ``finish`` turns those into sketches on a batch.
+``partials`` is the part that also runs on a stream, which then keeps a few partial
+results per window; ``finish`` turns those into sketches on a batch.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ class Method:
     merge: Callable[..., DataFrame]  # (sketch rows, keys) -> sketch rows
     quantiles: Callable[..., DataFrame]  # (sketch rows, keys, ps) -> wide rows
     partials: Callable[..., DataFrame]  # (df, value, keys) -> partial rows
-    finish: Callable[..., DataFrame]  # (one partial result per group, keys) -> sketch rows
+    finish: Callable[..., DataFrame]  # (partial results, keys) -> sketch rows
 
     def run(self, df: DataFrame, value, keys: Sequence[str] = (),
             ps: Sequence[float] = QUANTILES) -> DataFrame:
@@ -64,7 +64,7 @@ def method(name: str, log: bool = False, **params) -> Method:
         return Method(
             name, partial(buckets.udds_build, **params), partial(buckets.udds_merge, **store),
             partial(buckets.udds_quantiles, **accuracy),
-            partial(buckets.udds_partials, **params), buckets.bucket_rows,
+            partial(buckets.udds_partials, **params), buckets.finish_states,
         )
     if name == "moments":
         size = {k: v for k, v in params.items() if k == "k"}
@@ -82,7 +82,7 @@ def method(name: str, log: bool = False, **params) -> Method:
     if name == "req":
         return Method(
             name, partial(req.req_build, **params), req.req_merge, req.req_quantiles,
-            partial(req.req_partials, **params), _as_is,
+            partial(req.req_partials, **params), req.req_merge,
         )
     if name == "exact":
         return Method(

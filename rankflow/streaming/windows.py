@@ -31,6 +31,9 @@ _starting = threading.Lock()
 #: Default window length in seconds.
 WINDOW_SECONDS = 3
 
+#: States that the tasks of a window are shared out to.
+STATE_SHARES = 8
+
 #: Methods whose state no built-in aggregate can hold: how tasks reduce their rows,
 #: and how a state is read back.
 TASK_STATES = {
@@ -75,8 +78,10 @@ def _task_states(stream: DataFrame, value: str | Column, name: str, seconds: int
     )
     reduce_rows, load = TASK_STATES[name]
     states = reduce_rows(rows, "_value", ["_start", *keys], **params)
-    marked = events.watermark(states.drop("task", "seq"), "_start", delay).select(
-        F.window("_start", width).alias("window"), *keys, "sketch"
+    # A hot window is held in several states, by share of the tasks.
+    marked = events.watermark(states, "_start", delay).select(
+        F.window("_start", width).alias("window"), *keys,
+        F.pmod("task", F.lit(STATE_SHARES)).alias("_share"), "sketch"
     ).withColumn("_closes", epoch_ms("window.end"))
     number = LongType()
     schema = StructType([
@@ -92,7 +97,7 @@ def _task_states(stream: DataFrame, value: str | Column, name: str, seconds: int
             (data,) = state.get
             state.remove()
             out = {"window_id": [closes // (seconds * 1000) - 1]}
-            out.update({k: [v] for k, v in zip(keys, key[2:])})
+            out.update({k: [v] for k, v in zip(keys, key[3:])})
             yield pd.DataFrame({**out, "sketch": [data]})
             return
         total = load(state.get[0]) if state.exists else None
@@ -107,7 +112,7 @@ def _task_states(stream: DataFrame, value: str | Column, name: str, seconds: int
         # A state times out when the watermark is past its timestamp.
         state.setTimeoutTimestamp(max(closes - 1, state.getCurrentWatermarkMs() + 1))
 
-    return marked.groupBy("_closes", "window", *keys).applyInPandasWithState(
+    return marked.groupBy("_closes", "window", "_share", *keys).applyInPandasWithState(
         absorb, schema, held, "append", GroupStateTimeout.EventTimeTimeout
     )
 
@@ -166,10 +171,11 @@ def start_window_query(stream: DataFrame, value: str | Column, name: str, path:
 def stream_query(spark: SparkSession, dataset: str, name: str, source: str, path: str,
                  checkpoint: str, window_seconds: int = WINDOW_SECONDS, fmt: str = "text",
                  trigger: dict | None = None, state_partitions: int | None = None,
-                 **options: str) -> StreamingQuery:
+                 sink: str = "parquet", **options: str) -> StreamingQuery:
     """The stream query of one dataset (taxi, power, pareto, uniform) and method.
 
-    JSON events -> parse -> event time -> watermark -> window sketch -> quantiles.
+    JSON events -> parse -> event time -> watermark -> window sketch -> quantiles, which
+    are written in the format ``sink``.
     """
     field = schemas.VALUE_FIELDS[dataset]
     raw = events.read_json_events(spark, source, fmt, **options)
@@ -179,7 +185,8 @@ def stream_query(spark: SparkSession, dataset: str, name: str, source: str, path
         parsed = events.parse_value_event(raw, field)
     return start_window_query(
         events.assign_event_time(parsed), field, name, path, checkpoint, window_seconds,
-        log=uses_log(dataset, name), trigger=trigger, state_partitions=state_partitions,
+        log=uses_log(dataset, name), fmt=sink, trigger=trigger,
+        state_partitions=state_partitions,
     )
 
 
