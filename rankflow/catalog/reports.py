@@ -29,7 +29,8 @@ from rankflow.operators import kll, late, req, stats
 from rankflow.operators.exact import exact_quantiles
 from rankflow.plans import evaluate
 from rankflow.plans.methods import SKETCHES, method, run_methods
-from rankflow.scratch import stage
+from rankflow.scratch import new_path, stage
+from rankflow.sources import files
 
 # --- statistics ---------------------------------------------------------------------
 
@@ -295,6 +296,26 @@ def _(spark, sf):
     return rounded(evaluate.accuracy_by_run(_by_window(spark, sf)), 6, *ACC, "win_size")
 
 
+@query("accuracy_from_files", sql_rounded(
+    f"SELECT *, 0.25::DOUBLE AS query_time FROM ({sql_by_run()})", [*ACC, "win_size"], 6))
+def _(spark, sf):
+    """The main analysis as it is run on stored results: two files, joined on the window."""
+    df = _windows(spark, sf)
+    names = quantile_columns()
+    real = exact_quantiles(df, "value", ["window_id"]).select(
+        "window_id", *names, F.col("n").alias("win_size"), F.lit(0).alias("slack_events"))
+    found = method("dds").run(df, "value", ["window_id"]).select(
+        "window_id", *names, F.lit(0.25).alias("query_time"))
+    paths = {kind: new_path(spark, f"results-{kind}") for kind in ("exact", "dds")}
+    files.write_result_table(real, paths["exact"])
+    files.write_result_table(found, paths["dds"])
+    approx = evaluate.prepare_results(files.scan_results(spark, paths["dds"], "dds"), _run(),
+                                      num_windows=10)
+    by_window = evaluate.accuracy_by_window(
+        approx, files.scan_results(spark, paths["exact"], "exact"), run=_run())
+    return rounded(evaluate.accuracy_by_run(by_window), 6, *ACC, "win_size")
+
+
 @query("accuracy_bands", sql_rounded(sql_bands(), ["mid", "upper", "p99"], 6))
 def _(spark, sf):
     bands = evaluate.accuracy_bands(evaluate.accuracy_by_run(_by_window(spark, sf)))
