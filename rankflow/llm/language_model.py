@@ -34,11 +34,11 @@ from pyspark.sql import functions as F
 from rankflow.llm.words import LOWER, flat, pieces
 from rankflow.scratch import stage
 
-DEPTH = 5
+DEPTH = 4
 #: Bytes of text that a block has on average.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 24 << 20
 #: Words and grams that a task counts before it hands them on.
-HELD = 400_000
+HELD = 150_000
 #: The word that ends a text, which no text can hold.
 END = b" "
 
@@ -47,8 +47,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def words_of(text: bytes) -> list[bytes]:
-    return text.lower().split()
+def token_lists(column: pa.Array) -> Iterator[list[bytes]]:
+    """The tokens of each text; NULL is empty."""
+    for text in column.cast(pa.binary()):
+        tokens = (text.as_py() or b"").lower().split()
+        tokens.append(END)
+        yield tokens
 
 
 def gram_rows(column: pa.Array, depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -83,9 +87,7 @@ def training_counts(docs: DataFrame, depth: int) -> DataFrame:
             return _count_rows([None] * len(keys), keys, n)
 
         for batch in batches:
-            for text in batch.column("text"):
-                own = words_of((text.as_py() or "").encode("utf-8", "surrogatepass"))
-                own.append(END)
+            for own in token_lists(batch.column("text")):
                 words.update(own)
                 if len(words) > HELD:
                     yield _count_rows(list(words), None, list(words.values()))
@@ -253,12 +255,13 @@ def _asked(dealt: DataFrame, depth: int) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
-        words, grams = {END}, np.zeros(0, dtype=np.int64)
+        words, pieces_of = set(), []
         for batch in table.select(["text"]).to_batches():
-            for text in batch.column("text"):
-                words.update(words_of(text.as_py().encode("utf-8", "surrogatepass")))
+            for own in token_lists(batch.column("text")):
+                words.update(own)
             for _, found, _ in gram_rows(batch.column("text"), depth):
-                grams = np.union1d(grams, found)
+                pieces_of.append(np.unique(found))
+        grams = np.unique(np.concatenate(pieces_of))
         n, m = len(words), len(grams)
         return pa.table({
             "block": pa.array(np.full(n + m, block, dtype=np.int32)),
@@ -268,25 +271,44 @@ def _asked(dealt: DataFrame, depth: int) -> DataFrame:
     return dealt.groupBy("block").applyInArrow(run, "block int, word binary, gram bigint")
 
 
+class GramTable:
+    """Values of sorted grams: a hash finds most at once, a search the others."""
+
+    FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, grams: np.ndarray, values: np.ndarray):
+        self.grams, self.values = grams, values
+        self.shift = np.uint64(64 - max(1, (8 * len(grams)).bit_length()))
+        self.slots = np.zeros(1 << (64 - int(self.shift)), dtype=np.int32)
+        self.slots[self._slot(grams)] = np.arange(len(grams), dtype=np.int32)
+
+    def _slot(self, grams: np.ndarray) -> np.ndarray:
+        return ((grams.view(np.uint64) * self.FACTOR) >> self.shift).view(np.int64)
+
+    def __getitem__(self, asked: np.ndarray) -> np.ndarray:
+        at = self.slots[self._slot(asked)]
+        others = np.flatnonzero(self.grams[at] != asked)
+        at[others] = np.searchsorted(self.grams, asked[others])
+        return self.values[at]
+
+
 def _scored(depth: int, unseen: float, n_train: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         is_word = answers.column("word").is_valid()
         known = answers.filter(is_word)
         value = dict(zip(known.column("word").to_pylist(), known.column("value").to_pylist()))
         rest = answers.filter(answers.column("gram").is_valid()).sort_by("gram")
-        grams = rest.column("gram").to_numpy()
-        logs = rest.column("value").to_numpy()
+        logs = GramTable(rest.column("gram").to_numpy(), rest.column("value").to_numpy())
+        del rest, known
         tokens, seen, base, score = [], [], [], []
         for batch in docs.select(["text"]).to_batches():
-            for text in batch.column("text"):
-                found = [value.get(w, unseen) for w in words_of(
-                    text.as_py().encode("utf-8", "surrogatepass"))]
-                found.append(value.get(END, unseen))
+            for own in token_lists(batch.column("text")):
+                found = [value.get(w, unseen) for w in own]
                 tokens.append(len(found))
                 seen.append(len(found) - found.count(unseen))
                 base.append(sum(found))
             for _, own, cuts in gram_rows(batch.column("text"), depth):
-                score.append(np.add.reduceat(logs[np.searchsorted(grams, own)], cuts[:-1]))
+                score.append(np.add.reduceat(logs[own], cuts[:-1]))
         return pa.table({
             "doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"),
             "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(seen, pa.int64()),
