@@ -166,15 +166,16 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     rows = near_copies(docs, id_col, text)
     groups = rows.groupBy("root", "component_id", "doc_id", "text_hash").agg(
         F.count(F.lit(1)).alias("n"))
-    # Of a group's rows with its id, the smallest text hash stays.
-    heads = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = heads.groupBy("root").agg(F.min("text_hash").alias("head"))
-    marked = groups.join(keep, "root", "left")
-    stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("head"))
-    verdicts = stage(marked.select(
-        F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h"),
-        F.when(~stays, 0).when(F.col("n") > 1, 1).alias("_keep")).where("_keep IS NOT NULL"),
-        "verdicts")
+    # Rows without their group's id go, without a look at the rest of the group.  Of
+    # those with it, the smallest text hash stays.
+    has_id = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    heads = groups.where(has_id)
+    first = heads.groupBy("root").agg(F.min("text_hash").alias("head"))
+    fate = F.when(F.col("text_hash") != F.col("head"), 0).when(F.col("n") > 1, 1)
+    decided = heads.join(first, "root").select("doc_id", "text_hash", fate.alias("_keep"))
+    others = groups.where(~has_id).select("doc_id", "text_hash", F.lit(0).alias("_keep"))
+    verdicts = stage(decided.where("_keep IS NOT NULL").unionByName(others).select(
+        F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h"), "_keep"), "verdicts")
     same = F.col(id_col).cast("bigint").eqNullSafe(F.col("_i")) & (F.xxhash64(text) == F.col("_h"))
     judged = docs.join(verdicts, same, "left").drop("_i", "_h")
     once = judged.where("_keep IS NULL")
