@@ -90,6 +90,19 @@ def _spans(kind: str, text: Column) -> Column:
     """Confirmed spans of one kind: ``array<struct<kind, start, end, score>>``."""
     pattern = PATTERNS[kind]
 
+    # What stands beside a span is put together from the ends of the gaps and of other matches;
+    # matches have two characters at least, so ``reach`` of them fill a window.
+    reach = WINDOW // 2
+    left, right = (lambda c: F.left(c, F.lit(WINDOW))), (lambda c: F.right(c, F.lit(WINDOW)))
+
+    def with_ends(m: Column) -> Column:
+        later = F.slice(m["gaps"], F.lit(2), F.size(m["found"]))
+        return F.struct(
+            m["found"].alias("found"), m["gaps"].alias("gaps"),
+            F.zip_with(F.slice(m["gaps"], F.lit(1), F.size(m["found"])), m["found"],
+                       lambda gap, x: right(F.concat(right(gap), x))).alias("tails"),
+            F.zip_with(m["found"], later, lambda x, gap: left(F.concat(x, left(gap)))).alias("heads"))
+
     def located(m: Column) -> Column:
         found, gaps = m["found"], m["gaps"]
 
@@ -97,8 +110,11 @@ def _spans(kind: str, text: Column) -> Column:
             add = lambda a, part: a + F.length(part)
             start = F.aggregate(F.slice(gaps, F.lit(1), i + 1),
                                 F.aggregate(F.slice(found, F.lit(1), i), F.lit(0), add), add)
-            around = F.lower(F.concat_ws(" ", F.right(gaps[i], F.lit(WINDOW)),
-                                         F.left(gaps[i + 1], F.lit(WINDOW))))
+            earlier = F.slice(m["tails"], F.greatest(i - reach, F.lit(0)) + 1, F.least(i, F.lit(reach)))
+            later = F.slice(m["heads"], i + 2, F.lit(reach))
+            around = F.lower(F.concat_ws(
+                " ", right(F.concat(F.array_join(earlier, ""), right(gaps[i]))),
+                left(F.concat(left(gaps[i + 1]), F.array_join(later, "")))))
             near = around.rlike(rf"\b(?:{CONTEXT[kind]})")
             score = WEIGHTS[kind] + (CHECKED if kind in ("card", "iban") else 0.0)
             return F.struct(
@@ -111,7 +127,7 @@ def _spans(kind: str, text: Column) -> Column:
 
     parts = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"),
                      F.split(text, pattern, -1).alias("gaps"))
-    kept = F.filter(_let(parts, located), lambda s: s["valid"])
+    kept = F.filter(_let(_let(parts, with_ends), located), lambda s: s["valid"])
     return F.transform(kept, lambda s: s.dropFields("valid"))
 
 

@@ -82,6 +82,16 @@ def test_added_kinds_need_checksum_or_context(spark):
     assert rows[2].n_local == 1 and rows[3].n_local == 0
 
 
+def test_context_word_before_several_numbers(spark):
+    texts = ["Phone: 212-555-0142 or 212-555-0143", "😀 212-555-0142, 212-555-0143 (fax)",
+             "Phone: 212-555-0142" + " and so on" * 4 + " 212-555-0143", "212-555-0142 or 212-555-0143"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    rows = {r.doc_id: r.spans for r in pii.pii_digest(df).collect()}
+    assert rows == {0: "local:7:19,local:23:35", 1: "local:2:14,local:16:28", 2: "local:7:19", 3: ""}
+    masked = dict(pii.mask_pii(pii.find_pii(df)).select("doc_id", "text").collect())
+    assert masked[0] == "Phone: <LOCAL> or <LOCAL>"
+
+
 def test_masking(spark):
     texts = ["a@b.cd and 1.2.3.4", "clean", None, "", "+1 (743) 555-3824", "é 4111111111111111 é"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
