@@ -92,6 +92,19 @@ def test_context_word_before_several_numbers(spark):
     assert masked[0] == "Phone: <LOCAL> or <LOCAL>"
 
 
+def test_account_numbers_end_with_their_country(spark):
+    es, be = "ES91 2100 0418 4502 0005 1332", "BE68 5390 0754 7034"
+    texts = [f"{es} EUR 500", f"{be} BIC GKCCBEBB", f"{be} {be}", f"{be.replace(' ', '')} 2024",
+             f"ref XX12 3456 7890 {be}.", f"{es}.", f"{be}1", "SE45 5000 0000 0583 9825 7466 SWIFT",
+             "NO93 8601 1117 947 NOK"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    rows = {r.doc_id: [s.text for s in r.found] for r in pii.find_pii(df).selectExpr(
+        "doc_id", "transform(filter(pii, s -> s.kind = 'iban'), s -> struct(substr(text, int(s.start) + 1, "
+        "int(s.end - s.start)) AS text)) AS found").collect()}
+    assert rows == {0: [es], 1: [be], 2: [be, be], 3: [be.replace(" ", "")], 4: [be], 5: [es], 6: [],
+                    7: [texts[7][:29]], 8: [texts[8][:18]]}
+
+
 def test_masking(spark):
     texts = ["a@b.cd and 1.2.3.4", "clean", None, "", "+1 (743) 555-3824", "é 4111111111111111 é"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
