@@ -7,15 +7,15 @@ a tanh layer, ``h = tanh(x W + b)``.  Gated attention weighs the passages of a d
 ``h``.  All layers are learned together, by Adam on the cross entropy of the document labels.
 
 Labels are learned from rows that are not held out (``crc32(id as text) mod 4 <> 2``).  The fit
-runs on at most ``SAMPLE`` labelled documents, those whose ids have the smallest hashes, so
-what comes to the driver is bounded; a training bag has all passages of its text, thinned
-evenly beyond ``BAG``.  Scoring reads every passage of every document.  Nothing but the text
-is an input of a score.
+runs on at most ``SAMPLE`` distinct labelled pairs of id and text, those with the smallest
+hashes.  One bag of each comes to the driver, with the number of its rows times that of its
+labels as weight, however often either is repeated; a training bag has all passages of its
+text (188 bytes a passage).  Scoring reads every passage of every document.  Nothing but the
+text is an input of a score.
 
 NULL and empty texts are one passage without words.  A NULL id is not held out and has no
 label.  Labels other than 0 and 1 are not used; a repeated label counts as often as it is
-there.  If the labels are not of both kinds, every score is their smoothed mean.  Repeated
-documents give repeated results.
+there.  If the labels are not of both kinds, every score is their smoothed mean.  Repeated documents give repeated results.
 """
 
 from __future__ import annotations
@@ -33,7 +33,6 @@ from rankflow.llm.words import BASE, CHUNK, UNDO, flat, mixed, pieces
 
 WORDS = 50
 SAMPLE = 6000
-BAG = 400
 THRESHOLD = 0.7
 HIDDEN, GATE, ROUNDS, BATCH, RATE, DECAY, SEED = 24, 12, 30, 64, 0.01, 1e-4, 11
 
@@ -160,10 +159,11 @@ class Model:
         return self.forward((x - self.mean) / self.scale, cuts)[0]
 
 
-def _gradients(model: Model, x: np.ndarray, cuts: np.ndarray, y: np.ndarray) -> dict:
+def _gradients(model: Model, x: np.ndarray, cuts: np.ndarray, y: np.ndarray,
+               times: np.ndarray | float = 1.0) -> dict:
     w = model.weights
     p, (h, t, g, a, z, bag, starts) = model.forward(x, cuts)
-    err = (p - y) / len(y)
+    err = times * (p - y) / len(y)
     dz = err[:, None] * w["c"]
     da = (dz[bag] * h).sum(axis=1)
     de = a * (da - np.add.reduceat(a * da, starts)[bag])
@@ -174,14 +174,24 @@ def _gradients(model: Model, x: np.ndarray, cuts: np.ndarray, y: np.ndarray) ->
             "w": (t * g).T @ de, "c": z.T @ err, "d": np.array(err.sum())}
 
 
-def fit(bags: list[np.ndarray], labels: np.ndarray) -> Model:
-    """Learn from bags of passage features and their 0/1 labels; the same each time."""
-    if len(set(labels.tolist())) < 2:
-        mean = (labels.sum() + 1) / (len(labels) + 2)
-        return Model(np.zeros(FEATURES), np.ones(FEATURES), None, float(mean))
-    every = np.concatenate(bags)
-    model = Model(every.mean(axis=0), every.std(axis=0) + 1e-3, {})
+def fit(bags: list[np.ndarray], labels: np.ndarray, weights: np.ndarray | None = None) -> Model:
+    """Learn from bags of passage features and their labels; the same each time.
+
+    A label is the share of ones among the labels of a bag, which count ``weights`` times.
+    """
+    weights = np.ones(len(labels)) if weights is None else weights
+    ones, total = (labels * weights).sum(), weights.sum()
+    if not 0 < ones < total:
+        return Model(np.zeros(FEATURES), np.ones(FEATURES), None, float((ones + 1) / (total + 2)))
+    every, of_passage = np.concatenate(bags), np.repeat(weights, [len(b) for b in bags])
+    mean = np.average(every, axis=0, weights=of_passage)
+    spread = np.sqrt(np.average((every - mean) ** 2, axis=0, weights=of_passage))
+    model = Model(mean, spread + 1e-3, {})
     bags = [(b - model.mean) / model.scale for b in bags]
+    # A bag of more than the mean weight is split over steps: 2 entries per bag on average at most.
+    share = weights / weights.mean()
+    parts = np.maximum(1, np.ceil(share - 1e-9)).astype(int)
+    entries, share = np.repeat(np.arange(len(bags)), parts), np.repeat(share / parts, parts)
     rng = np.random.default_rng(SEED)
     shapes = {"W": (FEATURES, HIDDEN), "b": (HIDDEN,), "V": (HIDDEN, GATE), "U": (HIDDEN, GATE),
               "w": (GATE,), "c": (HIDDEN,), "d": ()}
@@ -193,11 +203,13 @@ def fit(bags: list[np.ndarray], labels: np.ndarray) -> Model:
     step = 0
     for n in range(ROUNDS):
         rate = RATE * (1 - n / ROUNDS)
-        order = rng.permutation(len(bags))
+        order = rng.permutation(len(entries))
         for at in range(0, len(order), BATCH):
-            chosen = order[at:at + BATCH]
+            times = share[order[at:at + BATCH]]
+            chosen = entries[order[at:at + BATCH]]
             cuts = np.r_[0, np.cumsum([len(bags[i]) for i in chosen])]
-            grads = _gradients(model, np.concatenate([bags[i] for i in chosen]), cuts, labels[chosen])
+            grads = _gradients(model, np.concatenate([bags[i] for i in chosen]), cuts, labels[chosen],
+                               times)
             step += 1
             for k, grad in grads.items():
                 first[k] = 0.9 * first[k] + 0.1 * grad
@@ -213,34 +225,36 @@ def held_out(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text",
           label: str = "quality", sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` labelled documents that are not held out."""
+    """Fit on at most ``sample`` labelled texts that are not held out."""
     marked = labels.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1)
-                          & ~held_out(F.col(id_col))).select(
-        F.col(id_col).alias("_id"), F.col(label).cast("double").alias("_y"))
-    # Whole documents are drawn by their ids alone, then their texts are fetched.
-    present = marked.join(docs.select(F.col(id_col).alias("_id")).distinct(), "_id", "left_semi")
-    drawn = present.orderBy(F.xxhash64("_id"), "_id", "_y").limit(sample)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")).join(
-        F.broadcast(drawn), "_id").select("_id", "_y", "_text")
+                          & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("_id")).agg(
+        F.avg(F.col(label).cast("double")).alias("_y"), F.count(F.lit(1)).alias("_times"))
+    # Pairs of id and text hash are drawn, then one text of each is fetched.
+    held = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text)).alias("_hash"),
+                       F.col(text).alias("_text"))
+    drawn = held.groupBy("_id", "_hash").agg(F.count(F.lit(1)).alias("_rows")).join(
+        marked, "_id").orderBy(F.xxhash64("_id", "_hash"), "_id", "_hash").limit(sample).select(
+        "_id", "_hash", "_y", (F.col("_times") * F.col("_rows")).cast("double").alias("_weight"))
+    rows = held.join(F.broadcast(drawn), ["_id", "_hash"]).groupBy(
+        "_id", "_hash", "_y", "_weight").agg(F.min("_text").alias("_text"))
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, x, cuts in passages(batch.column("_text")):
-                made = []
-                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                    part = x[a:b] if b - a <= BAG else x[np.linspace(a, b - 1, BAG).astype(int)]
-                    made.append(part.astype("<f4").tobytes())
+                made = [x[a:b].astype("<f4").tobytes()
+                        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
                 block = batch.slice(first, len(made))
                 yield pa.RecordBatch.from_arrays(
-                    [block.column("_id"), block.column("_y"), pa.array(made, pa.binary())],
-                    names=["_id", "_y", "bag"])
+                    [*[block.column(c) for c in keys], pa.array(made, pa.binary())],
+                    names=[*keys, "bag"])
 
+    keys = ["_id", "_hash", "_y", "_weight"]
     kind = rows.schema["_id"].dataType.simpleString()
-    table = rows.mapInArrow(bags, f"_id {kind}, _y double, bag binary").toArrow()
-    found = sorted(zip(table.column("_id").to_pylist(), table.column("_y").to_pylist(),
-                       table.column("bag").to_pylist()))
-    return fit([np.frombuffer(b, dtype="<f4").reshape(-1, FEATURES).astype(float) for _, _, b in found],
-               np.array([y for _, y, _ in found]))
+    table = rows.mapInArrow(
+        bags, f"_id {kind}, _hash bigint, _y double, _weight double, bag binary").toArrow()
+    found = sorted(zip(*[table.column(c).to_pylist() for c in (*keys, "bag")]))
+    return fit([np.frombuffer(r[4], dtype="<f4").reshape(-1, FEATURES).astype(float) for r in found],
+               np.array([r[2] for r in found]), np.array([r[3] for r in found]))
 
 
 def with_score(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
@@ -270,5 +284,6 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that score at least ``THRESHOLD``."""
-    scored = with_score(docs, train(docs, labels), into="_score")
+    model = train(docs, labels)
+    scored = with_score(docs, model, into="_score")
     return scored.where(F.col("_score") >= THRESHOLD).drop("_score")

@@ -86,3 +86,45 @@ def test_labels_of_held_out_rows_do_not_count(spark):
     a, b = (dict(quality.score_documents(docs, x).select("doc_id", "score").collect())
             for x in (labels, turned))
     assert a == b
+
+
+def repeated(spark):
+    """40 documents, of which id 0 has 300 rows and 50 labels."""
+    texts = [(i, ("clean words of some length here " if i % 2 else "$$$ !! 77 BUY ") * 30 + str(i))
+             for i in range(40)]
+    docs = spark.createDataFrame(texts + [texts[0]] * 299, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(0, 0)] * 49,
+                                   "doc_id bigint, quality int")
+    return docs, labels
+
+
+def test_repeated_rows_and_labels_come_to_the_driver_once(spark, monkeypatch):
+    docs, labels = repeated(spark)
+    seen, fit = [], quality.fit
+    monkeypatch.setattr(quality, "fit", lambda *a: seen.append(a) or fit(*a))
+    model = quality.train(docs, labels, sample=20)
+    (bags, y, weights), = seen
+    assert len(bags) == len(y) == len(weights) == 20 and model.weights is not None
+    every = sum(1 for i in range(40) if zlib.crc32(str(i).encode()) % 4 != 2)
+    quality.train(docs, labels)
+    _, y, weights = seen[1]
+    assert len(y) == every and weights.max() == 300 * 50 and weights.sum() == 300 * 50 + every - 1
+
+
+def test_training_bags_have_every_passage(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "long " * 25_000), (3, "short")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1), (3, 0)], "doc_id bigint, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda *a: seen.append(a))
+    quality.train(docs, labels)
+    assert sorted(len(b) for b in seen[0][0]) == [1, 500]
+
+
+def test_weights_count_as_repeats():
+    rng = np.random.default_rng(5)
+    x, cuts = rng.normal(size=(5, quality.FEATURES)), np.array([0, 2, 5])
+    model = quality.fit([x[:2], x[2:]], np.array([0.0, 1.0]))
+    once = quality._gradients(model, x, cuts, np.array([0.25, 1.0]), np.array([4.0, 1.0]))
+    many = quality._gradients(model, np.concatenate([*[x[:2]] * 4, x[2:]]),
+                              np.array([0, 2, 4, 6, 8, 11]), np.array([0.0, 0, 0, 1, 1]))
+    assert all(np.allclose(once[k] * 2, many[k] * 5) for k in once)
