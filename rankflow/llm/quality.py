@@ -15,7 +15,8 @@ text is an input of a score.
 
 NULL and empty texts are one passage without words.  A NULL id is not held out and has no
 label.  Labels other than 0 and 1 are not used; a repeated label counts as often as it is
-there.  If the labels are not of both kinds, every score is their smoothed mean.  Repeated documents give repeated results.
+there.  If the labels are not of both kinds, no classifier is fitted and every score is their
+smoothed mean; ``keep_good`` then keeps all rows.  Repeated documents give repeated results.
 """
 
 from __future__ import annotations
@@ -283,7 +284,13 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that score at least ``THRESHOLD``."""
+    """The rows of ``docs`` that score at least ``THRESHOLD``.
+
+    All rows, if the labels met in ``docs`` are not of both kinds: there is nothing to tell
+    good rows by then.
+    """
     model = train(docs, labels)
+    if model.weights is None:
+        return docs
     scored = with_score(docs, model, into="_score")
     return scored.where(F.col("_score") >= THRESHOLD).drop("_score")

@@ -128,3 +128,11 @@ def test_weights_count_as_repeats():
     many = quality._gradients(model, np.concatenate([*[x[:2]] * 4, x[2:]]),
                               np.array([0, 2, 4, 6, 8, 11]), np.array([0.0, 0, 0, 1, 1]))
     assert all(np.allclose(once[k] * 2, many[k] * 5) for k in once)
+
+
+@pytest.mark.parametrize("marks", [[], [(1, 1)], [(1, 0), (3, 0)]])
+def test_without_a_classifier_all_rows_stay(spark, marks):
+    docs = spark.createDataFrame([(1, "clean words"), (3, "more"), (3, "more"), (None, None)],
+                                 "doc_id bigint, text string")
+    labels = spark.createDataFrame(marks, "doc_id bigint, quality int")
+    assert quality.keep_good(docs, labels).count() == 4
