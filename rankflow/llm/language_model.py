@@ -15,7 +15,9 @@ two bytes of a context, whose weights go up into the two top levels (65,280 node
 most, the only part of the model that the driver sees and tasks share).  Documents are
 dealt into blocks of bounded bytes; a block asks for the values of its distinct grams and
 words by joins, and its documents meet the answers in one task.  So no task and not the
-driver ever holds the model.
+driver ever holds the model.  A block is a hash of id and text; rows that repeat both so
+often that they have more than an eighth of a block are scored once, and each of them is
+given that score by a join, so that repeats do not make a block large.
 
 NULL texts are empty.  Rows with a NULL id are training rows.  Repeated rows count and score
 as often as they are there.
@@ -315,7 +317,7 @@ def _scored(depth: int, unseen: float, n_train: int):
             "train_tokens": pa.array([n_train] * len(tokens), pa.int64()),
             "base_score": pa.array(base, pa.float64()),
             "score": pa.array(np.concatenate(score) if score else [], pa.float64()),
-            "n_bytes": docs.column("n_bytes")})
+            "n_bytes": docs.column("n_bytes"), "key": docs.column("key")})
 
     return run
 
@@ -329,8 +331,18 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     rows = rows.withColumn("held_out", held_out(F.col("doc_id")))
     size = rows.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    dealt = rows.withColumn("n_bytes", F.octet_length("text").cast("bigint")).withColumn(
-        "block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
+    keyed = rows.withColumn("n_bytes", F.octet_length("text").cast("bigint")).withColumn(
+        "key", F.xxhash64("doc_id", "text"))
+    # By their bytes there are at most eight of these keys per block.
+    hot = stage(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("n_bytes").alias("size"))
+                .where((F.col("n") > 1) & (F.col("size") > block_bytes // 8)).select("key"), "repeated")
+    repeats = not hot.isEmpty()
+    once = keyed
+    if repeats:
+        often = keyed.join(F.broadcast(hot), "key", "left_semi")
+        once = keyed.join(F.broadcast(hot), "key", "left_anti").unionByName(
+            often.distinct())
+    dealt = once.withColumn("block", F.pmod("key", F.lit(blocks)).cast("int"))
 
     counted = training_counts(rows, depth)
     counts = stage(counted.groupBy("word", "gram").agg(F.sum("n").alias("n")), "counts")
@@ -352,7 +364,16 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         "block", "word", F.lit(None).cast("bigint").alias("gram"), "value").unionByName(
         ask_grams.join(values, "gram").select(
             "block", F.lit(None).cast("binary").alias("word"), "gram", "value"))
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+    scored = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         _scored(depth, unseen, int(total or 0)),
         f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens bigint,"
-        " n_known bigint, train_tokens bigint, base_score double, score double, n_bytes bigint")
+        " n_known bigint, train_tokens bigint, base_score double, score double, n_bytes bigint,"
+        " key bigint")
+    if not repeats:
+        return scored.drop("key")
+    scored = stage(scored, "scored")
+    own = scored.join(F.broadcast(hot), "key", "left_semi").withColumnRenamed("doc_id", "_id")
+    each = often.select(F.col("key").alias("_key"), "doc_id").join(
+        F.broadcast(own), (F.col("_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    return scored.join(F.broadcast(hot), "key", "left_anti").drop("key").unionByName(
+        each.select(*[c for c in scored.columns if c != "key"]))

@@ -110,3 +110,24 @@ def test_repeats_null_ids_and_empty_table(spark):
     assert len(rows) == 3 and not any(r.held_out for r in rows if r.doc_id is None)
     assert {r.train_tokens for r in rows} == {6 if zlib.crc32(b"3") % 7 == 2 else 7}
     assert lm.score_documents(df.limit(0)).count() == 0
+
+
+def test_often_repeated_rows_are_in_a_block_once(spark, monkeypatch):
+    rows = [*enumerate(TEXTS), *[(1, TEXTS[1])] * 150, *[(None, "copies without an id")] * 150]
+    sizes, asked = [], lm._asked
+
+    def watched(dealt, depth):
+        sizes.append(dict(dealt.groupBy("block").count().collect()))
+        return asked(dealt, depth)
+
+    monkeypatch.setattr(lm, "_asked", watched)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    got = lm.score_documents(df, depth=2, block_bytes=100).collect()
+    assert sum(sizes[0].values()) == len(TEXTS) + 1
+    plain = lm.score_documents(df, depth=2).collect()
+    assert len(sizes) == 2 and sum(sizes[1].values()) == len(rows)
+    order = lambda found: sorted(found, key=lambda r: (r.doc_id is None, r.doc_id))
+    assert len(got) == len(plain) == len(rows)
+    for a, b in zip(order(got), order(plain)):
+        assert a[:5] == b[:5] and a.n_bytes == b.n_bytes
+        assert (a.base_score, a.score) == pytest.approx((b.base_score, b.score), abs=1e-9)
