@@ -8,7 +8,14 @@ and a template match if the Dice coefficient of their *sets* of word bigrams,
 set, only sizes between ``|B| t / (2 - t)`` and ``|B| (2 - t) / t`` can match: the templates are
 joined on the admissible sizes, and no other pair is compared.
 
-Built-in functions only.  The templates are a fixed list (``TEMPLATES``), so their table and
+A licence need not be a unit: it may span paragraphs of a larger text, stand inside a line or
+follow a copyright notice.  So runs of words are looked at, too, whatever the line ends are and
+with copyright lines in.  A run with that Dice has at least ``|B| t / (2 - t)`` of a template's
+bigrams, so only texts that hold as many are searched, for runs from one bigram of the template
+to another.  Of runs that overlap the best of a licence is kept, and none that overlaps a unit
+that matches a template of that licence.
+
+Built-in functions only, but for the runs (``mapInArrow``).  The templates are a fixed list (``TEMPLATES``), so their table and
 the sizes that it admits are bounded and broadcast.  NULL texts, empty ones and units of
 under two words match nothing.  Repeated rows give repeated results.
 """
@@ -17,7 +24,10 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -158,11 +168,137 @@ def template_table(spark: SparkSession, min_dice: float) -> DataFrame:
                        F.explode(F.sequence("low", "high")).alias("size"))
 
 
+def _least_shared(size: int, min_dice: float) -> int:
+    """Bigrams of a template of ``size`` that anything matching it has."""
+    return max(1, math.ceil(size * min_dice / (2 - min_dice) - 1e-9))
+
+
+class Runs:
+    """Finds the runs of words that match ``templates``: ``(licence, template, text)``."""
+
+    def __init__(self, templates: Sequence[tuple[str, str, str]], min_dice: float):
+        self.min_dice = min_dice
+        self.names = [t[:2] for t in templates]
+        words = [re.findall(_WORD, body.lower()) for *_, body in templates]
+        self.sets = [set(zip(w, w[1:])) for w in words]
+        vocabulary = sorted({w for found in words for w in found})
+        self.number = {w: i + 1 for i, w in enumerate(vocabulary)}
+        pairs = sorted(set().union(*self.sets))
+        # By the numbers of two words: the number of the pair, 0 if no template has it.
+        self.pair = np.zeros((len(vocabulary) + 1, len(vocabulary) + 1), dtype=np.int32)
+        for i, (a, b) in enumerate(pairs):
+            self.pair[self.number[a], self.number[b]] = i + 1
+        self.holds = np.array([[False, *(p in own for p in pairs)] for own in self.sets])
+        self.need = np.array([_least_shared(len(own), min_dice) for own in self.sets])
+
+    def dice(self, words: list[str], of: int) -> float:
+        found = set(zip(words, words[1:]))
+        return round(2.0 * len(found & self.sets[of]) / (len(found) + len(self.sets[of])), 6)
+
+    def find(self, text: str) -> list[tuple[int, str, str, float]]:
+        """``(first word, licence, template, dice)`` of each run in a text in lower case."""
+        words = re.findall(_WORD, text)
+        if len(words) < 2:
+            return []
+        number = self.number
+        at = np.fromiter((number.get(w, 0) for w in words), np.int32, len(words))
+        pairs = self.pair[at[:-1], at[1:]]
+        met = np.unique(pairs[pairs > 0])
+        enough = np.flatnonzero(self.holds[:, met].sum(axis=1) >= self.need)
+        if not len(enough):
+            return []
+        found = []
+        for k in enough.tolist():
+            hits = np.flatnonzero(self.holds[k][pairs])
+            found += [(-d, a, b, k) for a, b, d in self._windows(words, hits.tolist(), k)]
+        taken: dict[str, list[tuple[int, int]]] = {}
+        kept = []
+        for d, a, b, k in sorted(found):
+            name = self.names[k][0]
+            if name not in taken:
+                taken[name] = self._units(text, name)
+            if all(b <= x or y <= a for x, y in taken[name]):
+                taken[name].append((a, b))
+                kept.append((a, *self.names[k], -d))
+        return kept
+
+    def _windows(self, words: list[str], hits: list[int], k: int) -> Iterator[tuple[int, int, float]]:
+        """The best run from each hit: first word, end, Dice.
+
+        A run that is best has its first pair only once, else it could begin later.
+        """
+        own, most = len(self.sets[k]), _admissible(len(self.sets[k]), self.min_dice)[1]
+        is_hit = set(hits)
+        for first in hits:
+            start, seen, shared, best = (words[first], words[first + 1]), set(), 0, (0.0, 0)
+            for i in range(first, len(words) - 1):
+                pair = (words[i], words[i + 1])
+                if i > first and pair == start:
+                    break
+                if pair in seen:
+                    continue
+                seen.add(pair)
+                if len(seen) > most:
+                    break
+                if i in is_hit:
+                    shared += 1
+                    best = max(best, (round(2.0 * shared / (len(seen) + own), 6), -i))
+            if best[0] >= self.min_dice:
+                yield first, 2 - best[1], best[0]
+
+    def _units(self, text: str, name: str) -> list[tuple[int, int]]:
+        """First word and end of the units of a text that match a template of a licence."""
+        templates = [k for k, n in enumerate(self.names) if n[0] == name]
+
+        def matches(body: str) -> bool:
+            kept = [w for line in body.split("\n") if not re.match(COPYRIGHT_LINE, line)
+                    for w in re.findall(_WORD, line)]
+            return len(kept) > 1 and any(self.dice(kept, k) >= self.min_dice for k in templates)
+
+        spans = []
+        for parts in (text.split("\n"), re.split(r"\n[ \t]*\n", text), [text]):
+            done = 0
+            for part in parts:
+                n = len(re.findall(_WORD, part))
+                if matches(part):
+                    spans.append((done, done + n))
+                done += n
+        return spans
+
+
+def scan_runs(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
+              min_dice: float = MIN_DICE) -> DataFrame:
+    """The rows of ``scan_licenses`` for runs; ``position`` is the number of the first word."""
+    runs = Runs(TEMPLATES, min_dice)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rows = [], []
+            for i, body in enumerate(batch.column("_text")):
+                found = runs.find(body.as_py())
+                at += [i] * len(found)
+                rows += found
+            position, name, template, dice = zip(*rows) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_id").take(pa.array(at, pa.int64())),
+                 pa.array(["run"] * len(rows), pa.string()), pa.array(position, pa.int64()),
+                 pa.array(name, pa.string()), pa.array(template, pa.string()),
+                 pa.array(dice, pa.float64())],
+                names=[id_col, "unit", "position", "license", "template", "dice"])
+
+    held = docs.where(F.col(text).isNotNull()).select(
+        F.col(id_col).alias("_id"), F.lower(F.col(text)).alias("_text"))
+    kind = held.schema["_id"].dataType.simpleString()
+    return held.mapInArrow(run, f"`{id_col}` {kind}, unit string, position bigint, license string, "
+                           "template string, dice double")
+
+
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                   min_dice: float = MIN_DICE) -> DataFrame:
     """``id_col, unit, position, license, template, dice`` for each match.
 
-    ``unit`` is text, block or line; ``position`` counts blocks and lines from 0.
+    ``unit`` is text, block, line or run; ``position`` counts blocks, lines and, for runs,
+    words from 0.
     """
     bounds = [_admissible(n, min_dice) for n in template_sizes()]
     least, most = min(a for a, _ in bounds), max(b for _, b in bounds)
@@ -202,9 +338,10 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     table = template_table(docs.sparkSession, min_dice)
     both = F.size(F.array_intersect("_grams", "grams"))
     dice = F.round(2.0 * both / (F.col("size") + F.col("own_size")), 6)
-    return grams.withColumn("size", F.size("_grams")).join(F.broadcast(table), "size").withColumn(
+    whole = grams.withColumn("size", F.size("_grams")).join(F.broadcast(table), "size").withColumn(
         "dice", dice).where(F.col("dice") >= min_dice).select(
         F.col("_id").alias(id_col), "unit", "position", "license", "template", "dice")
+    return whole.unionByName(scan_runs(docs, id_col, text, min_dice))
 
 
 def scan_sql(min_dice: float = MIN_DICE) -> str:

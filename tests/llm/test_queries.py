@@ -51,6 +51,24 @@ def test_license_units(spark):
     assert licenses.scan_licenses(df.limit(0)).count() == 0
 
 
+def test_licenses_inside_larger_texts(spark):
+    body = {n: t for n, k, t in licenses.TEMPLATES if k == "text"}
+    mit = body["MIT"].replace(" The above", "\n\nThe above").replace(" THE SOFTWARE IS", "\n\nTHE SOFTWARE IS")
+    bsd = body["BSD-3-Clause"]
+    for head in ("1. Redis", "2. Redis", "3. Neither", "THIS SOFTWARE IS"):
+        bsd = bsd.replace(f" {head}", f"\n\n{head}")
+    prose = " ".join(f"word{i} and" for i in range(150))
+    notice = "Licensed under the Apache License, Version 2.0."
+    texts = [f"{prose}\n\n{mit}\n\n{prose}", f"{prose}\n\n{bsd}", f"{prose}\n\n{mit}".replace("\n", "\r\n"),
+             f"{prose}. {notice} {prose}", prose, prose,
+             prose, notice, f"{notice}\n{prose} {notice}"]
+    df = spark.createDataFrame([*enumerate(texts), (None, texts[3])], "doc_id bigint, text string")
+    got = licenses.scan_licenses(df).where("unit = 'run'").collect()
+    best = {r.doc_id: (r.license, r.position) for r in got if r.license not in ("BSD-2-Clause",)}
+    assert best == {0: ("MIT", 300), 1: ("BSD-3-Clause", 300), 2: ("MIT", 300), 3: ("Apache-2.0", 300),
+                    8: ("Apache-2.0", 308), None: ("Apache-2.0", 300)}
+
+
 # --- URL lists -------------------------------------------------------------------------
 
 
