@@ -60,13 +60,13 @@ def test_licenses_inside_larger_texts(spark):
     prose = " ".join(f"word{i} and" for i in range(150))
     notice = "Licensed under the Apache License, Version 2.0."
     texts = [f"{prose}\n\n{mit}\n\n{prose}", f"{prose}\n\n{bsd}", f"{prose}\n\n{mit}".replace("\n", "\r\n"),
-             f"{prose}. {notice} {prose}", prose, prose,
+             f"{prose}. {notice} {prose}", f"Copyright 2024 Acme. {notice}", f"(c) 2024 Acme {notice}",
              prose, notice, f"{notice}\n{prose} {notice}"]
-    df = spark.createDataFrame([*enumerate(texts), (None, texts[3])], "doc_id bigint, text string")
+    df = spark.createDataFrame([*enumerate(texts), (None, texts[4])], "doc_id bigint, text string")
     got = licenses.scan_licenses(df).where("unit = 'run'").collect()
     best = {r.doc_id: (r.license, r.position) for r in got if r.license not in ("BSD-2-Clause",)}
     assert best == {0: ("MIT", 300), 1: ("BSD-3-Clause", 300), 2: ("MIT", 300), 3: ("Apache-2.0", 300),
-                    8: ("Apache-2.0", 308), None: ("Apache-2.0", 300)}
+                    4: ("Apache-2.0", 3), 5: ("Apache-2.0", 3), 8: ("Apache-2.0", 308), None: ("Apache-2.0", 3)}
 
 
 # --- URL lists -------------------------------------------------------------------------
