@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from rankflow.llm import (
     decontaminate,
     embeddings,
+    filter_audit,
     language_model,
     licenses,
+    merkle,
+    neighbours,
     packing,
     pii,
     quality,
@@ -156,3 +159,19 @@ def quality_scores(spark, sf_dir):
 @query("op7_language_model")
 def language_model_scores(spark, sf_dir):
     return language_model.score_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op11_filter_audit", filter_audit.audit_sql())
+def filter_interactions(spark, sf_dir):
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op12_merkle_manifest", merkle.manifest_sql())
+def merkle_manifest(spark, sf_dir):
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+@query("op13_nearest_vectors")
+def nearest_vectors(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 20 = 0"))
