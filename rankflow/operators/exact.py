@@ -1,14 +1,19 @@
-"""Exact quantiles: the element at rank ``ceil(p * n)`` of each group.
-
-Two plans give the same rows:
-
-* groups known to be small use ``percentile_disc``, which holds a value-to-count
-  map per group;
-* any other group is narrowed down in three rounds.  The first counts rows in ranges
-  of the logarithm, the second counts rows in 2**20 equal parts of what a range with
-  a wanted rank spans, and the third counts the values of the parts that hold one.
-  A task sends counts per range or part, and values only of parts that hold a rank.
-  It is one lazy plan that reads the input once per round.
+"""Exact quantiles: the element at rank ``ceil(p * n)`` of each group, in two scans.
+
+The first scan counts rows in ranges of the logarithm (2 % wide) with the least and the
+greatest value of each range, per group.  These counts add up like any sketch: their total is
+the size of the group, so no pass for sizes is needed, and their running total tells in which
+range each wanted rank lies and at which place in it.  A rank is known at once if it is the
+first or the last of its range, or if the range holds one value.  What is left is written as a
+small table of ranges.
+
+The second scan reads only rows inside these ranges (the table is broadcast if it is small)
+and counts their distinct values, per task first.  Ranges with many rows are cut into 2**20
+equal parts, so that no task orders more than the values of one part.  A second scan is not
+run if nothing is left.
+
+Groups known to be small may use ``percentile_disc`` instead, which holds a value-to-count map
+per group and reads the input once.
 """
 
 from __future__ import annotations
@@ -19,13 +24,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankflow.functions.scalars import QUANTILES, as_column, quantile_column
-from rankflow.scratch import join_groups
+from rankflow.scratch import BROADCAST_ROWS, hint_broadcast, join_groups, stage
 
-#: Most values of a group for which one aggregation buffer may hold them all.  A task
-#: can hold some hundred such buffers at about 60 bytes per value.
-SMALL_GROUP = 10_000
+#: Most rows of a range whose distinct values one task orders.
+ONE_TASK = 1 << 20
 
-#: Parts a block is cut into in the second round.
+#: Parts a larger range is cut into.
 SLICES = 1 << 20
 
 Rank = Callable[[Column], Column]
@@ -69,16 +73,67 @@ def _locate(counts: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     )
 
 
-def _hits(counts: DataFrame, ranks: Column) -> DataFrame:
-    """Blocks (rows with ``_before`` and ``_upto``) that hold one of ``ranks``, which are
-    counted from the block's first row on."""
-    inside = F.filter(
+def _inside(counts: DataFrame, ranks: Column) -> DataFrame:
+    """Rows with ``_before`` and ``_upto`` that hold one of ``ranks``, and which of their rows
+    each of these is (``_ranks``)."""
+    here = F.filter(
         ranks, lambda r: (r["rank"] > F.col("_before")) & (r["rank"] <= F.col("_upto")))
-    moved = F.transform(inside, lambda r: F.struct(
+    moved = F.transform(here, lambda r: F.struct(
         r["name"].alias("name"), (r["rank"] - F.col("_before")).alias("rank")))
     return counts.withColumn("_ranks", moved).where(F.size("_ranks") > 0)
 
 
+def rank_ranges(base: DataFrame, keys: Sequence[str], ranks: dict[str, Rank]) -> DataFrame:
+    """First scan: the ranges that hold a wanted rank, with their group's size ``_n``.
+
+    Rows ``keys, _n, _block, _c, _lo, _hi, _ranks``, at most one per group and rank.
+    """
+    wanted = F.array(*[
+        F.struct(F.lit(name).alias("name"), rank(F.col("_n")).cast("bigint").alias("rank"))
+        for name, rank in ranks.items()
+    ])
+    counts = base.groupBy(*keys, "_block").agg(
+        F.sum("_w").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    sized = _locate(counts, keys, "_block").withColumn(
+        "_n", F.sum("_c").over(Window.partitionBy(*keys)))
+    return _inside(sized, wanted).select(*keys, "_n", "_block", "_c", "_lo", "_hi", "_ranks")
+
+
+def _read_off() -> Column:
+    """The value at a rank of a range, as far as the range's own counts tell."""
+    return F.transform("_ranks", lambda r: F.struct(
+        r["name"].alias("name"), r["rank"].alias("rank"),
+        F.when((r["rank"] == 1) | F.col("_lo").eqNullSafe(F.col("_hi")), F.col("_lo"))
+        .when(r["rank"] == F.col("_c"), F.col("_hi")).alias("value")))
+
+
+def _pick(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``keys, _n, name, value`` out of counted values and the ranks wanted of their part."""
+    return _inside(counts, F.col("_ranks")).select(
+        *keys, "_n", F.explode("_ranks.name").alias("name"), F.col("_v").alias("value"))
+
+
+def _second_scan(base: DataFrame, keys: list[str], left: DataFrame) -> DataFrame:
+    """``keys, _n, name, value`` of the ranks that the first scan leaves open."""
+    rows, most = left.agg(F.count(F.lit(1)), F.max("_c")).first()
+    at = [*keys, "_block"]
+    bounds = hint_broadcast(left.select(*at, "_lo", "_hi"), rows <= BROADCAST_ROWS)
+    open_ranks = hint_broadcast(left.select(*at, "_n", "_ranks"), rows <= BROADCAST_ROWS)
+    read = join_groups(base, bounds, at)
+    if most is None or most <= ONE_TASK:
+        values = read.groupBy(*at, "_v").agg(F.sum("_w").alias("_c"))
+        return _pick(join_groups(_locate(values, at, "_v"), open_ranks, at), keys)
+    # Both uses of ``values`` share one exchange, so the input is not read again.
+    part = [*at, "_slice"]
+    values = read.withColumn("_slice", _slice(F.col("_v"), F.col("_lo"), F.col("_hi"))).groupBy(
+        *part, "_v").agg(F.sum("_w").alias("_c"))
+    parts = _locate(values.groupBy(*part).agg(F.sum("_c").alias("_c")), at, "_slice")
+    held = _inside(join_groups(parts, open_ranks, at), F.col("_ranks")).select(
+        *part, "_n", "_ranks")
+    return _pick(join_groups(_locate(join_groups(values, held.select(*part), part, "left_semi"),
+                                     part, "_v"), held, part), keys)
+
+
 def order_statistics(df: DataFrame, value: str | Column, keys: Sequence[str],
                      ranks: dict[str, Rank], weight: str | None = None) -> DataFrame:
     """The values at the given ranks of each group, as one column per rank.
@@ -86,40 +141,24 @@ def order_statistics(df: DataFrame, value: str | Column, keys: Sequence[str],
     ``ranks`` maps a column name to a function from the group size to a 1-based
     rank.  A ``weight`` column says how many rows a row stands for.  The result has
     ``keys, n`` and the rank columns; without keys it is one row, also over nothing.
-    NULLs are left out and NaN sorts last.
+    NULLs are left out and NaN sorts last.  The first scan runs when this is called.
     """
     keys = list(keys)
     rows = F.lit(1).cast("bigint") if weight is None else F.col(weight)
     base = df.select(
         *keys, as_column(value).cast("double").alias("_v"), rows.alias("_w")
     ).where(F.col("_v").isNotNull()).withColumn("_block", _block(F.col("_v")))
-    count = (F.sum("_w").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-
-    # Round 1: blocks, at most 80,000 rows per group whatever its size.
-    wanted = F.array(*[
-        F.struct(F.lit(name).alias("name"), rank(F.col("_n")).cast("bigint").alias("rank"))
-        for name, rank in ranks.items()
-    ])
-    sized = _locate(base.groupBy(*keys, "_block").agg(*count), keys, "_block").withColumn(
-        "_n", F.sum("_c").over(Window.partitionBy(*keys)))
-    found = _hits(sized, wanted).select(*keys, "_block", "_n", "_lo", "_hi", "_ranks")
-
-    # Round 2: equal parts of the blocks that hold a rank.
-    at = [*keys, "_block"]
-    inside = join_groups(base, found.select(*at, "_lo", "_hi"), at).select(
-        *at, _slice(F.col("_v"), F.col("_lo"), F.col("_hi")).alias("_slice"), "_v", "_w")
-    parts = _locate(inside.groupBy(*at, "_slice").agg(F.sum("_w").alias("_c")), at, "_slice")
-    held = join_groups(parts, found.select(*at, "_n", "_ranks"), at)
-    at = [*at, "_slice"]
-    found = _hits(held, F.col("_ranks")).select(*at, "_n", "_ranks")
-
-    # Round 3: the distinct values of the parts that hold a rank.
-    values = _locate(join_groups(inside, found.select(*at), at).groupBy(*at, "_v").agg(
-        F.sum("_w").alias("_c")), at, "_v")
-    picked = _hits(join_groups(values, found, at), F.col("_ranks"))
-    names = F.col("_ranks.name")
-    cols = [F.max(F.when(F.array_contains(names, name), F.col("_v"))).alias(name) for name in ranks]
-    return picked.groupBy(*keys).agg(F.coalesce(F.max("_n"), F.lit(0)).alias("n"), *cols)
+    ranges = stage(rank_ranges(base, keys, ranks).withColumn("_ranks", _read_off()), "ranges")
+    answers = ranges.select(*keys, "_n", F.inline("_ranks")).where(
+        F.col("value").isNotNull()).select(*keys, "_n", "name", "value")
+    left = ranges.withColumn("_ranks", F.transform(
+        F.filter("_ranks", lambda r: r["value"].isNull()),
+        lambda r: F.struct(r["name"].alias("name"), r["rank"].alias("rank")))).where(
+        F.size("_ranks") > 0)
+    if not left.isEmpty():
+        answers = answers.unionByName(_second_scan(base, keys, left))
+    cols = [F.max(F.when(F.col("name") == name, F.col("value"))).alias(name) for name in ranks]
+    return answers.groupBy(*keys).agg(F.coalesce(F.max("_n"), F.lit(0)).alias("n"), *cols)
 
 
 def exact_quantiles_large(df: DataFrame, value: str | Column, keys: Sequence[str] = (),
@@ -158,30 +197,10 @@ def exact_quantiles_small(df: DataFrame, value: str | Column, keys: Sequence[str
     return _rounded(wide.select(*keys, "n", *picks), keys, ps, places)
 
 
-def hot_groups(df: DataFrame, value: str | Column, keys: Sequence[str]) -> DataFrame:
-    """The groups of more than ``SMALL_GROUP`` values."""
-    sizes = df.groupBy(*keys).agg(F.count(as_column(value)).alias("_size"))
-    return sizes.where(F.col("_size") > SMALL_GROUP).drop("_size")
-
-
 def exact_quantiles(df: DataFrame, value: str | Column, keys: Sequence[str] = (),
                     ps: Sequence[float] = QUANTILES, places: int | None = 4) -> DataFrame:
-    """Exact quantiles, each group by the plan its number of values calls for.
-
-    Small groups take one aggregation however many there are; only the rows of
-    the hot groups, at most one group per ``SMALL_GROUP`` values, are narrowed down.
-    Without keys there is one group of unknown size, which is always narrowed down.
-    The plan does not run anything before it is asked for rows.
-    """
-    keys = list(keys)
-    if not keys:
-        return exact_quantiles_large(df, value, keys, ps, places)
-    rows = df.select(*keys, as_column(value).cast("double").alias("_value"))
-    hot = hot_groups(rows, "_value", keys)
-    cold = join_groups(rows, hot, keys, "left_anti")
-    return exact_quantiles_small(cold, "_value", keys, ps, places).unionByName(
-        exact_quantiles_large(join_groups(rows, hot, keys, "left_semi"), "_value", keys, ps,
-                              places))
+    """Exact quantiles of groups of any number and any sizes: ``keys, n, pct_..``."""
+    return exact_quantiles_large(df, value, keys, ps, places)
 
 
 def _rounded(wide: DataFrame, keys: Sequence[str], ps: Sequence[float],

@@ -64,7 +64,7 @@ def test_values_inside_one_slice(spark):
 
 @pytest.mark.parametrize("size", [19, 20, 21, 200])
 def test_rows_do_not_depend_on_the_plan(spark, monkeypatch, size):
-    monkeypatch.setattr(exact, "SMALL_GROUP", 20)
+    monkeypatch.setattr(exact, "ONE_TASK", 1)
     nulls = spark.createDataFrame([("n", None)] * size, "g string, v double")
     row = exact.exact_quantiles(nulls, "v").first()
     assert row.n == 0 and row.pct_50 is None
@@ -80,6 +80,7 @@ def test_rows_do_not_depend_on_the_plan(spark, monkeypatch, size):
     [5.0] * 500 + [5.0000001, 4.9], [float("nan")] * 3 + [float("inf"), float("-inf"), 0.0, -1.0]])
 def test_values_within_one_block(spark, monkeypatch, values):
     monkeypatch.setattr(exact, "SLICES", 8)
+    monkeypatch.setattr(exact, "ONE_TASK", 40)
     row = exact.exact_quantiles_large(frame(spark, {"a": values}), "v", ["g"], places=None).first()
     ordered = sorted(values, key=lambda v: (v != v, v))
     for p in QUANTILES:
@@ -100,23 +101,34 @@ def test_empty_input(spark):
     assert exact.exact_quantiles_large(df, "v", ["g"]).count() == 0
 
 
-def test_only_hot_groups_are_narrowed_down(spark, monkeypatch):
-    monkeypatch.setattr(exact, "SMALL_GROUP", 20)
-    seen = []
-    large = exact.exact_quantiles_large
-    monkeypatch.setattr(exact, "exact_quantiles_large", lambda df, *a: seen.append(
-        {r.g for r in df.select("g").distinct().collect()}) or large(df, *a))
-    groups = {"cold": [5.0, 1.0, 3.0], "hot": [float(i * i % 97) for i in range(60)],
+@pytest.mark.parametrize("one_task", [10, 1 << 20])
+def test_small_and_hot_groups_together(spark, monkeypatch, one_task):
+    monkeypatch.setattr(exact, "ONE_TASK", one_task)
+    groups = {"cold": [5.0, 1.0, 3.0], "hot": [100 + float(i * i % 97) / 100 for i in range(600)],
               None: [float(i) for i in range(30)], "cool": [2.0] * 20}
     got = {r.g: r for r in exact.exact_quantiles(frame(spark, groups), "v", ["g"]).collect()}
-    assert seen == [{"hot", None}] and set(got) == set(groups)
+    assert set(got) == set(groups)
     for g, values in groups.items():
+        assert got[g].n == len(values)
         for p in QUANTILES:
             assert got[g][quantile_column(p)] == expected(values, p)
 
 
+@pytest.mark.parametrize("one_task,values,second", [
+    (10, [100 + i / 1000 for i in range(900)], 1), (1 << 20, [100 + i / 1000 for i in range(900)], 1),
+    (10, [float(2 ** (i % 9)) for i in range(900)], 0)])
+def test_the_input_is_read_at_most_twice(spark, monkeypatch, fresh_dir, one_task, values, second):
+    """Once to locate the ranks, when called, and once more if a rank is then still open."""
+    monkeypatch.setattr(exact, "ONE_TASK", one_task)
+    frame(spark, {"a": values, "b": values[:300]}).write.parquet(fresh_dir)
+    wide = exact.exact_quantiles(spark.read.parquet(fresh_dir), "v", ["g"])
+    wide.collect()
+    ran = wide._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert ran.count("DataFilters: [isnotnull(v#") == second
+
+
 def test_one_hot_group_without_keys(spark, monkeypatch):
-    monkeypatch.setattr(exact, "SMALL_GROUP", 3)
+    monkeypatch.setattr(exact, "ONE_TASK", 3)
     row = exact.exact_quantiles(frame(spark, {"a": [1.0, 2, 3, 4]}), "v").first()
     assert (row.n, row.pct_50, row.pct_75) == (4, 2.0, 3.0)
 
