@@ -10,6 +10,7 @@ from rankflow.catalog.base import (
     WEEK,
     add,
     events,
+    query,
     rounded,
     sql_dds,
     sql_ddsc,
@@ -20,11 +21,13 @@ from rankflow.catalog.base import (
     sql_within,
     table,
 )
+from rankflow.catalog.reports import DELAY_MS, LATE_COUNTS, MARKED
 from rankflow.catalog.scalars import taxi_rides
 from rankflow.catalog.sketches import kll_bound, moments_bound, req_bound
 from rankflow.catalog.synthetic import HIGH, LOW
 from rankflow.functions import uniform
 from rankflow.functions.scalars import epoch_ms, window_id
+from rankflow.operators import late
 from rankflow.plans.evaluate import rank_check
 from rankflow.plans.methods import SKETCHES
 from rankflow.plans.windows import dataset_window_quantiles
@@ -32,6 +35,7 @@ from rankflow.scratch import new_path
 from rankflow.sources import events as ev
 from rankflow.sources import schemas
 from rankflow.streaming import windows as streaming
+from rankflow.streaming.arrival import ArrivalWindows
 
 BOUNDS = {"moments": moments_bound, "kll": kll_bound, "req": req_bound}
 FLOATS = ("kll", "req")
@@ -170,3 +174,65 @@ for _dataset, (_rows, _seconds, _src) in DATASETS.items():
     for _name in SKETCHES:
         add(f"stream_{_dataset}_{_name}", *_stream_query(
             _dataset, _name, _rides if _dataset == "taxi" else _rows, _seconds, _src))
+
+
+# --- streams in order of arrival -----------------------------------------------------------
+#
+# Events with a delay are fed in three runs over one checkpoint, each with a third of the
+# arrivals.  Lateness is counted per event, and the end of the run closes the last window.
+
+ARRIVALS = 3
+_IN_TIME = f"SELECT * FROM ({MARKED}) WHERE NOT is_late"
+
+
+def _delayed_events(spark, sf):
+    df = late.with_delay(events(spark, sf), "ms", "event_id", DELAY_MS)
+    return df.withColumn("ts", F.timestamp_millis("event_ms"))
+
+
+def _run_arrivals(spark, sf, name, **more):
+    rows = _delayed_events(spark, sf).select("event_id", "value", "event_ms", "ts")
+    source, out, checkpoint = (new_path(spark, f"arrivals-{part}") for part in
+                               ("in", "out", "checkpoint"))
+    query = ArrivalWindows(out, F.col("value").cast("double"), name, "event_id", DAY, **more)
+    first, last = rows.agg(F.min("event_id"), F.max("event_id")).first()
+    third = F.floor((F.col("event_id") - first) * ARRIVALS / (last - first + 1))
+    for n in range(ARRIVALS):
+        sent = ev.to_json_events(rows.where(third == n), ["event_id", "value"], "event_ms")
+        ev.write_json_events(sent, source)
+        fields = F.from_json("value", "event_id string, value string, event_time string").alias("e")
+        parsed = ev.read_json_events(spark, source).select(fields).select(
+            F.col("e.event_id").cast("bigint").alias("event_id"), "e.value", "e.event_time")
+        query.start(ev.assign_event_time(parsed), checkpoint, {"availableNow": True}).awaitTermination()
+    query.end_stream(spark)
+    return query
+
+
+@query("stream_late_count", LATE_COUNTS)
+def _(spark, sf):
+    return _run_arrivals(spark, sf, "dds").counts(spark)
+
+
+@query("stream_late_drop", f"SELECT event_id, window_id, value FROM ({_IN_TIME})")
+def _(spark, sf):
+    kept = _run_arrivals(spark, sf, "dds", keep_events=True).events_in_time(spark)
+    return kept.select("event_id", "window_id", F.col("value").cast("double").alias("value"))
+
+
+def _whole_stream(name):
+    def fn(spark, sf):
+        wide = _run_arrivals(spark, sf, name).results(spark)
+        if name not in BOUNDS:
+            return _tidy(wide)
+        rows = late.late_drop(_delayed_events(spark, sf).withColumn(
+            "window_id", window_id("ts", DAY)), "event_id")
+        return rank_check(rows, "value", wide, ["window_id"], BOUNDS[name],
+                          dtype="float" if name in FLOATS else "double")
+
+    if name in BOUNDS:
+        return fn, sql_within(_IN_TIME, "window_id")
+    return fn, {**SQL, "exact": sql_exact}[name](_IN_TIME, "value", "window_id")
+
+
+for _name in (*SKETCHES, "exact"):
+    add(f"stream_whole_{_name}", *_whole_stream(_name))
