@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankflow.llm import decontaminate, packing, pii, quality, simhash
+from rankflow.llm.names import free_name
 from rankflow.scratch import stage
 
 
@@ -39,7 +40,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    masked = pii.mask_pii(pii.find_pii(docs, into="_pii"), spans="_pii").drop("_pii")
+    spans = free_name(docs, "_pii")
+    masked = pii.mask_pii(pii.find_pii(docs, into=spans), spans=spans).drop(spans)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         masked = masked.withColumn("n_chars", F.when(

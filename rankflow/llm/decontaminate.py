@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankflow.llm.names import free_name
 from rankflow.llm.words import BASE, UNDO, hashed_words, mixed, shingle_hashes
 from rankflow.scratch import stage
 
@@ -191,6 +192,7 @@ def mark_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without the rows whose text is contaminated."""
+    key = free_name(docs, "_key")
     found = stage(contamination(docs, benchmark, text).where(
-        F.col("coverage") >= THRESHOLD).select(F.col("key").alias("_key")), "contaminated")
-    return docs.join(found, text_key(text) == F.col("_key"), "left_anti")
+        F.col("coverage") >= THRESHOLD).select(F.col("key").alias(key)), "contaminated")
+    return docs.join(found, text_key(text) == F.col(key), "left_anti")

@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankflow.llm.names import free_name
 from rankflow.llm.graph import components
 from rankflow.llm.tiles import compare, lay_tiles
 from rankflow.scratch import stage
@@ -174,11 +175,12 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     fate = F.when(F.col("text_hash") != F.col("head"), 0).when(F.col("n") > 1, 1)
     decided = heads.join(first, "root").select("doc_id", "text_hash", fate.alias("_keep"))
     others = groups.where(~has_id).select("doc_id", "text_hash", F.lit(0).alias("_keep"))
+    keep, i, h = (free_name(docs, name) for name in ("_keep", "_i", "_h"))
     verdicts = stage(decided.where("_keep IS NOT NULL").unionByName(others).select(
-        F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h"), "_keep"), "verdicts")
-    same = F.col(id_col).cast("bigint").eqNullSafe(F.col("_i")) & (F.xxhash64(text) == F.col("_h"))
-    judged = docs.join(verdicts, same, "left").drop("_i", "_h")
-    once = judged.where("_keep IS NULL")
+        F.col("doc_id").alias(i), F.col("text_hash").alias(h), F.col("_keep").alias(keep)), "verdicts")
+    same = F.col(id_col).cast("bigint").eqNullSafe(F.col(i)) & (F.xxhash64(text) == F.col(h))
+    judged = docs.join(verdicts, same, "left").drop(i, h)
+    once = judged.where(F.col(keep).isNull())
     # Exact repeats of one row, id included: one of them stays.
-    repeats = judged.where("_keep = 1").drop("_keep").dropDuplicates([id_col, text])
-    return once.drop("_keep").unionByName(repeats)
+    repeats = judged.where(F.col(keep) == 1).drop(keep).dropDuplicates([id_col, text])
+    return once.drop(keep).unionByName(repeats)
