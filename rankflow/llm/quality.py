@@ -30,9 +30,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from rankflow.llm.words import BASE, CHUNK, UNDO, flat, mixed, pieces
+from rankflow.llm.names import free_name
+from rankflow.llm.words import BASE, flat, mixed, pieces
 
 WORDS = 50
+#: Bytes of text that are described at once (some 50 bytes of memory each).
+PIECE = 1 << 18
 SAMPLE = 6000
 THRESHOLD = 0.7
 HIDDEN, GATE, ROUNDS, BATCH, RATE, DECAY, SEED = 24, 12, 30, 64, 0.01, 1e-4, 11
@@ -45,7 +48,7 @@ FEATURES = KINDS + 11 + SHAPES
 
 
 def _kinds() -> np.ndarray:
-    table = np.full(256, OTHER, dtype=np.int64)
+    table = np.full(256, OTHER, dtype=np.uint8)
     table[128:] = FOREIGN
     for chars, kind in (("abcdefghijklmnopqrstuvwxyz", LOWER), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", UPPER),
                         ("0123456789", DIGIT), (" ", SPACE), ("\t\n\r\v\f", BREAK), (".,;:", POINT),
@@ -58,18 +61,44 @@ KIND = _kinds()
 
 
 def passages(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """``(first row, features of passages, first passage of each row)`` per piece of a column."""
+    """``(first row, features of passages, first passage of each row)`` per piece of a column.
+
+    A text longer than a piece is described in windows of whole passages.
+    """
     body, at = flat(column)
-    for first, last in pieces(at, CHUNK):
+    for first, last in pieces(at, PIECE):
         text, cut = body[at[first]:at[last]], at[first:last + 1] - at[first]
-        yield first, *_describe(text, cut)
+        if last - first > 1 or len(text) <= PIECE:
+            yield first, *_describe(text, cut)
+            continue
+        found = [_describe(window, np.array([0, len(window)]))[0] for window in _windows(text)]
+        x = np.concatenate(found)
+        yield first, x, np.array([0, len(x)])
+
+
+def _windows(text: np.ndarray) -> Iterator[np.ndarray]:
+    """A text in parts that begin where a passage begins.
+
+    A part holds about ``PIECE`` bytes; more only where one passage is longer than that.
+    """
+    at, size = 0, PIECE
+    while at + size < len(text):
+        inside = KIND[text[at:at + size]] > BREAK
+        begins = np.flatnonzero(inside & ~np.r_[False, inside[:-1]])
+        whole = (len(begins) - 1) // WORDS * WORDS
+        if whole < WORDS:
+            size *= 2
+            continue
+        yield text[at:at + begins[whole]]
+        at, size = at + int(begins[whole]), PIECE
+    yield text[at:]
 
 
 def _describe(text: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     rows = len(cut) - 1
     kind = KIND[text]
     inside = kind > BREAK
-    owner = np.repeat(np.arange(rows), np.diff(cut))
+    owner = np.repeat(np.arange(rows, dtype=np.int32), np.diff(cut))
     same = np.r_[False, owner[1:] == owner[:-1]] if len(text) else np.zeros(0, bool)
     begins = np.flatnonzero(inside & ~(same & np.r_[False, inside[:-1]])) if len(text) else (
         np.zeros(0, np.int64))
@@ -83,13 +112,14 @@ def _describe(text: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray
     n = int(cuts[-1])
     nth = np.arange(len(begins)) - word_cut[:-1][doc]
     part = cuts[:-1][doc] + nth // WORDS
-    # Bytes go with the word before them.
-    of_byte = np.searchsorted(begins, np.arange(len(text)), side="right") - 1
-    byte_part = np.where((of_byte >= 0) & (doc[of_byte] == owner), part[of_byte], cuts[:-1][owner]) if (
-        len(begins)) else cuts[:-1][owner]
+    # Bytes go with the word before them, and those before a row's first word with its first passage.
+    spots = np.r_[cut[:-1], begins]
+    order = np.argsort(spots, kind="stable")
+    byte_part = np.repeat(np.r_[cuts[:-1], part][order].astype(np.int32),
+                          np.diff(np.r_[spots[order], len(text)]))
     x = np.zeros((n, FEATURES))
     size = np.maximum(1, np.bincount(byte_part, minlength=n))
-    x[:, :KINDS] = np.bincount(byte_part * KINDS + kind, minlength=n * KINDS).reshape(
+    x[:, :KINDS] = np.bincount(byte_part.astype(np.int64) * KINDS + kind, minlength=n * KINDS).reshape(
         n, KINDS) / size[:, None]
     if not len(begins):
         return x, cuts
@@ -101,14 +131,20 @@ def _describe(text: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
     length = ends - begins
     head, tail = kind[begins], kind[ends - 1]
-    upper = np.r_[0, np.cumsum(kind == UPPER)]
-    digit = np.r_[0, np.cumsum(kind == DIGIT)]
-    letter = np.r_[0, np.cumsum((kind == LOWER) | (kind == UPPER) | (kind == FOREIGN))]
-    ups, letters = upper[ends] - upper[begins], letter[ends] - letter[begins]
-    powers = np.cumprod(np.r_[np.uint64(1), np.full(len(text), BASE, dtype=np.uint64)])
-    undo = np.cumprod(np.r_[np.uint64(1), np.full(len(text), UNDO, dtype=np.uint64)])
-    sums = np.r_[np.uint64(0), np.cumsum((text.astype(np.uint64) + np.uint64(1)) * powers[:-1])]
-    word = mixed((sums[ends] - sums[begins]) * undo[begins])
+    edges = np.column_stack([begins, ends]).ravel()
+
+    def within(per_byte: np.ndarray) -> np.ndarray:
+        """Sums over the bytes of each word."""
+        kinds = np.int64 if per_byte.dtype == bool else per_byte.dtype
+        return np.add.reduceat(np.append(per_byte, per_byte.dtype.type(0)), edges, dtype=kinds)[::2]
+
+    ups, digits = within(kind == UPPER), within(kind == DIGIT)
+    letters = within((kind == LOWER) | (kind == UPPER) | (kind == FOREIGN))
+    powers = np.cumprod(np.r_[np.uint64(1), np.full(int(length.max()), BASE, dtype=np.uint64)])
+    # The place of each byte in its word; bytes between words are not summed.
+    place = np.arange(len(text)) - np.repeat(np.r_[0, begins], np.diff(np.r_[0, begins, len(text)]))
+    np.minimum(place, len(powers) - 1, out=place)
+    word = mixed(within((text.astype(np.uint64) + np.uint64(1)) * powers[place]))
     again = np.r_[False, (word[1:] == word[:-1]) & (part[1:] == part[:-1])]
     pairs = np.sort((part.astype(np.uint64) << np.uint64(32)) | (word >> np.uint64(32)))
     fresh = pairs[np.r_[True, pairs[1:] != pairs[:-1]]]
@@ -117,11 +153,11 @@ def _describe(text: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray
     for value in (held / WORDS, share(length) / 10, share(length <= 2), share(length >= 12),
                   share(head == UPPER), share((ups == letters) & (letters >= 2)),
                   share((tail == SIGN) | (tail == FRAME) | (tail == CALL)),
-                  share(digit[ends] > digit[begins]), share(letters == 0), share(again),
+                  share(digits > 0), share(letters == 0), share(again),
                   distinct / total):
         x[:, k] = value
         k += 1
-    shape = (head * KINDS + tail) * 4 + np.digitize(length, (3, 6, 10))
+    shape = (head.astype(np.int64) * KINDS + tail) * 4 + np.digitize(length, (3, 6, 10))
     spot = (mixed(shape.astype(np.uint64)) % np.uint64(SHAPES)).astype(np.int64)
     x[:, k:] = np.bincount(part * SHAPES + spot, minlength=n * SHAPES).reshape(
         n, SHAPES) / total[:, None]
@@ -292,5 +328,5 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = train(docs, labels)
     if model.weights is None:
         return docs
-    scored = with_score(docs, model, into="_score")
-    return scored.where(F.col("_score") >= THRESHOLD).drop("_score")
+    score = free_name(docs, "_score")
+    return with_score(docs, model, into=score).where(F.col(score) >= THRESHOLD).drop(score)
