@@ -33,9 +33,9 @@ END_ID = 0
 GROUP = 4_000
 LACKS = 8
 SAVES = 200
-#: Chunks whose ids a task keeps (some 150 MB); the store starts anew beyond.  Texts
+#: Chunks whose ids a task keeps (some 60 MB); the store starts anew beyond.  Texts
 #: taken together.
-KEPT = 700_000
+KEPT = 250_000
 TOGETHER = 500
 
 # White space as the tokenizer's pattern knows it.
@@ -90,11 +90,12 @@ class ChunkEncoder:
         if len(self.known) > KEPT:
             self.known.clear()
         parts = [self.split(t) for t in texts]
-        new = {c for p in parts for c in p if c not in self.known}
+        new = set().union(*parts).difference(self.known)
         if new:
             self._learn(list(new))
+        ids_of = self.known.__getitem__
         for p in parts:
-            yield b"".join(map(self.known.__getitem__, p))
+            yield b"".join(map(ids_of, p))
 
 
 def cut_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text: str = "text",
