@@ -159,6 +159,13 @@ def _(spark, sf):
     return stats.top_values(table(spark, sf, "lineitem"), F.col("l_quantity").cast("double"))
 
 
+@query("top_values_distinct", """
+SELECT l_extendedprice AS value, count(*) AS n FROM lineitem GROUP BY 1
+ORDER BY n DESC, value LIMIT 10""")
+def _(spark, sf):
+    return stats.top_values(table(spark, sf, "lineitem"), "l_extendedprice", counters=2_000)
+
+
 @query("top_total", """
 SELECT sum(n)::BIGINT AS n FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_quantity
 ORDER BY n DESC, l_quantity LIMIT 10)""")

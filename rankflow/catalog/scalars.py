@@ -270,3 +270,9 @@ def _(spark, sf):
         "window_id", *sc.quantile_columns(), F.col("n").alias("win_size"),
         F.lit(0).alias("slack_events")), path)
     return files.scan_results(spark, path, "exact")
+
+
+@query("row_cap", "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem LIMIT 12345")
+def _(spark, sf):
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return files.row_cap(rows, 12_345)

@@ -358,3 +358,30 @@ def _(spark, sf):
     fine = buckets.udds_build(table(spark, sf, "lineitem"), "l_extendedprice", ["l_linenumber"])
     wide = buckets.udds_quantiles(buckets.udds_merge(fine.drop("l_linenumber")))
     return rounded(wide.withColumn("alpha", F.round("alpha", 9)))
+
+
+def _sql_rank_bounds(side: str) -> str:
+    to_end, kept = {"high": ("1 - q.quantile", "q.quantile >= 1 - 90.0::DOUBLE / n"),
+                    "low": ("q.quantile", "q.quantile <= 90.0::DOUBLE / n")}[side]
+    error = (f"CASE WHEN n <= 90 OR {kept} THEN 0.0::DOUBLE "
+             f"ELSE least(0.084::DOUBLE / 30, 0.1306::DOUBLE / 30 * ({to_end})) END")
+    return f"""
+SELECT l_suppkey, '{side}' AS side, q.quantile::DOUBLE AS quantile, n,
+       round(q.quantile - {error}, 8) AS lower_rank, round(q.quantile + {error}, 8) AS upper_rank
+FROM (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY l_suppkey),
+  (VALUES (0.01::DOUBLE), (0.25::DOUBLE), (0.5::DOUBLE), (0.9::DOUBLE), (0.99::DOUBLE),
+          (0.9999::DOUBLE)) q(quantile)"""
+
+
+@query("req_rank_bounds", f"{_sql_rank_bounds('high')} UNION ALL {_sql_rank_bounds('low')}")
+def _(spark, sf):
+    sizes = table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"))
+    ranks = F.explode(F.array(*[F.lit(p) for p in (.01, .25, .5, .9, .99, .9999)])).alias("quantile")
+    sizes = sizes.select("l_suppkey", "n", ranks)
+    both = []
+    for side in ("high", "low"):
+        lower, upper = req.req_rank_bounds(F.col("quantile"), F.col("n"), side=side)
+        both.append(sizes.select("l_suppkey", F.lit(side).alias("side"), "quantile", "n",
+                                 F.round(lower, 8).alias("lower_rank"),
+                                 F.round(upper, 8).alias("upper_rank")))
+    return both[0].unionByName(both[1])

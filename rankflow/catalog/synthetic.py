@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from rankflow.catalog.base import add, events, query, sql_hash, table
 from rankflow.functions import uniform
+from rankflow.scratch import new_path
+from rankflow.sources.generated import read_event_stream
 
 LINE_ID = "(l_orderkey * 8 + l_linenumber)"
 
@@ -85,3 +87,19 @@ FROM events WHERE {sql_hash('event_id', 't')} < 0.25""")
 def _(spark, sf):
     df = events(spark, sf).select(F.col("event_id").alias("id"))
     return uniform.gen_event_stream(df, "id", 1_700_000_000_000, 250)
+
+
+# Ids of a streaming source, in two runs over one checkpoint: the second one goes on.
+@query("stream_gen_event_stream", f"""
+SELECT id, arrival_ms, arrival_ms - floor(-150.0 * ln(1.0 - {sql_hash('id', 'd')}))::BIGINT
+       AS event_ms
+FROM (SELECT id, (1700000000000 + floor(id / 50))::BIGINT AS arrival_ms
+      FROM (SELECT unnest(range(count(*))) AS id FROM orders))""")
+def _(spark, sf):
+    rows = table(spark, sf, "orders").count()
+    out, checkpoint = new_path(spark, "generated"), new_path(spark, "checkpoint")
+    for due in (rows // 3, rows):
+        stream = read_event_stream(spark, due, 1_700_000_000_000, 50_000, 150.0, ids_per_task=5_000)
+        stream.writeStream.format("parquet").option("path", out).option(
+            "checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("id bigint, arrival_ms bigint, event_ms bigint").parquet(out)

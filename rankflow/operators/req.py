@@ -200,3 +200,25 @@ def req_rse(k: int, p: float) -> float:
 def req_upper_rank(k: int, p: float, sigmas: int = 1) -> float:
     """Upper bound of the true rank of the item returned for ``p``."""
     return p + sigmas * req_rse(k, p)
+
+
+def req_rank_bounds(p: float | Column, n: int | Column, k: int = K, side: str = "high",
+                    sigmas: int = 1) -> tuple[Column, Column]:
+    """Lower and upper bound of the true rank of the item returned for rank ``p``.
+
+    ``side`` is the end of the distribution whose ranks the sketch keeps best, ``n`` the number of
+    values.  The lowest level never compacts its first ``3 k`` items on that end, so ranks
+    there, and all ranks of up to ``3 k`` values, are exact.  Elsewhere the error is the smaller
+    of a fixed one and of one that shrinks towards that end.
+    """
+    if side not in ("high", "low"):
+        raise ValueError("the accurate side is high or low")
+    p, n = (x if isinstance(x, Column) else F.lit(x) for x in (p, n))
+    p = p.cast("double")
+    to_end = F.lit(1.0) - p if side == "high" else p
+    # The published constants of the sketch.
+    error = F.least(F.lit(0.084) / k, F.lit(0.1306) / k * to_end) * sigmas
+    kept = F.lit(float(SECTIONS * k)) / n
+    exact = (n <= SECTIONS * k) | (p >= F.lit(1.0) - kept if side == "high" else p <= kept)
+    error = F.when(exact, F.lit(0.0)).otherwise(error)
+    return p - error, p + error

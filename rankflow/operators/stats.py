@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from rankflow.functions.scalars import as_column
 from rankflow.operators.exact import order_statistics
@@ -148,10 +151,92 @@ def binned_histogram(df: DataFrame, value: str | Column, bins: DataFrame,
                          (F.col("_c") / F.col("n")).alias("share"))
 
 
-def top_values(df: DataFrame, value: str | Column, k: int = 10) -> DataFrame:
-    """The ``k`` most frequent values; ties go to the lower value."""
-    counts = df.groupBy(as_column(value).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.orderBy(F.desc("n"), F.asc("value")).limit(k)
+#: Values that a task counts at a time.
+TOP_COUNTERS = 10_000
+
+
+def frequency_summaries(df: DataFrame, value: str | Column, counters: int = TOP_COUNTERS) -> DataFrame:
+    """Misra-Gries summaries of each task: ``value, n``, and rows ``NULL, cut`` in ``cut``.
+
+    A task keeps counts of at most ``counters`` values (four times as many between two cuts).  A cut
+    takes the count of the first value that has no place from all; what all cuts of a task took is
+    one row.  The counts of a value add up over tasks to between its number of rows less all
+    cuts, and its number of rows.
+    """
+    v = as_column(value)
+    plain = df.select(v.alias("value"))
+    kind = plain.schema["value"].dataType
+    if kind.typeName() in ("double", "float"):
+        # One zero and one NaN, as in grouping.
+        plain = plain.select(F.when(F.isnan("value"), F.lit(float("nan")).cast(kind)).otherwise(
+            F.col("value") + F.lit(0).cast(kind)).alias("value"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, taken = None, 0
+
+        def counted(table: pa.Table) -> pa.Table:
+            return table.group_by("value").aggregate([("n", "sum")]).rename_columns(["value", "n"])
+
+        def cut(table: pa.Table) -> tuple[pa.Table, int]:
+            n = table.column("n").to_numpy()
+            if len(n) <= counters:
+                return table, 0
+            bar = int(np.partition(n, len(n) - counters - 1)[len(n) - counters - 1])
+            left = table.filter(pa.array(n > bar))
+            return pa.table({"value": left.column("value"),
+                             "n": pa.array(left.column("n").to_numpy() - bar)}), bar
+
+        for batch in batches:
+            ones = pa.table({"value": batch.column("value"),
+                             "n": pa.array(np.ones(batch.num_rows, dtype=np.int64))})
+            fresh = counted(ones)
+            held = fresh if held is None else counted(pa.concat_tables([held, fresh]))
+            if held.num_rows > 4 * counters:
+                held, bar = cut(held)
+                taken += bar
+        if held is None:
+            return
+        held, bar = cut(held)
+        for batch in held.combine_chunks().to_batches():
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.nulls(batch.num_rows, pa.int64())], names=["value", "n", "cut"])
+        if taken + bar:
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(1, held.schema.field("value").type), pa.nulls(1, pa.int64()),
+                 pa.array([taken + bar], pa.int64())], names=["value", "n", "cut"])
+
+    return plain.mapInArrow(run, StructType([
+        plain.schema["value"], StructField("n", LongType()), StructField("cut", LongType())]))
+
+
+def top_values(df: DataFrame, value: str | Column, k: int = 10,
+               counters: int = TOP_COUNTERS) -> DataFrame:
+    """The ``k`` most frequent values; ties go to the lower value.
+
+    Tasks send summaries of bounded size instead of all their distinct values.  If no summary was cut,
+    they are the counts.  Else the values that may be among the first ``k`` are counted in a second
+    scan; a value that is not among them has at most as many rows as all cuts took, or fewer than
+    ``k`` others.  Only where the cuts took as much as the last of the ``k`` has, all
+    values are counted.
+    """
+    summed = stage(frequency_summaries(df, value, counters), "summaries")
+    taken = summed.agg(F.coalesce(F.sum("cut"), F.lit(0))).first()[0]
+    estimates = summed.where("cut IS NULL").groupBy("value").agg(F.sum("n").alias("n"))
+    order = (F.desc("n"), F.asc("value"))
+    if not taken:
+        return estimates.orderBy(*order).limit(k)
+    rows = df.select(as_column(value).alias("value"))
+    bar = estimates.orderBy(F.desc("n")).limit(k).agg(F.min("n")).first()[0] or 0
+    likely = stage(estimates.where(F.col("n") + taken >= bar).select(F.col("value").alias("_value")),
+                   "candidates")
+    counts = rows.join(hint_broadcast(likely, is_small(likely)),
+                       F.col("value").eqNullSafe(F.col("_value"))).groupBy("value").agg(
+        F.count(F.lit(1)).alias("n"))
+    first = stage(counts.orderBy(*order).limit(k), "top")
+    found, least = first.agg(F.count(F.lit(1)), F.min("n")).first()
+    if found == k and least > taken:
+        return first.orderBy(*order)
+    return rows.groupBy("value").agg(F.count(F.lit(1)).alias("n")).orderBy(*order).limit(k)
 
 
 def top_total(df: DataFrame, value: str | Column, k: int = 10) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rankflow.scratch import hint_broadcast, is_small, stage
 from rankflow.sources import schemas
 
 
@@ -68,3 +69,27 @@ def export_sample(df: DataFrame, id_col: str, value: str, path: str,
     out = df.select(F.col(id_col).cast("bigint").alias("index"),
                     F.col(value).cast("double").alias(column))
     out.write.mode("overwrite").option("header", True).csv(path)
+
+
+def row_cap(df: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` rows of a file scan, by file name and then by place in the file.
+
+    A scan reads a file in blocks, each of them in one task and in order.  The rows of each block are
+    counted, the counts are added up in the order of the blocks, and a block then knows how many of
+    its rows are wanted, so the rows are the same however the files are split and whatever runs
+    first.  ``df`` must be a scan of files, or a projection of one.
+    """
+    if n < 0:
+        raise ValueError("a cap cannot be negative")
+    block = {"_file": F.col("_metadata.file_path"), "_from": F.col("_metadata.file_block_start")}
+    rows = df.select("*", *[c.alias(k) for k, c in block.items()],
+                     F.monotonically_increasing_id().alias("_nth"))
+    counts = rows.groupBy(*block).agg(F.count(F.lit(1)).alias("_rows"), F.min("_nth").alias("_first"))
+    # One row per block of a file, some million at 100 TB.
+    before = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
+    wanted = stage(counts.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0))).where(
+        F.col("_before") < n).select(*[F.col(c).alias(f"_w{c}") for c in block], "_first", "_before"),
+        "blocks")
+    here = (F.col("_file") == F.col("_w_file")) & (F.col("_from") == F.col("_w_from"))
+    joined = rows.join(hint_broadcast(wanted, is_small(wanted)), here)
+    return joined.where(F.col("_before") + F.col("_nth") - F.col("_first") < n).select(*df.columns)
