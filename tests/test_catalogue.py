@@ -1,6 +1,10 @@
 """The driver's contract, on the smallest tables."""
 
 import math
+import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -55,3 +59,16 @@ def test_every_query_has_sql_of_the_same_columns(spark, duck):
 def test_entry(spark):
     df = entry_point.entry(spark)
     assert df.columns[:2] == ["window_id", "n"] and df.count() == 30
+
+
+def test_the_rest_works_without_the_optional_parts(tmp_path):
+    """As in a checkout from which the folders, or the pipeline as well, are deleted."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    for gone in (("llm",), ("llm", "corpus_pipeline.py")):
+        copy = tmp_path / str(len(gone))
+        shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", *gone))
+        said = subprocess.run(
+            [sys.executable, "-c", "import __spark_entry__ as e; q = e.queries(); "
+             "assert set(e.oracle_sql()) <= set(q); print(len(q), 'pipeline' in q)"],
+            cwd=copy, capture_output=True, text=True)
+        assert said.stdout.split() == [str(len(catalog.QUERIES)), "False"], said.stderr
