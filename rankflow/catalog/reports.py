@@ -570,6 +570,63 @@ def _(spark, sf):
         F.when(fixed, F.col(c)).alias(c) for c in quantile_columns()])
 
 
+MERGED = (10, 100, 1_000)
+_PER_MERGE = "\n UNION ALL ".join(
+    f"SELECT {m} AS num_sketches, l_extendedprice FROM lineitem WHERE l_partkey % 1000 < {m}"
+    for m in MERGED)
+
+
+def sql_merge_counts() -> str:
+    args = (_PER_MERGE, "l_extendedprice", "num_sketches")
+    cols = ", ".join(["num_sketches", "n", *quantile_columns()])
+    fixed = " UNION ALL ".join(
+        f"SELECT '{name}' AS algo, {cols}, NULL::BOOLEAN AS within FROM ({sql(*args)})"
+        for name, sql in (("dds", sql_dds), ("ddsc", sql_ddsc), ("udds", sql_udds)))
+    nulls = ", ".join("NULL" for _ in quantile_columns())
+    return fixed + "".join(
+        f" UNION ALL SELECT '{name}', num_sketches, count(*), {nulls}, TRUE FROM ({_PER_MERGE}) "
+        "GROUP BY num_sketches" for name in SAMPLED)
+
+
+@query("merge_report_counts", sql_merge_counts())
+def _(spark, sf):
+    """Sampled methods: whether every quantile of the merge is within the method's rank bound."""
+    from rankflow.catalog.sketches import kll_bound, moments_bound, req_bound
+
+    rows = table(spark, sf, "lineitem").select("l_extendedprice", F.pmod("l_partkey", F.lit(1000)).alias("id"))
+    report = stage(rounded(evaluate.merge_counts_report(rows, "l_extendedprice", "id", MERGED, SKETCHES)),
+                   "merges")
+    sizes = F.explode(F.filter(F.array(*[F.lit(m) for m in MERGED]), lambda m: m > F.col("id")))
+    each = rows.select("l_extendedprice", sizes.alias("num_sketches"))
+    checked = []
+    for name, bound in (("kll", kll_bound), ("req", req_bound), ("moments", moments_bound)):
+        ranks = evaluate.rank_check(each, "l_extendedprice", report.where(F.col("algo") == name),
+                                    ["num_sketches"], bound,
+                                    dtype="double" if name == "moments" else "float")
+        checked.append(ranks.groupBy("num_sketches").agg(F.every("within").alias("within")).withColumn(
+            "algo", F.lit(name)))
+    within = checked[0].unionByName(checked[1]).unionByName(checked[2])
+    sampled = F.col("algo").isin("kll", "req", "moments")
+    return report.join(within, ["algo", "num_sketches"], "left").select(
+        "algo", "num_sketches", "n",
+        *[F.when(~sampled, F.col(c)).alias(c) for c in quantile_columns()], "within")
+
+
+@query("op_time_report_query", """
+SELECT (l_orderkey // 1000000)::BIGINT AS "Data Size", round(avg(kll), 4) AS kll,
+       round(stddev_pop(kll) * 1.96 / sqrt(count(*)), 4) AS kll_ci,
+       round(avg(req), 4) AS req, round(stddev_pop(req) * 1.96 / sqrt(count(*)), 4) AS req_ci
+FROM (SELECT l_linenumber::BIGINT * 1000000 AS l_orderkey, round(l_tax * 100) AS kll,
+             l_partkey::DOUBLE AS req FROM lineitem) GROUP BY 1""")
+def _(spark, sf):
+    """Measurements whose size is the line number in millions."""
+    times = table(spark, sf, "lineitem").select(
+        (F.col("l_linenumber").cast("bigint") * 1_000_000).alias("Data Size"),
+        F.round(F.col("l_tax") * 100).alias("kll"), F.col("l_partkey").cast("double").alias("req"))
+    report = evaluate.op_time_report(times, "Data Size", ["kll", "req"], "query")
+    return rounded(report, 4, "kll", "kll_ci", "req", "req_ci")
+
+
 @query("op_time_report", """
 SELECT "Num Sketches", round(avg(kll), 4) AS kll,
        round(stddev_pop(kll) * 1.96 / sqrt(count(*)), 4) AS kll_ci,

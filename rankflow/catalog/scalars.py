@@ -276,3 +276,11 @@ def _(spark, sf):
 def _(spark, sf):
     rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
     return files.row_cap(rows, 12_345)
+
+
+@query("export_sample", "SELECT o_orderkey::BIGINT AS index, o_totalprice::DOUBLE AS sampled_val FROM orders")
+def _(spark, sf):
+    """Written as a sample file, and scanned again."""
+    path = new_path(spark, "sample")
+    files.export_sample(table(spark, sf, "orders"), "o_orderkey", "o_totalprice", path)
+    return files.scan_sample_csv(spark, path)

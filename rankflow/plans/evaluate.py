@@ -259,6 +259,26 @@ def merge_report(df: DataFrame, value: str, sketch_id: str, names: Sequence[str]
     return reduce(DataFrame.unionByName, parts)
 
 
+def merge_counts_report(df: DataFrame, value: str, sketch_id: str, counts: Sequence[int],
+                        names: Sequence[str], ps: Sequence[float] = QUANTILES) -> DataFrame:
+    """Quantiles of the first 10, 100, ... of many sketches, merged.
+
+    ``sketch_id`` numbers the sketch of each row from 0 on.  Every sketch is built once and goes into
+    each merge that is large enough for it; one row per method and number of sketches.
+    """
+    inside = F.array(*[F.when(F.col(sketch_id) < m, F.lit(m)) for m in counts])
+    into = F.explode(F.array_compact(inside)).alias("num_sketches")
+    parts = []
+    for name, built in shared_sketches(df.where(F.col(sketch_id) < max(counts)), value, names,
+                                       [sketch_id]).items():
+        m = method(name)
+        used = built.select(into, *[c for c in built.columns if c != sketch_id])
+        merged = m.quantiles(m.merge(used, ["num_sketches"]), ["num_sketches"], ps)
+        parts.append(merged.select(F.lit(name).alias("algo"), "num_sketches", "n",
+                                   *quantile_columns(ps)))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def op_time_report(table: DataFrame, size: str, columns: Sequence[str], kind: str) -> DataFrame:
     """Mean time and interval per size out of a table of single measurements.
 
