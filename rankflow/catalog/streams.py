@@ -33,7 +33,8 @@ from rankflow.plans.methods import SKETCHES
 from rankflow.plans.windows import dataset_window_quantiles
 from rankflow.scratch import new_path
 from rankflow.sources import events as ev
-from rankflow.sources import schemas
+from rankflow.sources import files, schemas
+from rankflow.sources.results import ResultTable
 from rankflow.streaming import windows as streaming
 from rankflow.streaming.arrival import ArrivalWindows
 
@@ -236,3 +237,22 @@ def _whole_stream(name):
 
 for _name in (*SKETCHES, "exact"):
     add(f"stream_whole_{_name}", *_whole_stream(_name))
+
+
+@query("stream_result_table", f"""
+SELECT * EXCLUDE (n), n AS win_size FROM ({sql_exact(_closed(EVENT_WINDOWS), 'value', 'window_id')})""")
+def _(spark, sf):
+    """Lines of one table: a run over half of the days, one over the rest, and a compaction."""
+    rows = _daily(spark, sf).withColumn("ms", epoch_ms("ts"))
+    source, out, checkpoint = (new_path(spark, f"table-{part}") for part in ("in", "out", "checkpoint"))
+    lines = ResultTable(out)
+    first, last = rows.agg(F.min("ms"), F.max("ms")).first()
+    half = (first + last) // 2
+    for due in (F.col("ms") <= half, F.col("ms") > half):
+        sent = ev.to_json_events(rows.where(due), ["uniform_value"], "ms")
+        ev.write_json_events(sent, source)
+        parsed = ev.assign_event_time(ev.parse_value_event(ev.read_json_events(spark, source), "uniform_value"))
+        streaming.start_window_query(parsed, "uniform_value", "exact", "", checkpoint, DAY, table=lines,
+                                     trigger={"availableNow": True}).awaitTermination()
+    lines.compact(spark, schemas.EXACT_RESULTS)
+    return files.scan_results(spark, lines.folders(spark), "exact").drop("slack_events")

@@ -9,7 +9,7 @@ from rankflow.scratch import hint_broadcast, is_small, stage
 from rankflow.sources import schemas
 
 
-def _csv(spark: SparkSession, path: str, schema, header: bool = False, sep: str = ",",
+def _csv(spark: SparkSession, path: str | list[str], schema, header: bool = False, sep: str = ",",
          strict: bool = True) -> DataFrame:
     mode = "FAILFAST" if strict else "PERMISSIVE"
     return (
@@ -33,7 +33,7 @@ def scan_sample_csv(spark: SparkSession, path: str, column: str = "sampled_val")
     return _csv(spark, path, schemas.sample(column), header=True)
 
 
-def scan_results(spark: SparkSession, path: str, method: str) -> DataFrame:
+def scan_results(spark: SparkSession, path: str | list[str], method: str) -> DataFrame:
     """Headerless window results of a sketch method, or of ``exact``."""
     schema = schemas.EXACT_RESULTS if method == "exact" else schemas.sketch_results(method)
     return _csv(spark, path, schema)

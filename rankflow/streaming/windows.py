@@ -24,6 +24,7 @@ from rankflow.operators import buckets, req
 from rankflow.plans.methods import method
 from rankflow.plans.windows import uses_log
 from rankflow.sources import events, schemas
+from rankflow.sources.results import ResultTable, result_lines
 
 #: Held while a query starts with a setting of its own.
 _starting = threading.Lock()
@@ -130,11 +131,11 @@ def start_window_query(stream: DataFrame, value: str | Column, name: str, path:
                        keys: Sequence[str] = (), ps: Sequence[float] = QUANTILES,
                        log: bool = False, delay: str = "0 seconds", fmt: str = "parquet",
                        trigger: dict | None = None, state_partitions: int | None = None,
-                       **params) -> StreamingQuery:
-    """Write the quantiles of each closed window under ``path``.
+                       table: ResultTable | None = None, **params) -> StreamingQuery:
+    """Write the quantiles of each closed window under ``path``, or as lines of ``table``.
 
-    Each micro-batch overwrites its own folder, so a batch that is run again
-    after a failure leaves the same result.  ``state_partitions`` is the number of
+    Each micro-batch overwrites its own folder (or its record in the table), so a batch that
+    is run again after a failure leaves the same result.  ``state_partitions`` is the number of
     state stores (default: the session's shuffle partitions); it is fixed for the
     life of the checkpoint.
     """
@@ -146,6 +147,8 @@ def start_window_query(stream: DataFrame, value: str | Column, name: str, path:
         try:
             if not batch.isEmpty():
                 wide = window_quantiles(batch, name, keys, ps, log, **params)
+                if table is not None:
+                    return table.append(result_lines(wide, name), batch_id)
                 wide.write.mode("overwrite").format(fmt).save(f"{path}/batch={batch_id}")
         finally:
             batch.unpersist()
