@@ -10,24 +10,25 @@ joined on the admissible sizes, and no other pair is compared.
 
 A licence need not be a unit: it may span paragraphs of a larger text, stand inside a line or
 follow a copyright notice.  So runs of words are looked at, too, whatever the line ends are and
-with copyright lines in.  A run with that Dice has at least ``|B| t / (2 - t)`` of a template's
-bigrams, so only texts that hold as many are searched, for runs from one bigram of the template
-to another.  Of runs that overlap the best of a licence is kept, and none that overlaps a unit
-that matches a template of that licence.
-
-Built-in functions only, but for the runs (``mapInArrow``).  The templates are a fixed list (``TEMPLATES``), so their table and
-the sizes that it admits are bounded and broadcast.  NULL texts, empty ones and units of
-under two words match nothing.  Repeated rows give repeated results.
+with copyright lines in, but not inside units that match.  A run begins where a stretch of
+bigrams of the template begins and ends where one ends, as adding a bigram of the template never
+lowers the Dice coefficient.  It has as many bigrams, repeats counted, as its set may have at
+most, and at least ``|B| t / (2 - t)`` of the template's, so only texts, and starts, that have as
+many ahead are looked at.  From left to right, the best of the runs that begin inside the first
+one is kept, the earlier one on ties, and those that overlap it are left out, by licence.
+
+Built-in functions only.  The templates are a fixed list (``TEMPLATES``), so their table and the
+sizes that it admits are bounded and broadcast.  NULL texts, empty ones and units of under two
+words match nothing.  Repeated rows give repeated results.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -130,20 +131,34 @@ TEMPLATES = (
 )
 
 COPYRIGHT_LINE = r"^[ \t]*(?:copyright|\(c\))"
+BLANK_LINE = r"\n[ \t]*\n"
 _WORD = "[a-z0-9]+"
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def words_of(part: Column) -> Column:
+    """The words of a part in lower case."""
+    return F.regexp_extract_all(part, F.lit(_WORD), F.lit(0))
+
+
 def line_words(line: Column) -> Column:
     """The words of one line in lower case; a copyright line has none."""
-    return F.when(line.rlike(COPYRIGHT_LINE), F.array().cast("array<string>")).otherwise(
-        F.regexp_extract_all(line, F.lit(_WORD), F.lit(0)))
+    return F.when(line.rlike(COPYRIGHT_LINE), F.array().cast("array<string>")).otherwise(words_of(line))
 
 
-def bigram_set(words: Column) -> Column:
-    """The distinct neighbouring pairs of an array of words, as 64-bit hashes."""
+def bigrams(words: Column) -> Column:
+    """The neighbouring pairs of an array of words, as 64-bit hashes."""
     pairs = F.greatest(F.size(words) - 1, F.lit(0))
     heads, tails = F.slice(words, F.lit(1), pairs), F.slice(words, F.lit(2), pairs)
-    return F.array_distinct(F.zip_with(heads, tails, lambda a, b: F.xxhash64(a, b)))
+    return F.zip_with(heads, tails, lambda a, b: F.xxhash64(a, b))
+
+
+def bigram_set(words: Column) -> Column:
+    return F.array_distinct(bigrams(words))
 
 
 def _admissible(size: int, min_dice: float) -> tuple[int, int]:
@@ -173,124 +188,145 @@ def _least_shared(size: int, min_dice: float) -> int:
     return max(1, math.ceil(size * min_dice / (2 - min_dice) - 1e-9))
 
 
-class Runs:
-    """Finds the runs of words that match ``templates``: ``(licence, template, text)``."""
-
-    def __init__(self, templates: Sequence[tuple[str, str, str]], min_dice: float):
-        self.min_dice = min_dice
-        self.names = [t[:2] for t in templates]
-        words = [re.findall(_WORD, body.lower()) for *_, body in templates]
-        self.sets = [set(zip(w, w[1:])) for w in words]
-        vocabulary = sorted({w for found in words for w in found})
-        self.number = {w: i + 1 for i, w in enumerate(vocabulary)}
-        pairs = sorted(set().union(*self.sets))
-        # By the numbers of two words: the number of the pair, 0 if no template has it.
-        self.pair = np.zeros((len(vocabulary) + 1, len(vocabulary) + 1), dtype=np.int32)
-        for i, (a, b) in enumerate(pairs):
-            self.pair[self.number[a], self.number[b]] = i + 1
-        self.holds = np.array([[False, *(p in own for p in pairs)] for own in self.sets])
-        self.need = np.array([_least_shared(len(own), min_dice) for own in self.sets])
-
-    def dice(self, words: list[str], of: int) -> float:
-        found = set(zip(words, words[1:]))
-        return round(2.0 * len(found & self.sets[of]) / (len(found) + len(self.sets[of])), 6)
-
-    def find(self, text: str) -> list[tuple[int, str, str, float]]:
-        """``(first word, licence, template, dice)`` of each run in a text in lower case."""
-        words = re.findall(_WORD, text)
-        if len(words) < 2:
-            return []
-        number = self.number
-        at = np.fromiter((number.get(w, 0) for w in words), np.int32, len(words))
-        pairs = self.pair[at[:-1], at[1:]]
-        met = np.unique(pairs[pairs > 0])
-        enough = np.flatnonzero(self.holds[:, met].sum(axis=1) >= self.need)
-        if not len(enough):
-            return []
-        found = []
-        for k in enough.tolist():
-            hits = np.flatnonzero(self.holds[k][pairs])
-            found += [(-d, a, b, k) for a, b, d in self._windows(words, hits.tolist(), k)]
-        taken: dict[str, list[tuple[int, int]]] = {}
-        kept = []
-        for d, a, b, k in sorted(found):
-            name = self.names[k][0]
-            if name not in taken:
-                taken[name] = self._units(text, name)
-            if all(b <= x or y <= a for x, y in taken[name]):
-                taken[name].append((a, b))
-                kept.append((a, *self.names[k], -d))
-        return kept
-
-    def _windows(self, words: list[str], hits: list[int], k: int) -> Iterator[tuple[int, int, float]]:
-        """The best run from each hit: first word, end, Dice.
-
-        A run that is best has its first pair only once, else it could begin later.
-        """
-        own, most = len(self.sets[k]), _admissible(len(self.sets[k]), self.min_dice)[1]
-        is_hit = set(hits)
-        for first in hits:
-            start, seen, shared, best = (words[first], words[first + 1]), set(), 0, (0.0, 0)
-            for i in range(first, len(words) - 1):
-                pair = (words[i], words[i + 1])
-                if i > first and pair == start:
-                    break
-                if pair in seen:
-                    continue
-                seen.add(pair)
-                if len(seen) > most:
-                    break
-                if i in is_hit:
-                    shared += 1
-                    best = max(best, (round(2.0 * shared / (len(seen) + own), 6), -i))
-            if best[0] >= self.min_dice:
-                yield first, 2 - best[1], best[0]
-
-    def _units(self, text: str, name: str) -> list[tuple[int, int]]:
-        """First word and end of the units of a text that match a template of a licence."""
-        templates = [k for k, n in enumerate(self.names) if n[0] == name]
-
-        def matches(body: str) -> bool:
-            kept = [w for line in body.split("\n") if not re.match(COPYRIGHT_LINE, line)
-                    for w in re.findall(_WORD, line)]
-            return len(kept) > 1 and any(self.dice(kept, k) >= self.min_dice for k in templates)
-
-        spans = []
-        for parts in (text.split("\n"), re.split(r"\n[ \t]*\n", text), [text]):
-            done = 0
-            for part in parts:
-                n = len(re.findall(_WORD, part))
-                if matches(part):
-                    spans.append((done, done + n))
-                done += n
-        return spans
+def template_grams() -> list[list[int]]:
+    """The distinct bigrams of each template, as ``xxhash64`` hashes the two words."""
+    def pair(a: str, b: str) -> int:
+        h = xxhash.xxh64_intdigest(b.encode(), xxhash.xxh64_intdigest(a.encode(), 42))
+        return h - (1 << 64) if h >> 63 else h
+
+    found = [re.findall(_WORD, body.lower()) for _, _, body in TEMPLATES]
+    return [list(dict.fromkeys(pair(a, b) for a, b in zip(w, w[1:]))) for w in found]
+
+
+def _template_array(min_dice: float) -> Column:
+    """The templates as one constant: ``license, template, grams, size, need, low, high``."""
+    def one(name: tuple[str, str, str], grams: list[int]) -> Column:
+        low, high = _admissible(len(grams), min_dice)
+        return F.struct(
+            F.lit(name[0]).alias("license"), F.lit(name[1]).alias("template"),
+            F.array(*map(F.lit, grams)).cast("array<bigint>").alias("grams"),
+            F.lit(len(grams)).alias("size"), F.lit(_least_shared(len(grams), min_dice)).alias("need"),
+            F.lit(low).alias("low"), F.lit(high).alias("high"))
+
+    return F.array(*[one(t, g) for t, g in zip(TEMPLATES, template_grams())])
+
+
+def _dice(grams: Column, of: Column) -> Column:
+    both = F.size(F.array_intersect(grams, of["grams"]))
+    return F.round(2.0 * both / (F.size(grams) + of["size"]), 6)
+
+
+def _outside_units(body: Column, templates: Column, min_dice: float) -> Column:
+    """The words of a text; those of units that match a template are empty."""
+    def matches(words: Column) -> Column:
+        return _let(bigram_set(words), lambda g: F.exists(templates, lambda t: F.when(
+            F.size(g).between(t["low"], t["high"]), _dice(g, t) >= min_dice).otherwise(False)))
+
+    def blank(part: Column) -> Column:
+        return F.transform(words_of(part), lambda w: F.lit(""))
+
+    def whole(part: Column) -> Column:
+        kept = F.flatten(F.transform(F.split(part, "\n"), line_words))
+        return F.when(part.contains("\n"), matches(kept)).otherwise(False)
+
+    def of_line(line: Column) -> Column:
+        return F.when(matches(line_words(line)), blank(line)).otherwise(words_of(line))
+
+    def of_block(block: Column) -> Column:
+        return F.when(whole(block), blank(block)).otherwise(
+            F.flatten(F.transform(F.split(block, "\n"), of_line)))
+
+    return F.when(whole(body), F.array().cast("array<string>")).otherwise(
+        F.flatten(F.transform(F.split(body, BLANK_LINE), of_block)))
+
+
+_RUN = "struct<start:int,cost:double,back:int,template:string>"
+
+
+def _runs(grams: Column, hits: Column, of: Column, min_dice: float) -> Column:
+    """The best run from each start, as ``license`` and ``run``; ``hits``: places of its bigrams."""
+    starts = F.transform(hits, lambda p, i: F.when(
+        F.coalesce(F.get(hits, i - 1) < p - 1, F.lit(True))
+        & (F.get(hits, i + of["need"] - 1) - p < of["high"]), p))
+
+    def best(ahead: Column) -> Column:
+        def ends(inside: Column) -> Column:
+            return F.transform(inside, lambda x, i: F.when(
+                x & (i + 1 >= of["need"]) & ~F.coalesce(F.get(inside, i + 1), F.lit(False)), i + 1))
+
+        lengths = _let(F.transform(ahead, lambda g: F.array_contains(of["grams"], g)), ends)
+        return F.array_min(F.transform(F.filter(lengths, lambda n: n.isNotNull()), lambda n: F.struct(
+            (-_dice(F.array_distinct(F.slice(ahead, F.lit(1), n)), of)).alias("cost"), n.alias("n"))))
+
+    def run(start: Column) -> Column:
+        return _let(_let(F.slice(grams, start + 1, of["high"]), best), lambda b: F.struct(
+            of["license"].alias("license"), F.struct(
+                start.alias("start"), b["cost"].alias("cost"), (-(start + b["n"] + 1)).alias("back"),
+                of["template"].alias("template")).cast(_RUN).alias("run")))
+
+    found = F.transform(F.filter(starts, lambda p: p.isNotNull()), run)
+    return F.filter(found, lambda r: r["run"]["cost"] <= -min_dice)
+
+
+def _sweep(runs: Column) -> Column:
+    """The runs of one licence that are kept, of any."""
+    start = F.struct(F.array().cast(f"array<{_RUN}>").alias("kept"),
+                     F.lit(None).cast(_RUN).alias("best"), F.lit(0).alias("limit"))
+
+    def state(kept: Column, best: Column, limit: Column) -> Column:
+        return F.struct(kept.alias("kept"), best.alias("best"), limit.alias("limit"))
+
+    def step(a: Column, r: Column) -> Column:
+        best = a["best"]
+        better = F.when(r["cost"] < best["cost"], r).otherwise(best)
+        return (F.when(best.isNull(), state(a["kept"], r, -r["back"]))
+                .when(r["start"] < a["limit"], state(a["kept"], better, a["limit"]))
+                .when(r["start"] < -best["back"], a)
+                .otherwise(state(F.concat(a["kept"], F.array(best)), r, -r["back"])))
+
+    return F.aggregate(F.array_sort(runs), start, step,
+                       lambda a: F.concat(a["kept"], F.array(a["best"])))
 
 
 def scan_runs(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
               min_dice: float = MIN_DICE) -> DataFrame:
     """The rows of ``scan_licenses`` for runs; ``position`` is the number of the first word."""
-    runs = Runs(TEMPLATES, min_dice)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, rows = [], []
-            for i, body in enumerate(batch.column("_text")):
-                found = runs.find(body.as_py())
-                at += [i] * len(found)
-                rows += found
-            position, name, template, dice = zip(*rows) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("_id").take(pa.array(at, pa.int64())),
-                 pa.array(["run"] * len(rows), pa.string()), pa.array(position, pa.int64()),
-                 pa.array(name, pa.string()), pa.array(template, pa.string()),
-                 pa.array(dice, pa.float64())],
-                names=[id_col, "unit", "position", "license", "template", "dice"])
+    templates = _template_array(min_dice)
+    known = sorted({g for grams in template_grams() for g in grams})
+    least = min(_least_shared(n, min_dice) for n in template_sizes())
+
+    def enough(met: Column, t: Column) -> Column:
+        return F.size(F.array_intersect(met, t["grams"])) >= t["need"]
 
     held = docs.where(F.col(text).isNotNull()).select(
-        F.col(id_col).alias("_id"), F.lower(F.col(text)).alias("_text"))
-    kind = held.schema["_id"].dataType.simpleString()
-    return held.mapInArrow(run, f"`{id_col}` {kind}, unit string, position bigint, license string, "
-                           "template string, dice double")
+        F.col(id_col).alias("_id"), F.lower(F.col(text)).alias("_body"))
+    # One-element explodes keep arrays from being made once per use.
+    met = held.select("_id", "_body", F.explode(F.array(F.array_distinct(F.filter(
+        _let(words_of(F.col("_body")), bigrams), lambda g: g.isin(known))))).alias("_met")).where(
+        F.size("_met") >= least).where(F.exists(templates, lambda t: enough(F.col("_met"), t)))
+    grams = met.select("_id", "_met", F.explode(F.array(
+        _let(_outside_units(F.col("_body"), templates, min_dice), bigrams))).alias("_g"))
+    at = F.filter(F.transform("_g", lambda g, i: F.when(g.isin(known), i)), lambda i: i.isNotNull())
+    placed = grams.select("_id", "_met", "_g", F.explode(F.array(at)).alias("_at")).where(
+        F.size("_at") >= least)
+
+    def of_template(t: Column) -> Column:
+        hits = F.filter("_at", lambda p: F.array_contains(t["grams"], F.get("_g", p)))
+        return _let(hits, lambda h: _runs(F.col("_g"), h, t, min_dice))
+
+    found = F.flatten(F.transform(
+        F.filter(templates, lambda t: enough(F.col("_met"), t)), of_template))
+    runs = placed.select("_id", F.explode(F.array(found)).alias("_f")).where(F.size("_f") > 0)
+
+    def of_license(name: Column) -> Column:
+        own = F.transform(F.filter("_f", lambda f: f["license"] == name), lambda f: f["run"])
+        return F.transform(_sweep(own), lambda r: F.struct(name.alias("license"), r.alias("run")))
+
+    names = F.array_distinct(F.transform("_f", lambda f: f["license"]))
+    return runs.select("_id", F.explode(F.flatten(F.transform(names, of_license))).alias("_r")).select(
+        F.col("_id").alias(id_col), F.lit("run").alias("unit"),
+        F.col("_r.run.start").cast("bigint").alias("position"), F.col("_r.license").alias("license"),
+        F.col("_r.run.template").alias("template"), (-F.col("_r.run.cost")).alias("dice"))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
@@ -304,7 +340,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     least, most = min(a for a, _ in bounds), max(b for _, b in bounds)
     no_units = F.array().cast("array<struct<unit:string,position:bigint,words:array<string>>>")
 
-    def words_of(part: Column) -> Column:
+    def by_line(part: Column) -> Column:
         return F.transform(F.split(part, "\n"), line_words)
 
     def unit(kind: str, position: Column, words: Column) -> Column:
@@ -313,12 +349,12 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     # A one-element explode keeps the words of a text from being made once per use.
     body = F.lower(F.col(text))
-    blocks = F.when(body.rlike(r"\n[ \t]*\n"), F.transform(
-        F.split(body, r"\n[ \t]*\n"), lambda b, i: F.when(
-            b.contains("\n"), unit("block", i, F.flatten(words_of(b))))))
+    blocks = F.when(body.rlike(BLANK_LINE), F.transform(
+        F.split(body, BLANK_LINE), lambda b, i: F.when(
+            b.contains("\n"), unit("block", i, F.flatten(by_line(b))))))
     held = docs.where(F.col(text).isNotNull()).select(
         F.col(id_col).alias("_id"),
-        F.explode(F.array(F.struct(words_of(body).alias("lines"), blocks.alias("blocks"))))
+        F.explode(F.array(F.struct(by_line(body).alias("lines"), blocks.alias("blocks"))))
         .alias("_t")).select("_id", "_t.*")
     units = F.concat(
         F.transform("lines", lambda w, i: unit("line", i, w)),
@@ -349,34 +385,99 @@ def scan_sql(min_dice: float = MIN_DICE) -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     rows = ", ".join(f"({quote(a)}, {quote(b)}, {quote(c)})" for a, b, c in TEMPLATES)
     words = ("list_filter(string_split(regexp_replace(lower(regexp_replace({0}, "
-             "'^[ \\t]*(?:copyright|\\(c\\)).*$', ' ', 'gim')), '[^a-z0-9]+', ' ', 'g'), ' '), "
+             "'(?im)^[ \\t]*(?:copyright|\\(c\\)).*', ' ', 'g')), '[^a-z0-9]+', ' ', 'g'), ' '), "
+             "lambda w: w <> '')")
+    pairs = "list_transform(range(1, greatest(len({0}), 1)), lambda i: {0}[i] || ' ' || {0}[i + 1])"
+    grams = f"list_distinct({pairs})"
+    plain = ("list_filter(string_split(regexp_replace({0}, '[^a-z0-9]+', ' ', 'g'), ' '), "
              "lambda w: w <> '')")
-    grams = ("list_distinct(list_transform(range(1, greatest(len({0}), 1)), "
-             "lambda i: {0}[i] || ' ' || {0}[i + 1]))")
+    low, high = (f"{op}(m * {x!r}::DOUBLE {e})" for op, x, e in (
+        ("ceil", min_dice / (2 - min_dice), "- 1e-9"), ("floor", (2 - min_dice) / min_dice, "+ 1e-9")))
+    dice = "round(2.0::DOUBLE * len(list_intersect({0}, t)) / (len({0}) + m), 6)"
     return f"""
-WITH templates AS (
-  SELECT license, template, {grams.format('w')} AS t FROM (
-    SELECT license, template, {words.format('body')} AS w
-    FROM (VALUES {rows}) v(license, template, body))),
+WITH RECURSIVE templates AS (
+  SELECT license, template, t, len(t) AS m FROM (
+    SELECT license, template, {grams.format('w')} AS t FROM (
+      SELECT license, template, {words.format('body')} AS w
+      FROM (VALUES {rows}) v(license, template, body)))),
+docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, lower(text) AS text FROM documents WHERE text IS NOT NULL),
 units AS (
-  SELECT doc_id, 'line' AS unit, unnest(range(len(string_split(text, chr(10))))) AS position,
-         unnest(string_split(text, chr(10))) AS body FROM documents
+  SELECT rid, doc_id, 'line' AS unit, unnest(range(len(string_split(text, chr(10))))) AS position,
+         unnest(string_split(text, chr(10))) AS body FROM docs
   UNION ALL
   SELECT * FROM (
-    SELECT doc_id, 'block', unnest(range(len(string_split_regex(text, '\\n[ \\t]*\\n')))),
+    SELECT rid, doc_id, 'block', unnest(range(len(string_split_regex(text, '\\n[ \\t]*\\n')))),
            unnest(string_split_regex(text, '\\n[ \\t]*\\n')) AS body
-    FROM documents WHERE len(string_split_regex(text, '\\n[ \\t]*\\n')) > 1)
+    FROM docs WHERE len(string_split_regex(text, '\\n[ \\t]*\\n')) > 1)
   WHERE contains(body, chr(10))
   UNION ALL
-  SELECT doc_id, 'text', 0, text FROM documents WHERE contains(text, chr(10))),
+  SELECT rid, doc_id, 'text', 0, text FROM docs WHERE contains(text, chr(10))),
 sets AS (
-  SELECT doc_id, unit, position, {grams.format('w')} AS g
-  FROM (SELECT doc_id, unit, position, {words.format('body')} AS w FROM units))
-SELECT doc_id, unit, position, license, template, dice FROM (
-  SELECT doc_id, unit, position, license, template,
-         round(2.0::DOUBLE * len(list_intersect(g, t)) / (len(g) + len(t)), 6) AS dice
-  FROM sets JOIN templates
-    ON len(g) BETWEEN ceil(len(t) * {min_dice / (2 - min_dice)!r}::DOUBLE - 1e-9)
-                  AND floor(len(t) * {(2 - min_dice) / min_dice!r}::DOUBLE + 1e-9)
-   AND len(g) > 0)
-WHERE dice >= {min_dice!r}"""
+  SELECT rid, doc_id, unit, position, body, {grams.format('w')} AS g
+  FROM (SELECT *, {words.format('body')} AS w FROM units)),
+whole AS MATERIALIZED (
+  SELECT * FROM (
+    SELECT rid, doc_id, unit, position, body, license, template, {dice.format('g')} AS dice
+    FROM sets JOIN templates ON len(g) BETWEEN {low} AND {high} AND len(g) > 0)
+  WHERE dice >= {min_dice!r}),
+-- The words outside these units, as one list of bigrams per text.
+blocks AS (
+  SELECT rid, unnest(range(len(b))) AS b, unnest(b) AS block
+  FROM (SELECT rid, string_split_regex(text, '\\n[ \\t]*\\n') AS b FROM docs)),
+lines AS (
+  SELECT rid, block, b, unnest(range(len(string_split(block, chr(10))))) AS l,
+         unnest(string_split(block, chr(10))) AS line FROM blocks),
+outside AS (
+  SELECT rid, b, l, {plain.format('line')} AS w,
+         (rid, line) IN (SELECT (rid, body) FROM whole WHERE unit = 'line')
+         OR (rid, block) IN (SELECT (rid, body) FROM whole WHERE unit = 'block')
+         OR rid IN (SELECT rid FROM whole WHERE unit = 'text') AS gone
+  FROM lines),
+texts AS MATERIALIZED (
+  SELECT rid, {pairs.format('w')} AS g FROM (
+    SELECT rid, flatten(list(CASE WHEN gone THEN list_transform(w, lambda x: '') ELSE w END
+                             ORDER BY b, l)) AS w
+    FROM outside GROUP BY rid)),
+hits AS MATERIALIZED (
+  SELECT rid, license, template, p FROM (
+    SELECT rid, unnest(range(len(g))) AS p, unnest(g) AS gram FROM texts)
+  JOIN (SELECT license, template, unnest(t) AS gram FROM templates) USING (gram)),
+edges AS (
+  SELECT *, coalesce(lag(p) OVER o < p - 1, true) AS is_start, coalesce(lead(p) OVER o > p + 1, true) AS is_end
+  FROM hits WINDOW o AS (PARTITION BY rid, license, template ORDER BY p)),
+spans AS (
+  SELECT a.rid, license, template, a.p AS start, z.p AS stop, t, m
+  FROM edges a JOIN edges z USING (rid, license, template) JOIN templates USING (license, template)
+  WHERE a.is_start AND z.p >= a.p AND z.p < a.p + {high} AND (z.is_end OR z.p + 1 = a.p + {high})
+    AND z.p - a.p + 1 >= {low}),
+scored AS (
+  SELECT rid, license, template, start, stop, {dice.format('d')} AS dice
+  FROM (SELECT spans.*, list_distinct(g[start + 1:stop + 1]) AS d FROM spans JOIN texts USING (rid))),
+runs AS MATERIALIZED (
+  SELECT rid, license, template, start, arg_min(stop, (-dice, stop)) + 2 AS stop, max(dice) AS dice
+  FROM scored WHERE dice >= {min_dice!r} GROUP BY ALL),
+firsts AS (
+  SELECT rid, license, start, arg_min(stop, (-dice, -stop, template)) AS until
+  FROM runs GROUP BY ALL),
+groups AS (
+  SELECT f.rid, f.license, f.start AS head, until, arg_min(
+    {{'start': r.start, 'stop': r.stop, 'dice': r.dice, 'template': r.template}},
+    (-r.dice, r.start, -r.stop, r.template)) AS best
+  FROM firsts f JOIN runs r ON f.rid = r.rid AND f.license = r.license
+    AND r.start >= f.start AND r.start < f.until
+  GROUP BY ALL),
+chained AS MATERIALIZED (
+  SELECT g.rid, g.license, head, best, min(f.start) AS following
+  FROM groups g LEFT JOIN firsts f ON g.rid = f.rid AND g.license = f.license
+    AND f.start >= greatest(g.until, best.stop)
+  GROUP BY ALL),
+kept AS (
+  SELECT c.* FROM chained c JOIN (
+    SELECT rid, license, min(start) AS head FROM firsts GROUP BY ALL) USING (rid, license, head)
+  UNION ALL
+  SELECT c.* FROM kept k JOIN chained c
+    ON c.rid = k.rid AND c.license = k.license AND c.head = k.following)
+SELECT doc_id, unit, position, license, template, dice FROM whole
+UNION ALL
+SELECT doc_id, 'run', best.start, license, best.template, best.dice FROM kept JOIN docs USING (rid)"""
