@@ -4,13 +4,17 @@
 host or a domain (``example.org`` covers its subdomains) or a host with leading path
 segments (``example.org/a/b``), in lower case.  An entry holds from the day it is added up to
 the day it is removed; of several actions on one day the removal counts.  Repeated entries
-change nothing; entries with a NULL are left out.
+change nothing; entries with a NULL, or of any other list, are left out.
 
 ``captures``: an id, a URL and the day it was fetched.  Of the entries active on that day,
 the one with the longest key decides, and ``allow`` wins over ``block`` on the same key.  A
 capture with a NULL or unreadable URL or a NULL day meets no entry.  Every capture row is
 returned once; repeated rows give repeated results.
 
+The as-of join is one sort: captures and the starts of intervals of a key stand in one order of
+days, each capture takes the last interval that began on each list, and its end decides.  So it
+costs the sum of both sides, however often a key was listed and taken off.
+
 Built-in functions only.  A key that many captures share is spread over ``SALTS`` parts.
 """
 
@@ -23,6 +27,7 @@ from pyspark.sql import functions as F
 #: many keys can be hot and the list of them may be broadcast.
 HOT_SHARE = 1000
 SALTS = 64
+LISTS = ("block", "allow")
 
 URL = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)(?::[0-9]*)?([^?#]*)"
 
@@ -48,7 +53,7 @@ def url_keys(url: Column) -> Column:
 
 def list_intervals(entries: DataFrame) -> DataFrame:
     """Validity intervals ``key, list, since, until`` (until is exclusive, NULL if open)."""
-    daily = entries.where("key IS NOT NULL AND list IS NOT NULL AND day IS NOT NULL").groupBy(
+    daily = entries.where(F.col("key").isNotNull() & F.col("list").isin(*LISTS) & F.col("day").isNotNull()).groupBy(
         "key", "list", "day").agg(F.max("action").alias("action"))
     order = Window.partitionBy("key", "list").orderBy("day")
     turns = daily.withColumn("_last", F.lag("action").over(order)).where(
@@ -76,8 +81,17 @@ def filter_urls(captures: DataFrame, entries: DataFrame, id_col: str, url: str =
     listed = list_intervals(entries).join(F.broadcast(hot), "key", "left").withColumn(
         "_salt", F.explode(salts)).drop("_hot")
 
-    met = asked.join(listed, ["key", "_salt"]).where(
-        "since <= _day AND (until IS NULL OR _day < until)")
+    interval = F.struct(F.col("list"), F.col("key"), F.col("until"))
+    starts = listed.select("key", "_salt", F.col("since").alias("_day"), F.lit(False).alias("_asks"), *[
+        F.when(F.col("list") == name, interval).alias(f"_{name}") for name in LISTS])
+    order = Window.partitionBy("key", "_salt").orderBy("_day", "_asks").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    as_of = asked.withColumn("_asks", F.lit(True)).unionByName(
+        starts, allowMissingColumns=True).select("_id", "_url", "_day", "_asks", F.array(*[
+            F.last(f"_{name}", ignorenulls=True).over(order) for name in LISTS]).alias("_last"))
+    met = as_of.where("_asks").select("_id", "_url", "_day", F.explode("_last").alias("_e")).where(
+        "_e IS NOT NULL AND (_e.until IS NULL OR _day < _e.until)").select(
+        "_id", "_url", "_day", "_e.list", "_e.key")
     strength = F.struct(F.length("key"), (F.col("list") == "allow").cast("int"), F.col("key"))
     # Repeated captures meet the same entries, so sets and maxima are unharmed by them.
     decided = met.groupBy("_id", "_url", "_day").agg(
