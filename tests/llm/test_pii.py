@@ -123,3 +123,11 @@ def test_empty_table_repeats_and_clashing_columns(spark):
 @pytest.mark.parametrize("size", [300_000])
 def test_very_long_text(spark, size):
     check(spark, ["word " * (size // 5) + "a@b.cd", "7 " * 1000, "+1" * 2000])
+
+
+def test_a_megabyte_of_numbers(spark):
+    numbers = [str(i * 7919 % 999_983) for i in range(120_000)]
+    numbers[500::1000] = ["4111 1111 1111 1111"] * len(numbers[500::1000])
+    text = "é " + ", ".join(numbers)
+    assert len(text) > 900_000
+    check(spark, [text, "1.2.3.4, " * 20_000])
