@@ -63,14 +63,15 @@ def test_runs_equal_sql(spark):
 def test_copies_side_by_side(spark):
     mit = BODY["MIT", "text"]
     n = len(mit.replace("/", " ").split())
-    got = as_spark(spark, [(1, f"intro {mit} {mit} {mit} end\n{mit} and more")])
+    prose = " ".join(f"word{i}" for i in range(400))  # without it the whole line is a unit that matches
+    got = as_spark(spark, [(1, f"intro {mit} {mit} {mit} {prose}\n{mit} and more")])
     assert sorted(r[3] for r in got if r[-1] == "run" and r[2] == "MIT") == [1, 1 + n, 1 + 2 * n]
     assert [r[3] for r in got if r[-1] == "line" and r[2] == "MIT"] == [1]
 
 
 def test_megabytes_of_licences(spark):
     body = " ".join(BODY["MIT", "text"].split()[:40]) + " " + BODY["ISC", "text"]
-    got = as_spark(spark, [(1, f"{body} between " * 2_500)])
+    got = as_spark(spark, [(1, " ".join(f"{body} between{i}" for i in range(2_500)))])
     assert sum(r[-1] == "run" and r[2] == "ISC" for r in got) == 2_500
 
 
