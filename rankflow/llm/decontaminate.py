@@ -82,14 +82,18 @@ def _filter(seeds: DataFrame) -> bytes:
 
 
 class _Rolling:
-    """Hashes of all windows of a word sequence, of any length, without marked words."""
+    """Hashes of all windows of a word sequence, of any length, without marked words.
 
-    def __init__(self, words: np.ndarray):
+    ``places`` are the words' positions in their text, -1 for a gap, which is marked from the start.
+    """
+
+    def __init__(self, words: np.ndarray, places: np.ndarray):
         n = len(words)
         powers = np.cumprod(np.r_[np.uint64(1), np.full(n, BASE, dtype=np.uint64)])
         self.undo = np.cumprod(np.r_[np.uint64(1), np.full(n, UNDO, dtype=np.uint64)])
         self.sums = np.r_[np.uint64(0), np.cumsum(words * powers[:n])]
-        self.marked = np.zeros(n, dtype=np.int64)
+        self.places = places
+        self.marked = (places < 0).astype(np.int64)
 
     def free_run(self) -> int:
         """Length of the longest stretch of unmarked words."""
@@ -105,33 +109,69 @@ class _Rolling:
         at = np.flatnonzero(taken[size:size + n] == taken[:n])
         return at, mixed((self.sums[at + size] - self.sums[at]) * self.undo[at])
 
+    def is_free(self, at: int, size: int) -> bool:
+        return not self.marked[at:at + size].any()
+
+    def mark(self, at: int, size: int) -> None:
+        self.marked[at:at + size] = 1
+
+
+def _stretches(words: np.ndarray, shared: np.ndarray, least: int) -> _Rolling:
+    """Only the words inside a shared window (``shared`` are the starts), with gaps between stretches."""
+    edges = np.zeros(len(words) + 1, dtype=np.int64)
+    edges[shared] += 1
+    edges[shared + least] -= 1
+    kept = np.flatnonzero(np.cumsum(edges[:-1]) > 0)
+    breaks = np.flatnonzero(np.diff(kept) > 1) + 1
+    return _Rolling(np.insert(words[kept], breaks, np.uint64(0)), np.insert(kept, breaks, -1))
+
+
+def _mark_all(a: _Rolling, b: _Rolling, size: int) -> Iterator[tuple[int, int, int]]:
+    """Mark the matches of ``size`` words one after the other, by place in ``a``, then in ``b``."""
+    (i, h), (j, g) = a.windows(size), b.windows(size)
+    order = np.argsort(g, kind="stable")
+    j, g = j[order], g[order]
+    first, last = np.searchsorted(g, h, "left"), np.searchsorted(g, h, "right")
+    tried: dict[int, int] = {}  # places of a hash that were marked once stay so
+    for hit in np.flatnonzero(last > first).tolist():
+        at, key, end = int(i[hit]), int(first[hit]), int(last[hit])
+        if not a.is_free(at, size):
+            continue
+        k = tried.get(key, key)
+        while k < end and not b.is_free(int(j[k]), size):
+            k += 1
+        tried[key] = k
+        if k < end:
+            a.mark(at, size)
+            b.mark(int(j[k]), size)
+            yield int(a.places[at]), int(b.places[j[k]]), size
+
 
 def tiles(item: np.ndarray, text: np.ndarray, least: int = SHINGLE) -> list[tuple[int, int, int]]:
     """Greedy tiles ``(item position, text position, words)``, the longest first.
 
-    Of equally long ones the first in the item, then in the text, is marked.
+    Of equally long ones the first in the item, then in the text, is marked.  Only words inside a shared
+    window of ``least`` words are looked at, and each length of a tile is searched for once.
     """
-    a, b = _Rolling(item), _Rolling(text)
-    done = []
+    (i, h), (j, g) = (_Rolling(w, np.arange(len(w))).windows(least) for w in (item, text))
+    a = _stretches(item, i[np.isin(h, g)], least)
+    b = _stretches(text, j[np.isin(g, h)], least)
+    done: list[tuple[int, int, int]] = []
+    longest = len(item)
     while True:
-        high = min(a.free_run(), b.free_run())
-        low, best = least, None
+        high = min(a.free_run(), b.free_run(), longest)
+        low, best = least, 0
         size = high  # a whole passage is the usual case
         while low <= high:
-            (i, h), (j, g) = a.windows(size), b.windows(size)
-            hit = np.flatnonzero(np.isin(h, g))
-            if len(hit):
-                first = hit[0]
-                best = (int(i[first]), int(j[np.flatnonzero(g == h[first])[0]]), size)
-                low = size + 1
+            if np.isin(a.windows(size)[1], b.windows(size)[1]).any():
+                best, low = size, size + 1
             else:
                 high = size - 1
             size = (low + high + 1) // 2
-        if best is None:
+        if not best:
             return done
-        done.append(best)
-        a.marked[best[0]:best[0] + best[2]] = 1
-        b.marked[best[1]:best[1] + best[2]] = 1
+        done.extend(_mark_all(a, b, best))
+        longest = best - 1
 
 
 def _coverage(pairs: DataFrame) -> DataFrame:

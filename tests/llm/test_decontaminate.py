@@ -99,3 +99,16 @@ def test_empty_tables(spark):
     items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
     assert dc.mark_contaminated(docs.limit(0), items).count() == 0
     assert not any(r.contaminated for r in dc.mark_contaminated(docs, items.limit(0)).collect())
+
+
+def test_tiles_of_a_long_text_with_many_parts_of_an_item():
+    """60 parts of an item in 200,000 words, and an item repeated to that length."""
+    rng = np.random.default_rng(1)
+    vocabulary = rng.integers(1, 2**63, 5000).astype(np.uint64)
+    item = vocabulary[rng.integers(0, 5000, 360)]
+    text = vocabulary[rng.integers(0, 5000, 200_000)]
+    for k in range(60):
+        text[3000 * k + 7:3000 * k + 13] = item[6 * k:6 * k + 6]
+    got = dc.tiles(item, text)
+    assert sorted((i, j) for i, j, _ in got) == [(6 * k, 3000 * k + 7) for k in range(60)]
+    assert dc.tiles(item, np.tile(item, 556)) == [(0, 0, 360)]
