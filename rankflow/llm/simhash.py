@@ -34,6 +34,8 @@ SEED = 42
 RADIUS = 2
 #: Shingles whose bits are spread out at once.
 BLOCK = 1 << 15
+#: A fingerprint with more than this part of all rows is joined by broadcast.
+FREQUENT = 4096
 #: Links that a tile gathers before it hands them on.
 HELD = 50_000
 
@@ -142,15 +144,26 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, text_hash, fp, component_id, root`` of every row (a root per group)."""
     rows = stage(fingerprints(docs, id_col, text), "fingerprints")
-    distinct = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    distinct = stage(rows.groupBy("fp").agg(
+        F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "distinct")
     roots = components(fingerprint_links(distinct.select("fp"))).withColumnRenamed("node", "fp")
     linked = distinct.join(roots, "fp")
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
     ids = linked.join(least, "root").select("fp", "root", "least")
-    known = distinct.join(ids, "fp", "left").select(
-        "fp", F.coalesce("least", "first").alias("component_id"),
-        F.coalesce("root", "fp").alias("root"))
-    return rows.join(known, "fp").select("doc_id", "text_hash", "fp", "component_id", "root")
+    known = stage(distinct.join(ids, "fp", "left").select(
+        "fp", "n", F.coalesce("least", "first").alias("component_id"),
+        F.coalesce("root", "fp").alias("root")), "components")
+    # Fewer than FREQUENT fingerprints have more than that share of the rows each, so their table is
+    # broadcast; the rows of any other are few beside a task's.
+    share = F.lit(known.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] / FREQUENT)
+    found = ["component_id", "root"]
+    hot = known.where(F.col("n") > share).select("fp", *[F.col(c).alias(f"_{c}") for c in found])
+    judged = rows.select("doc_id", "text_hash", "fp").join(F.broadcast(hot), "fp", "left")
+    direct = judged.where("_root IS NOT NULL").select(
+        "doc_id", "text_hash", "fp", *[F.col(f"_{c}").alias(c) for c in found])
+    others = judged.where("_root IS NULL").join(
+        known.where(F.col("n") <= share).select("fp", *found), "fp")
+    return direct.unionByName(others.select("doc_id", "text_hash", "fp", *found))
 
 
 def simhash_digest(docs: DataFrame) -> DataFrame:
