@@ -15,6 +15,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +43,13 @@ class ReqState:
             self.rounds.append(0)
             self.sections.append(SECTIONS)
 
+    @staticmethod
+    def first_capacity(k: int) -> int:
+        """Values at which the lowest level is compacted for the first time."""
+        state = ReqState(k)
+        state._grow(1)
+        return state._capacity(0)
+
     def _section_size(self, level: int) -> int:
         """Shrinks by sqrt(2) with each doubling of the sections; even, at least 4."""
         doublings = int(round(np.log2(self.sections[level] / SECTIONS)))
@@ -142,17 +150,79 @@ class ReqState:
         return out
 
 
+#: What comes before the items in a state of one level, 4-byte words.
+_ONE_LEVEL = np.dtype([("k", "<i4"), ("n", "<i8"), ("lo", "<f8"), ("hi", "<f8"), ("levels", "<i4"),
+                       ("rounds", "<i8"), ("sections", "<i4"), ("size", "<i4")])
+_HEAD = _ONE_LEVEL.itemsize // 4
+
+
+class SmallReq:
+    """States that never were compacted, many at a time: a head and their values."""
+
+    def __init__(self, k: int | None = None) -> None:
+        self.k = k
+        self.limit = 0 if k is None else ReqState.first_capacity(k)
+
+    def pack(self, values: np.ndarray, starts: np.ndarray) -> pa.Array:
+        values = values.astype("<f4")
+        sizes = np.diff(starts, append=len(values))
+        if not len(starts):
+            return pa.array([], pa.binary())
+        return self._write(self.k, values, sizes, np.minimum.reduceat(values, starts),
+                           np.maximum.reduceat(values, starts))
+
+    @staticmethod
+    def _write(k: int, values: np.ndarray, sizes: np.ndarray, lo: np.ndarray,
+               hi: np.ndarray) -> pa.Array:
+        head = np.zeros(len(sizes), dtype=_ONE_LEVEL)
+        head["k"], head["n"], head["lo"], head["hi"] = k, sizes, lo, hi
+        head["levels"], head["sections"], head["size"] = 1, SECTIONS, sizes
+        ends = np.cumsum(sizes + _HEAD)
+        words = np.empty(int(ends[-1]) if len(ends) else 0, dtype="<u4")
+        words[(ends - sizes - _HEAD)[:, None] + np.arange(_HEAD)] = head.view("<u4").reshape(-1, _HEAD)
+        heads_before = np.repeat(np.arange(1, len(sizes) + 1) * _HEAD, sizes)
+        words[np.arange(len(values)) + heads_before] = values.view("<u4")
+        offsets = np.r_[0, ends * 4].astype(np.int32)
+        return pa.Array.from_buffers(
+            pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(words)])
+
+    def join(self, sketches: pa.Array, starts: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        sketches = sketches.cast(pa.binary())
+        none = pa.array([], pa.binary()), np.zeros(len(starts), dtype=bool)
+        at = np.frombuffer(sketches.buffers()[1], np.int32)[
+            sketches.offset:sketches.offset + len(sketches) + 1].astype(np.int64)
+        if (at & 3).any() or sketches.null_count or not at[-1]:
+            return none
+        words = np.frombuffer(sketches.buffers()[2], "<u4", int(at[-1]) // 4)
+        length, at = np.diff(at) // 4, at[:-1] // 4
+        head = words[np.minimum(at[:, None] + np.arange(_HEAD), len(words) - 1)].view(_ONE_LEVEL)[:, 0]
+        k = int(head["k"][0])
+        plain = ((head["k"] == k) & (head["levels"] == 1) & (head["rounds"] == 0)
+                 & (head["sections"] == SECTIONS) & (length == head["n"] + _HEAD))
+        n = np.where(plain, head["n"], 0)
+        total = np.add.reduceat(n, starts)
+        done = np.logical_and.reduceat(plain, starts) & (total < ReqState.first_capacity(k))
+        if not done.any():
+            return none
+        rows = np.repeat(done, np.diff(starts, append=len(sketches)))
+        n, at, total = n[rows], at[rows] + _HEAD, total[done]
+        values = words[np.arange(int(n.sum())) + np.repeat(at - (np.cumsum(n) - n), n)].view("<f4")
+        lo, hi = (ufunc.reduceat(head[side], starts)[done]
+                  for ufunc, side in ((np.minimum, "lo"), (np.maximum, "hi")))
+        return self._write(k, values, total, lo, hi), done
+
+
 def req_partials(df: DataFrame, value: str | Column, keys: Sequence[str] = (),
                  k: int = K) -> DataFrame:
     """One state per input task and group; no shuffle."""
     v = as_column(value).cast("float")
     rows = df.select(*keys, v.alias("_v")).where(F.col("_v") <= F.lit(float("inf")))
-    return reduce_tasks(rows, keys, "_v", lambda: ReqState(k))
+    return reduce_tasks(rows, keys, "_v", lambda: ReqState(k), SmallReq(k))
 
 
 def req_merge(sketches: DataFrame, keys: Sequence[str] = (), shares: int = SHARES) -> DataFrame:
     """Merge sketches that agree on ``keys``."""
-    return merge_states(sketches, keys, ReqState.from_bytes, shares)
+    return merge_states(sketches, keys, ReqState.from_bytes, shares, SmallReq())
 
 
 def req_build(df: DataFrame, value: str | Column, keys: Sequence[str] = (), k: int = K,
