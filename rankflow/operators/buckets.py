@@ -28,7 +28,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from rankflow.functions.scalars import QUANTILES, as_column, quantile_column
-from rankflow.operators.tasks import merge_states, reduce_tasks
+from rankflow.operators.tasks import blobs_of, merge_states, reduce_tasks, words_of
 from rankflow.scratch import join_groups
 
 ALPHA = 0.01
@@ -333,6 +333,58 @@ class BucketState:
         return state
 
 
+class SmallBuckets:
+    """States that never were collapsed, many at a time: a head, their codes, their counts."""
+
+    def __init__(self, max_buckets: int | None = None) -> None:
+        self.max_buckets = max_buckets
+        self.limit = 0 if max_buckets is None else max_buckets + 1
+
+    def pack(self, values: np.ndarray, starts: np.ndarray) -> pa.Array:
+        group = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(values)))
+        return self._write(self.max_buckets, group, values, np.ones(len(values), dtype=np.int64),
+                           len(starts))
+
+    @staticmethod
+    def _write(max_buckets: int, group: np.ndarray, codes: np.ndarray, n: np.ndarray,
+               groups: int) -> pa.Array:
+        if not groups:
+            return pa.array([], pa.binary())
+        order = np.lexsort((codes, group))
+        group, codes, n = group[order], codes[order], n[order]
+        first = np.flatnonzero((np.diff(group, prepend=-1) != 0) | (np.diff(codes, prepend=0) != 0))
+        group, codes, n = group[first], codes[first], np.add.reduceat(n, first)
+        sizes = np.bincount(group, minlength=groups)
+        ends = np.cumsum(3 + 2 * sizes)
+        at = ends - 3 - 2 * sizes
+        words = np.empty(int(ends[-1]), dtype="<i8")
+        words[at], words[at + 1], words[at + 2] = max_buckets, 0, sizes
+        place = np.arange(len(codes)) - (np.cumsum(sizes) - sizes)[group] + at[group] + 3
+        words[place], words[place + sizes[group]] = codes, n
+        return blobs_of(words, ends)
+
+    def join(self, sketches: pa.Array, starts: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        none = pa.array([], pa.binary()), np.zeros(len(starts), dtype=bool)
+        held = words_of(sketches, "<i8")
+        if held is None:
+            return none
+        words, at, length = held
+        bound, level, size = words[np.minimum(at + np.arange(3)[:, None], len(words) - 1)]
+        plain = (bound == bound[0]) & (level == 0) & (length == 3 + 2 * size)
+        size = np.where(plain, size, 0)
+        # Together they have at most as many buckets as all of them.
+        done = np.logical_and.reduceat(plain, starts) & (np.add.reduceat(size, starts) <= bound[0])
+        if not done.any():
+            return none
+        states = np.diff(starts, append=len(sketches))
+        rows = np.repeat(done, states)
+        size, at = size[rows], at[rows] + 3
+        place = np.arange(int(size.sum())) + np.repeat(at - (np.cumsum(size) - size), size)
+        group = np.repeat(np.repeat(np.arange(int(done.sum())), states[done]), size)
+        return self._write(int(bound[0]), group, words[place], words[place + np.repeat(size, size)],
+                           int(done.sum())), done
+
+
 def bucket_rows(states: DataFrame, keys: Sequence[str]) -> DataFrame:
     """UDDSketch rows out of binary states."""
     schema = StructType([
@@ -344,19 +396,23 @@ def bucket_rows(states: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = [BucketState.from_bytes(b.as_py()) for b in batch.column("sketch")]
-            sizes = [len(s.codes) for s in held]
-            if not sum(sizes):
+            held = words_of(batch.column("sketch"), "<i8")
+            if held is None:
+                continue
+            words, at, _ = held
+            sizes = words[at + 2]
+            if not sizes.sum():
                 continue
-            rows = np.repeat(np.arange(len(held)), sizes)
-            codes = np.concatenate([s.codes for s in held])
-            level = np.repeat(np.array([s.level for s in held], dtype=np.int32), sizes)
+            rows = np.repeat(np.arange(len(at)), sizes)
+            place = np.arange(len(rows)) - (np.cumsum(sizes) - sizes)[rows] + at[rows] + 3
+            codes, counts = words[place], words[place + sizes[rows]]
+            level = words[at + 1].astype(np.int32)[rows]
             sgn = np.sign(codes)
             columns = [
                 *[batch.column(k).take(pa.array(rows)) for k in keys],
                 pa.array(level), pa.array(sgn.astype(np.int32)),
                 pa.array(np.where(sgn == 0, 0, np.abs(codes) - _SHIFT)),
-                pa.array(np.concatenate([s.n for s in held])),
+                pa.array(counts),
             ]
             yield pa.RecordBatch.from_arrays(
                 [c.cast(f.type) for c, f in zip(columns, out_schema)], schema=out_schema)
@@ -381,7 +437,8 @@ def udds_partials(df: DataFrame, value: str | Column, keys: Sequence[str] = (),
         * (bucket_index(x, uniform_alpha(alpha, collapses)) + F.lit(_SHIFT))
     )
     rows = df.where(_finite(x)).select(*keys, code.cast("bigint").alias("_code"))
-    return reduce_tasks(rows, keys, "_code", lambda: BucketState(max_buckets))
+    return reduce_tasks(rows, keys, "_code", lambda: BucketState(max_buckets),
+                        SmallBuckets(max_buckets))
 
 
 def udds_build(df: DataFrame, value: str | Column, keys: Sequence[str] = (),
@@ -393,7 +450,8 @@ def udds_build(df: DataFrame, value: str | Column, keys: Sequence[str] = (),
 
 def finish_states(states: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Merge binary states and spread them out to bucket rows."""
-    return bucket_rows(merge_states(states, keys, BucketState.from_bytes), keys)
+    merged = merge_states(states, keys, BucketState.from_bytes, small=SmallBuckets())
+    return bucket_rows(merged, keys)
 
 
 def udds_merge(sketches: DataFrame, keys: Sequence[str] = (),

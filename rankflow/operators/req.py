@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankflow.functions.scalars import QUANTILES, as_column, quantile_column
-from rankflow.operators.tasks import SHARES, merge_states, reduce_tasks
+from rankflow.operators.tasks import SHARES, blobs_of, merge_states, reduce_tasks, words_of
 
 K = 30
 SECTIONS = 3
@@ -182,19 +182,14 @@ class SmallReq:
         words[(ends - sizes - _HEAD)[:, None] + np.arange(_HEAD)] = head.view("<u4").reshape(-1, _HEAD)
         heads_before = np.repeat(np.arange(1, len(sizes) + 1) * _HEAD, sizes)
         words[np.arange(len(values)) + heads_before] = values.view("<u4")
-        offsets = np.r_[0, ends * 4].astype(np.int32)
-        return pa.Array.from_buffers(
-            pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(words)])
+        return blobs_of(words, ends)
 
     def join(self, sketches: pa.Array, starts: np.ndarray) -> tuple[pa.Array, np.ndarray]:
-        sketches = sketches.cast(pa.binary())
         none = pa.array([], pa.binary()), np.zeros(len(starts), dtype=bool)
-        at = np.frombuffer(sketches.buffers()[1], np.int32)[
-            sketches.offset:sketches.offset + len(sketches) + 1].astype(np.int64)
-        if (at & 3).any() or sketches.null_count or not at[-1]:
+        held = words_of(sketches, "<u4")
+        if held is None:
             return none
-        words = np.frombuffer(sketches.buffers()[2], "<u4", int(at[-1]) // 4)
-        length, at = np.diff(at) // 4, at[:-1] // 4
+        words, at, length = held
         head = words[np.minimum(at[:, None] + np.arange(_HEAD), len(words) - 1)].view(_ONE_LEVEL)[:, 0]
         k = int(head["k"][0])
         plain = ((head["k"] == k) & (head["levels"] == 1) & (head["rounds"] == 0)

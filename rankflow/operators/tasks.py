@@ -58,6 +58,28 @@ class SmallForm(Protocol):
         """Merged sketches of the groups for which that is possible, and which these are."""
 
 
+def words_of(blobs: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Numbers of ``kind`` that blobs consist of, where each blob starts, and how many it has.
+
+    None if a blob is NULL, if all are empty, or if one does not lie on whole numbers.
+    """
+    blobs = blobs.cast(pa.binary())
+    at = np.frombuffer(blobs.buffers()[1], np.int32)[
+        blobs.offset:blobs.offset + len(blobs) + 1].astype(np.int64)
+    size = np.dtype(kind).itemsize
+    if (at % size).any() or blobs.null_count or not at[-1]:
+        return None
+    words = np.frombuffer(blobs.buffers()[2], kind, int(at[-1]) // size)
+    return words, at[:-1] // size, np.diff(at) // size
+
+
+def blobs_of(words: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Blobs out of numbers, cut at ``ends``."""
+    offsets = (np.r_[0, ends] * words.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(
+        pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(words)])
+
+
 def group_codes(table: pa.Table | pa.RecordBatch, keys: Sequence[str]) -> np.ndarray:
     """A number per row, equal for equal keys; NULL is a key, and so is NaN."""
     code = np.zeros(table.num_rows, dtype=np.int64)

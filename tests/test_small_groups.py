@@ -7,7 +7,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from rankflow.operators import req, tasks
+from rankflow.operators import buckets, req, tasks
+from rankflow.operators.buckets import BucketState, SmallBuckets
 from rankflow.operators.req import ReqState, SmallReq
 
 
@@ -92,3 +93,47 @@ def test_a_build_with_and_without_the_small_form(spark, monkeypatch, key):
         if a.n < ReqState.first_capacity(30):
             assert sorted(a.items[0]) == sorted(b.items[0])
     assert req.req_quantiles(req.req_build(rows, "v", keys), keys).count() == len(by_states)
+
+
+CODES = st.lists(st.lists(st.integers(-9, 9), min_size=1, max_size=8), min_size=1, max_size=6)
+
+
+def buckets_of(codes, bound):
+    state = BucketState(bound)
+    state.add(np.array(codes, dtype=np.int64) * 1000)
+    return state
+
+
+@settings(max_examples=80, deadline=None)
+@given(CODES)
+def test_packed_bucket_groups_are_the_states(groups):
+    sizes = np.array([len(g) for g in groups])
+    packed = SmallBuckets(8).pack(np.array(sum(groups, []), dtype=np.int64) * 1000,
+                                  np.cumsum(sizes) - sizes)
+    assert packed.to_pylist() == [buckets_of(g, 8).to_bytes() for g in groups]
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(CODES, min_size=1, max_size=5), st.sampled_from([4, 12]))
+def test_joined_bucket_groups_are_the_merged_states(parts, bound):
+    made = [[buckets_of(codes, bound) for codes in group] for group in parts]
+    flat = pa.array([s.to_bytes() for group in made for s in group], pa.binary())
+    sizes = np.array([len(group) for group in made])
+    merged, done = SmallBuckets().join(flat, np.cumsum(sizes) - sizes)
+    fits = [all(s.level == 0 for s in group) and sum(len(s.codes) for s in group) <= bound
+            for group in made]
+    want = []
+    for group in (g for g, few in zip(made, fits) if few):
+        for other in group[1:]:
+            group[0].merge(other)
+        want.append(group[0].to_bytes())
+    assert done.tolist() == fits and merged.to_pylist() == want
+
+
+def test_uniform_buckets_of_many_groups(spark, monkeypatch):
+    rows = spark.range(0, 40_000, 1, 4).selectExpr(
+        "IF(id % 3 = 0, NULL, id % 9000) AS g", "double(pmod(xxhash64(id), 20000) - 9000) AS v")
+    want = buckets.udds_build(rows, "v", ["g"], max_buckets=64).collect()
+    monkeypatch.setattr(tasks, "MAX_STATES", 100)
+    got = buckets.udds_build(rows, "v", ["g"], max_buckets=64).collect()
+    assert len(want) > 20_000 and sorted(map(str, got)) == sorted(map(str, want))
