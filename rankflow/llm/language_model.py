@@ -11,10 +11,11 @@ length.  The unigram score over words, smoothed by one, comes with it.
 
 How it runs.  Training texts are counted per task and summed (``counts``): one row per
 distinct (DEPTH + 1)-gram and word, however large the corpus.  Trees are worked out per last
-two bytes of a context, whose weights go up into the two top levels (65,280 nodes at
-most, the only part of the model that the driver sees and tasks share).  Documents are
+two bytes of a context, those of many contexts at once in shards of some 200,000 grams.  Their
+weights go up into the two top levels (65,280 nodes at most, the only part of the model that
+the driver sees and tasks share).  Words are found and counted as Arrow columns.  Documents are
 dealt into blocks of bounded bytes; a block asks for the values of its distinct grams and
-words by joins, and its documents meet the answers in one task.  So no task and not the
+words, found in one reading of its texts, by joins, and its documents meet the answers in one task.  So no task and not the
 driver ever holds the model.  A block is a hash of id and text; rows that repeat both so
 often that they have more than an eighth of a block are scored once, and each of them is
 given that score by a join, so that repeats do not make a block large.
@@ -25,11 +26,11 @@ as often as they are there.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,20 +42,35 @@ DEPTH = 4
 BLOCK_BYTES = 16 << 20
 #: Words and grams that a task counts before it hands them on.
 HELD = 150_000
+#: Grams whose trees are worked out together, on average.
+TREE_GRAMS = 200_000
 #: The word that ends a text, which no text can hold.
 END = b" "
 
+_bytes = np.arange(256)
+IN_WORD = ~(((_bytes >= 9) & (_bytes <= 13)) | (_bytes == 32))
+
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def token_lists(column: pa.Array) -> Iterator[list[bytes]]:
-    """The tokens of each text; NULL is empty."""
-    for text in column.cast(pa.binary()):
-        tokens = (text.as_py() or b"").lower().split()
-        tokens.append(END)
-        yield tokens
+def word_rows(column: pa.Array) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
+    """``(first row, words, where each row's words begin)`` per piece, without the ends."""
+    body, at = flat(column)
+    for first, last in pieces(at):
+        text, cut = LOWER[body[at[first]:at[last]]], at[first:last + 1] - at[first]
+        inside = IN_WORD[text]
+        begins = inside.copy()
+        begins[1:] &= ~inside[:-1]
+        edges = cut[:-1][cut[:-1] < len(text)]
+        begins[edges] = inside[edges]
+        # Without the white space between them the words lie end to end.
+        bare = text[inside]
+        words = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), int(np.count_nonzero(begins)),
+            [None, pa.py_buffer(np.append(np.flatnonzero(begins[inside]), len(bare))), pa.py_buffer(bare)])
+        yield first, words, np.searchsorted(np.flatnonzero(begins), cut)
 
 
 def gram_rows(column: pa.Array, depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -67,33 +83,45 @@ def gram_rows(column: pa.Array, depth: int) -> Iterator[tuple[int, np.ndarray, n
         size = np.diff(at[first:last + 1])
         cuts = np.r_[0, np.cumsum(size + 1)]
         wide = np.zeros(int(cuts[-1]) + depth * len(size), dtype=np.uint8)
-        shift = np.repeat(np.arange(len(size)) * (depth + 1) + depth, size)
-        wide[np.arange(len(shift)) + shift] = LOWER[body[at[first]:at[last]]]
-        spots = np.arange(int(cuts[-1])) + np.repeat(np.arange(len(size)) * depth, size + 1)
-        grams = np.zeros(len(spots), dtype=np.int64)
-        for k in range(depth + 1):
-            grams = (grams << 8) | wide[spots + k]
-        yield first, grams, cuts
+        begins = cuts[:-1] + depth * np.arange(len(size))
+        newest = np.ones(len(wide), dtype=bool)
+        newest[(begins[:, None] + np.arange(depth)).ravel()] = False
+        filled = newest.copy()
+        filled[begins + depth + size] = False
+        wide[filled] = LOWER[body[at[first]:at[last]]]
+        n = len(wide) - depth
+        grams = wide[:n].astype(np.int64)
+        for k in range(1, depth + 1):
+            grams <<= 8
+            grams |= wide[k:k + n]
+        yield first, grams[newest[depth:]], cuts
 
 
 def training_counts(docs: DataFrame, depth: int) -> DataFrame:
     """``word BINARY, gram BIGINT, n``: partial counts of the training rows, by task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter = Counter()
-        grams, times, held = [], [], 0
+        words, grams, times, held_words, held, ends = [], [], [], 0, 0, 0
+
+        def words_out() -> pa.RecordBatch:
+            found = pa.Table.from_batches(words).group_by("word").aggregate([("n", "sum")])
+            word, n = (found.column(c).combine_chunks() for c in ("word", "n_sum"))
+            return _count_rows(word, None, n)
 
         def grams_out() -> pa.RecordBatch:
             keys, where = np.unique(np.concatenate(grams), return_inverse=True)
             n = np.bincount(where, weights=np.concatenate(times)).astype(np.int64)
-            return _count_rows([None] * len(keys), keys, n)
+            return _count_rows(None, pa.array(keys), pa.array(n))
 
         for batch in batches:
-            for own in token_lists(batch.column("text")):
-                words.update(own)
-                if len(words) > HELD:
-                    yield _count_rows(list(words), None, list(words.values()))
-                    words.clear()
+            ends += batch.num_rows
+            for _, found, _ in word_rows(batch.column("text")):
+                n = found.value_counts()
+                words.append(pa.RecordBatch.from_arrays(n.flatten(), names=["word", "n"]))
+                held_words += len(n)
+                if held_words > 4 * HELD:
+                    yield words_out()
+                    words, held_words = [], 0
             for _, found, _ in gram_rows(batch.column("text"), depth):
                 keys, n = np.unique(found, return_counts=True)
                 grams.append(keys)
@@ -103,7 +131,9 @@ def training_counts(docs: DataFrame, depth: int) -> DataFrame:
                     yield grams_out()
                     grams, times, held = [], [], 0
         if words:
-            yield _count_rows(list(words), None, list(words.values()))
+            yield words_out()
+        if ends:
+            yield _count_rows(pa.array([END], pa.large_binary()), None, pa.array([ends]))
         if held:
             yield grams_out()
 
@@ -111,12 +141,10 @@ def training_counts(docs: DataFrame, depth: int) -> DataFrame:
         run, "word binary, gram bigint, n bigint")
 
 
-def _count_rows(words, grams, n) -> pa.RecordBatch:
-    size = len(n)
+def _count_rows(words: pa.Array | None, grams: pa.Array | None, n: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(words, pa.binary()),
-         pa.array([None] * size, pa.int64()) if grams is None else pa.array(grams),
-         pa.array(n, pa.int64())], names=["word", "gram", "n"])
+        [pa.nulls(len(n), pa.binary()) if words is None else words.cast(pa.binary()),
+         pa.nulls(len(n), pa.int64()) if grams is None else grams, n], names=["word", "gram", "n"])
 
 
 # --- the trees -----------------------------------------------------------------------
@@ -185,10 +213,10 @@ class Subtree:
         return p
 
 
-def _by_shard(grams: DataFrame, shared: int) -> DataFrame:
-    """Grams with the last ``shared`` bytes of their contexts as ``shard``."""
-    return grams.withColumn("shard", F.shiftright("gram", 8).bitwiseAND(
-        F.lit((1 << (8 * shared)) - 1)).cast("bigint"))
+def _by_shard(grams: DataFrame, shared: int, shards: int) -> DataFrame:
+    """Grams dealt into shards by the last ``shared`` bytes of their contexts."""
+    context = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << (8 * shared)) - 1))
+    return grams.withColumn("shard", F.pmod(F.xxhash64(context), F.lit(shards)).cast("int"))
 
 
 def gram_values(grams: DataFrame, depth: int) -> DataFrame:
@@ -205,7 +233,7 @@ def gram_values(grams: DataFrame, depth: int) -> DataFrame:
         return pa.table({c: np.concatenate([e[c] for e in ends])
                          for c in ("key", "zeros", "ones", "total")})
 
-    sharded = _by_shard(grams, shared)
+    sharded = _by_shard(grams, shared, max(1, -(-grams.count() // TREE_GRAMS)))
     # One row per last byte and place in the byte comes to the driver: 65,280 at most.
     last = F.col("key").bitwiseAND(F.lit((1 << 16) - 1)) if shared else F.col("key")
     rows = sharded.groupBy("shard").applyInArrow(
@@ -257,17 +285,17 @@ def _asked(dealt: DataFrame, depth: int) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
-        words, pieces_of = set(), []
+        words, pieces_of = [pa.array([END], pa.large_binary())], []
         for batch in table.select(["text"]).to_batches():
-            for own in token_lists(batch.column("text")):
-                words.update(own)
+            words += [found.unique() for _, found, _ in word_rows(batch.column("text"))]
             for _, found, _ in gram_rows(batch.column("text"), depth):
                 pieces_of.append(np.unique(found))
         grams = np.unique(np.concatenate(pieces_of))
+        words = pa.chunked_array(words).unique().cast(pa.binary())
         n, m = len(words), len(grams)
         return pa.table({
             "block": pa.array(np.full(n + m, block, dtype=np.int32)),
-            "word": pa.array([*words, *[None] * m], pa.binary()),
+            "word": pa.concat_arrays([words, pa.nulls(m, pa.binary())]),
             "gram": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(grams)])})
 
     return dealt.groupBy("block").applyInArrow(run, "block int, word binary, gram bigint")
@@ -296,27 +324,32 @@ class GramTable:
 
 def _scored(depth: int, unseen: float, n_train: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        is_word = answers.column("word").is_valid()
-        known = answers.filter(is_word)
-        value = dict(zip(known.column("word").to_pylist(), known.column("value").to_pylist()))
+        known = answers.filter(answers.column("word").is_valid())
+        words = known.column("word").cast(pa.large_binary()).combine_chunks()
+        # The last value is that of words without a row.
+        value = np.append(known.column("value").to_numpy(), unseen)
+        of_end = pc.index(words, pa.scalar(END, pa.large_binary())).as_py()
         rest = answers.filter(answers.column("gram").is_valid()).sort_by("gram")
         logs = GramTable(rest.column("gram").to_numpy(), rest.column("value").to_numpy())
-        del rest, known
-        tokens, seen, base, score = [], [], [], []
+        del rest, known, answers
+        tokens, seen, base, score = ([np.zeros(0)] for _ in range(4))
         for batch in docs.select(["text"]).to_batches():
-            for own in token_lists(batch.column("text")):
-                found = [value.get(w, unseen) for w in own]
-                tokens.append(len(found))
-                seen.append(len(found) - found.count(unseen))
-                base.append(sum(found))
+            for _, own, cuts in word_rows(batch.column("text")):
+                own = own.dictionary_encode()
+                place = pc.index_in(own.dictionary, value_set=words).fill_null(len(words))
+                place = place.to_numpy()[own.indices.to_numpy()]
+                n, row = np.diff(cuts), np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+                tokens.append(n + 1)
+                seen.append(np.bincount(row, weights=place < len(words), minlength=len(n)) + (of_end >= 0))
+                base.append(np.bincount(row, weights=value[place], minlength=len(n)) + value[of_end])
             for _, own, cuts in gram_rows(batch.column("text"), depth):
                 score.append(np.add.reduceat(logs[own], cuts[:-1]))
         return pa.table({
             "doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"),
-            "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(seen, pa.int64()),
-            "train_tokens": pa.array([n_train] * len(tokens), pa.int64()),
-            "base_score": pa.array(base, pa.float64()),
-            "score": pa.array(np.concatenate(score) if score else [], pa.float64()),
+            "n_tokens": np.concatenate(tokens).astype(np.int64),
+            "n_known": np.concatenate(seen).astype(np.int64),
+            "train_tokens": np.full(docs.num_rows, n_train, dtype=np.int64),
+            "base_score": np.concatenate(base), "score": np.concatenate(score),
             "n_bytes": docs.column("n_bytes"), "key": docs.column("key")})
 
     return run
@@ -353,9 +386,10 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     unseen = float(np.log10(1 / spread))
     word_values = words.select("word", F.log10((F.col("n") + 1) / F.lit(float(spread))).alias("value"))
 
-    asked = _asked(dealt, depth)
+    # Words and grams are asked for in one reading of the texts.
+    asked = stage(_asked(dealt, depth), "asked")
     ask_words = asked.where("word IS NOT NULL").select("block", "word")
-    ask_grams = stage(asked.where("gram IS NOT NULL").select("block", "gram"), "grams")
+    ask_grams = asked.where("gram IS NOT NULL").select("block", "gram")
     every = ask_grams.select("gram").distinct().join(
         counts.where("gram IS NOT NULL").select(F.col("gram").alias("_g"), "n"),
         F.col("gram") == F.col("_g"), "left").select("gram", F.coalesce("n", F.lit(0)).alias("n"))

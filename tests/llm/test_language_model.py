@@ -6,9 +6,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from rankflow.llm import language_model as lm
+from rankflow.llm.words import pieces
 
 
 def brute(rows, depth):
@@ -131,3 +133,27 @@ def test_often_repeated_rows_are_in_a_block_once(spark, monkeypatch):
     for a, b in zip(order(got), order(plain)):
         assert a[:5] == b[:5] and a.n_bytes == b.n_bytes
         assert (a.base_score, a.score) == pytest.approx((b.base_score, b.score), abs=1e-9)
+
+
+def test_texts_of_blocks_are_read_once_for_words_and_grams(spark):
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id bigint, text string")
+    plan = lm.score_documents(df, depth=2)._jdf.queryExecution().optimizedPlan().toString()
+    # What is left is the trees' values and the meeting of documents and answers.
+    assert plan.count("FlatMapGroupsInArrow") == 1 and plan.count("FlatMapCoGroupsInArrow") == 1
+
+
+def test_trees_in_shards_of_any_size_give_the_same(spark, monkeypatch):
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id bigint, text string")
+    rows = lm.score_documents(df).orderBy("doc_id").collect()
+    monkeypatch.setattr(lm, "TREE_GRAMS", 20)
+    for a, b in zip(rows, lm.score_documents(df).orderBy("doc_id").collect(), strict=True):
+        assert a[:6] == b[:6] and a.score == pytest.approx(b.score, abs=1e-9)
+
+
+def test_words_of_pieces_are_those_of_split(monkeypatch):
+    texts = ["", None, "  A b\x0b\x0cC\n", "x", " ", "\x1ca\x85 \u3000é", "a\0b "] * 3
+    for limit in (1, 9, 1 << 21):
+        monkeypatch.setattr(lm, "pieces", lambda at, limit=limit: pieces(at, limit))
+        got = [words.slice(a, b - a).to_pylist() for _, words, cuts in lm.word_rows(pa.array(texts[1:]).slice(1))
+               for a, b in zip(cuts, cuts[1:])]
+        assert got == [(t or "").encode().lower().split() for t in texts[2:]]
