@@ -15,16 +15,17 @@ rows are documents of their own.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankflow.llm.words import flat, pieces
 from rankflow.scratch import stage
 
 LENGTH = 2048
@@ -33,18 +34,46 @@ END_ID = 0
 GROUP = 4_000
 LACKS = 8
 SAVES = 200
-#: Chunks whose ids a task keeps (some 60 MB); the store starts anew beyond.  Texts
-#: taken together.
-KEPT = 250_000
-TOGETHER = 500
+#: Bytes of chunks and ids that a task keeps; the store starts anew beyond.
+KEPT = 64 << 20
+#: Bytes of text taken together, unless a single text is longer.
+TOGETHER = 4 << 20
+#: Chunks that are given to the tokenizer at once.
+LEARNT = 1000
 
 # White space as the tokenizer's pattern knows it.
 WHITE = "\t-\r \x85\xa0  -     　"
-#: A text falls into words with the white space before them.  The tokenizer never
-#: joins a word with the white space after it, so their ids add up.
-CHUNK = f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+"
 #: Chunks that can be encoded together: one sign of ASCII white space and a word.
-SINGLE = f"[\t-\r ][^{WHITE}]+"
+SINGLE = f"\\A[\t-\r ][^{WHITE}]+\\z"
+#: The white space past ASCII, as the numbers that its two or three bytes make.
+FAR = np.array([int.from_bytes(chr(c).encode(), "big") for c in (
+    0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)])
+
+_bytes = np.arange(256)
+IS_WHITE = ((_bytes >= 9) & (_bytes <= 13)) | (_bytes == 32)
+#: Bytes that may end a word; letters, and signs that never belong to the letters before them.
+ENDS_WORD = _bytes > 32
+IS_LETTER = ((_bytes >= 65) & (_bytes <= 90)) | ((_bytes >= 97) & (_bytes <= 122))
+IS_POINT = np.isin(_bytes, list(b".,;:!?)"))
+
+
+def chunk_starts(text: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Where chunks begin in the bytes of some texts, which themselves begin at ``rows``.
+
+    A chunk begins at each sign of ASCII white space behind a word, at each point or comma behind
+    an ASCII letter, and with each text.  The tokenizer never joins a word with the white space
+    or letters with the point after them, so the ids of chunks add up.
+    """
+    begins = IS_WHITE[text]
+    begins[1:] &= ENDS_WORD[text[:-1]]
+    # Behind white space past ASCII the run of white space goes on.
+    foreign = 1 + np.flatnonzero(begins[1:] & (text[:-1] >= 128))
+    two = (text[foreign - 2].astype(np.int64) << 8) | text[foreign - 1]
+    three = (text[foreign - 3].astype(np.int64) << 16) | two
+    begins[foreign[np.isin(two, FAR) | np.isin(three, FAR)]] = False
+    begins[1:] |= IS_POINT[text[1:]] & IS_LETTER[text[:-1]]
+    begins[rows[rows < len(text)]] = True
+    return np.flatnonzero(begins)
 
 
 class ChunkEncoder:
@@ -54,48 +83,76 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.split = re.compile(CHUNK).findall
-        self.single = re.compile(SINGLE).fullmatch
-        self.known: dict[str, bytes] = {}
         # Whether an id begins with ASCII white space; pieces write those bytes 256 up.
         vocabulary = self.tokenizer.get_vocab()
         white = {chr(256 + b) for b in b"\t\n\v\f\r "}
         self.opens = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.opens[[i for piece, i in vocabulary.items() if piece[0] in white]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = pa.array([], pa.large_string())
+        self.ids = np.zeros(0, dtype="<u4")
+        self.at = np.zeros(1, dtype=np.int64)
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4") for e in found]
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Add new chunks.  Those of one white sign and a word are encoded in one text
+    def _learn(self, chunks: pa.Array) -> np.ndarray:
+        """Add new chunks and return the order they were added in.  Those of one white sign and
 
-        and told apart by the ids that begin with white space."""
-        easy, rest = [], []
-        for c in chunks:
-            (easy if self.single(c) else rest).append(c)
-        for start in range(0, len(easy), 1000):
-            part = easy[start:start + 1000]
-            ids = self._ids(["".join(part)])[0]
+        a word are encoded in one text and told apart by the ids that begin with white space."""
+        single = pc.match_substring_regex(chunks, SINGLE).to_numpy(zero_copy_only=False)
+        easy, rest = np.flatnonzero(single), [np.flatnonzero(~single)]
+        order, found, sizes = [], [self.ids], []
+        for start in range(0, len(easy), LEARNT):
+            part = easy[start:start + LEARNT]
+            ids = self._ids([flat(chunks.take(part))[0].tobytes().decode()])[0]
             cuts = np.flatnonzero(self.opens[ids])
-            if len(cuts) == len(part) and (not len(cuts) or cuts[0] == 0):
-                data, at = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
-                self.known.update((c, data[a:b]) for c, a, b in zip(part, at, at[1:]))
+            if len(cuts) == len(part) and cuts[0] == 0:
+                order.append(part)
+                found.append(ids)
+                sizes.append(np.diff(cuts, append=len(ids)))
             else:
-                rest += part
-        self.known.update((c, i.tobytes()) for c, i in zip(rest, self._ids(rest)))
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.known) > KEPT:
-            self.known.clear()
-        parts = [self.split(t) for t in texts]
-        new = set().union(*parts).difference(self.known)
-        if new:
-            self._learn(list(new))
-        ids_of = self.known.__getitem__
-        for p in parts:
-            yield b"".join(map(ids_of, p))
+                rest.append(part)
+        left = np.concatenate(rest)
+        for start in range(0, len(left), LEARNT):
+            each = self._ids(chunks.take(left[start:start + LEARNT]).to_pylist())
+            found += each
+            sizes.append(np.array([len(ids) for ids in each]))
+        added = np.concatenate([*order, left])
+        self.known = pa.concat_arrays([self.known, chunks.take(added)])
+        self.ids = np.concatenate(found)
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(np.concatenate(sizes))])
+        return added
+
+    def encode(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """``(first row, little-endian unsigned 32-bit ids, where each row's begin)`` per piece."""
+        body, at = flat(column)
+        for first, last in pieces(at, TOGETHER):
+            text, cut = body[at[first]:at[last]], at[first:last + 1] - at[first]
+            if not len(text):
+                yield first, self.ids[:0], cut
+                continue
+            starts = chunk_starts(text, cut[:-1])
+            chunks = pa.LargeStringArray.from_buffers(
+                len(starts), pa.py_buffer(np.append(starts, len(text))), pa.py_buffer(text)
+            ).dictionary_encode()
+            if self.known.nbytes + self.ids.nbytes + self.at.nbytes > KEPT:
+                self._forget()
+            # Where the store has each distinct chunk; those it does not have are added behind.
+            place = pc.index_in(chunks.dictionary, value_set=self.known).fill_null(-1).to_numpy().copy()
+            new = np.flatnonzero(place < 0)
+            if len(new):
+                behind = len(self.known) + np.arange(len(new))
+                place[new[self._learn(chunks.dictionary.take(new))]] = behind
+            place = place[chunks.indices.to_numpy()]
+            size = np.diff(self.at)[place]
+            ends = np.r_[0, np.cumsum(size)]
+            spots = np.repeat(self.at[place] - ends[:-1], size)
+            spots += np.arange(len(spots))
+            yield first, self.ids[spots], ends[np.searchsorted(starts, cut)]
 
 
 def cut_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text: str = "text",
@@ -109,10 +166,10 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
         end = np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
             rows, piece, start, size, crc = [], [], [], [], []
-            for first in range(0, batch.num_rows, TOGETHER):
-                texts = [t or "" for t in batch.column("text").slice(first, TOGETHER).to_pylist()]
-                for row, ids in enumerate(encoder.encode(texts), first):
-                    ids += end
+            for first, found, cuts in encoder.encode(batch.column("text")):
+                cuts = cuts.tolist()
+                for row, (begin, stop) in enumerate(zip(cuts, cuts[1:]), first):
+                    ids = found[begin:stop].tobytes() + end
                     n = len(ids) // 4
                     at, k = 0, 0
                     while at < n:

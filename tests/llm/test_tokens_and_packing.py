@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
@@ -72,6 +73,25 @@ def test_pieces_equal_the_library(spark, monkeypatch):
     assert packing.pack_documents(df.limit(0), BPE).count() == 0
 
 
+def test_ids_of_a_column_are_those_of_the_library(monkeypatch):
+    library = Tokenizer.from_file(BPE)
+    texts = [*TEXTS, *random_texts(3000, 11), "Yes, it's (so). No!? e.g. 3.5;a", "a\u3000 b\xa0 c\u2009\n d\u180e e é. ü,"]
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts[1:]]
+    for together, kept in ((packing.TOGETHER, packing.KEPT), (900, 3000)):
+        monkeypatch.setattr(packing, "TOGETHER", together)
+        monkeypatch.setattr(packing, "KEPT", kept)
+        got = [ids[a:b].tolist() for _, ids, cuts in packing.ChunkEncoder(BPE).encode(pa.array(texts).slice(1))
+               for a, b in zip(cuts, cuts[1:])]
+        assert got == want
+
+
+def test_words_before_points_are_encoded_once():
+    encoder = packing.ChunkEncoder(BPE)
+    list(encoder.encode(pa.array([" word word, word. word; word! (word) word\n word", " word", " word, "])))
+    # Not one for each sign that may stand behind the word.
+    assert sorted(encoder.known.to_pylist()) == sorted([" word", ",", ".", ";", "!", " (word", ")", "\n word", " "])
+
+
 @pytest.mark.parametrize("kind", ["small", "halves", "mixed", "one"])
 def test_packing_rounds(spark, kind):
     rng = random.Random(8)
